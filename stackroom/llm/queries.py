@@ -29,3 +29,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = map_catalogue(*(table(spark, sf_dir, t) for t in ("library_metadata", "subject_list", "language_list")))
     return out.select("file_id", "field", "pos", "ref")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a work but the first, with the first."""
+    from stackroom.llm.copies import copies
+
+    return copies(table(spark, sf_dir, "library_metadata"))
+
+
+@query("p2_works")
+def p2_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per work with its number of copies."""
+    from stackroom.llm.copies import works
+
+    return works(table(spark, sf_dir, "library_metadata"))
