@@ -45,3 +45,12 @@ def p2_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stackroom.llm.copies import works
 
     return works(table(spark, sf_dir, "library_metadata"))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold twelve consecutive words of a held-out item."""
+    from stackroom.llm.leak import leaked
+
+    found = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id")
