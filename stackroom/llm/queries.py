@@ -54,3 +54,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select("doc_id", "item_id")
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose text was cut."""
+    from stackroom.llm.cutoff import scored
+
+    return scored(table(spark, sf_dir, "documents")).where("p_cut >= 0.5").select("doc_id")
+
+
+@query("p10_rates")
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    from stackroom.llm.cutoff import cut_rates
+
+    return cut_rates(table(spark, sf_dir, "documents"))
