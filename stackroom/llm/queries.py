@@ -70,3 +70,11 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stackroom.llm.cutoff import cut_rates
 
     return cut_rates(table(spark, sf_dir, "documents"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles and descriptions that hold text decoded with the wrong encoding."""
+    from stackroom.llm.mojibake import garbled_fields
+
+    return garbled_fields(table(spark, sf_dir, "library_metadata")).select("file_id", "field")
