@@ -78,3 +78,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stackroom.llm.mojibake import garbled_fields
 
     return garbled_fields(table(spark, sf_dir, "library_metadata")).select("file_id", "field")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of different spellings of one person or organisation."""
+    from stackroom.llm.names import variant_pairs
+
+    return variant_pairs(table(spark, sf_dir, "library_metadata"), ["authors", "illustrators"])
