@@ -86,3 +86,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stackroom.llm.names import variant_pairs
 
     return variant_pairs(table(spark, sf_dir, "library_metadata"), ["authors", "illustrators"])
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of each description whose label is missing or wrong, or that mixes languages."""
+    from stackroom.llm.langid import relabelled
+
+    return relabelled(table(spark, sf_dir, "library_metadata"), table(spark, sf_dir, "language_list")).select("file_id", "lang")
