@@ -62,12 +62,13 @@ NICKNAMES = {
     "william": "will bill billy liam", "xavier": "xavi", "yvonne": "vonnie", "zoë": "zo",
 }
 # Particles, titles, and words of organisations with the short forms they are cut to.
-PARTICLES = {"de", "del", "der", "den", "da", "di", "du", "la", "le", "van", "von", "zu", "ter", "dos", "das", "y"}
+PARTICLES = {"de", "del", "der", "den", "da", "di", "du", "la", "le", "van", "von", "zu", "ter", "dos", "das"}
 TITLES = {"dr", "prof", "sir", "mr", "mrs", "ms", "rev", "dame", "lord", "lady", "st", "hon", "phd", "jr", "sr"}
 BODIES = (
     "university institute academy society association museum library college school press company council foundation "
     "committee department union club league publishers publishing office ministry laboratory"
 ).split()
+CUT_BODIES = {"mus", "inst", "acad", "assoc", "soc", "univ"}
 SMALL_WORDS = {"the", "of", "for", "and", "a", "an", "in", "at"}
 
 
@@ -87,6 +88,8 @@ def clean(name: str) -> str:
 
 def _tokens(text: str) -> list[tuple[str, bool]]:
     """(folded word, whether a dot follows), without titles."""
+    if not text.isupper():
+        text = re.sub(r"(?<!\w)([^\W\d_a-z])([^\W\d_a-z])(?!\w)", lambda m: f"{m[1]} {m[2]}" if m[0].isupper() else m[0], text)
     out = [(fold(w), bool(dot)) for w, dot in re.findall(r"([^\W_]+(?:['’-][^\W_]+)*)(\.?)", text)]
     return [(w, d) for w, d in out if w and w not in TITLES]
 
@@ -95,7 +98,7 @@ def _body(word: str, dot: bool) -> str | None:
     """The full organisation word a token is or shortens."""
     if word in BODIES:
         return word
-    if dot and len(word) >= 3:
+    if (dot or word in CUT_BODIES) and len(word) >= 3:
         return next((b for b in BODIES if b.startswith(word)), None)
     return None
 

@@ -94,3 +94,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stackroom.llm.langid import relabelled
 
     return relabelled(table(spark, sf_dir, "library_metadata"), table(spark, sf_dir, "language_list")).select("file_id", "lang")
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    from stackroom.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share each source reaches in the mix."""
+    from stackroom.llm.mixing import shares
+
+    return shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
