@@ -50,7 +50,7 @@ def tokens(c: Column) -> Column:
 
 
 def tokens_sql(x: str) -> str:
-    return f"list_filter(regexp_split_to_array(coalesce({fold_sql(x)}, ''), '[^\\p{{L}}\\p{{N}}]+'), t -> t <> '')"
+    return f"list_filter(regexp_split_to_array(coalesce({fold_sql(x)}, ''), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
 # What stands for an ampersand in a slug, by language; other languages use the English word.
@@ -82,7 +82,7 @@ def base_slug(authors: Column, title: Column, language: Column | None = None) ->
 
 
 def base_slug_sql(authors: str, title: str) -> str:
-    joined = f"array_to_string(list_concat(list_filter(coalesce({authors}, []), a -> trim(a) <> ''), list_filter([{title}], t -> t IS NOT NULL)), '-')"
+    joined = f"array_to_string(list_concat(list_filter(coalesce({authors}, []), lambda a: trim(a) <> ''), list_filter([{title}], lambda t: t IS NOT NULL)), '-')"
     return slug_sql(joined)
 
 
@@ -116,7 +116,7 @@ def word_count(c: Column) -> Column:
 
 
 def word_count_sql(x: str) -> str:
-    return f"len(list_filter(regexp_split_to_array(coalesce(regexp_replace({x}, '<[^>]+>', ' ', 'g'), ''), '\\s+'), w -> w <> ''))"
+    return f"len(list_filter(regexp_split_to_array(coalesce(regexp_replace({x}, '<[^>]+>', ' ', 'g'), ''), '\\s+'), lambda w: w <> ''))"
 
 
 # The elements a sanitized description keeps.

@@ -26,6 +26,7 @@ def latest_readings(readings: DataFrame) -> DataFrame:
     order = F.struct(
         F.coalesce("updated_at", "created_at"), F.coalesce("completed_on", F.lit(NEVER).cast("timestamp")),
         F.coalesce("percentage", F.lit(-1)), F.coalesce("position", F.lit("")), F.coalesce("created_at", F.lit(NEVER).cast("timestamp")),
+        F.coalesce("updated_at", F.lit(NEVER).cast("timestamp")),
     )
     last = readings.groupBy("user_id", "slug").agg(F.max_by(F.struct(*cols), order).alias("r"))
     return last.select("user_id", "slug", *[F.col(f"r.{c}").alias(c) for c in cols]).select(*readings.columns)
@@ -35,7 +36,7 @@ def latest_highlights(highlights: DataFrame) -> DataFrame:
     cols = [c for c in highlights.columns if c not in ("user_id", "slug")]
     order = F.struct(
         F.coalesce("updated_at", "created_at", F.lit(NEVER).cast("timestamp")), F.coalesce("created_at", F.lit(NEVER).cast("timestamp")),
-        F.coalesce("shared_by_id", F.lit(-1)), F.coalesce("comment", F.lit("")),
+        F.coalesce("shared_by_id", F.lit(-1)), F.coalesce("comment", F.lit("")), F.coalesce("updated_at", F.lit(NEVER).cast("timestamp")),
     )
     last = highlights.groupBy("user_id", "slug").agg(F.max_by(F.struct(*cols), order).alias("r"))
     return last.select("user_id", "slug", *[F.col(f"r.{c}").alias(c) for c in cols]).select(*highlights.columns)

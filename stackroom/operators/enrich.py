@@ -30,7 +30,8 @@ def _first(p: str) -> Column:
 
 def best_claim(claims: Column) -> Column:
     """The first claim of the best rank present."""
-    return F.coalesce(*[F.get(F.filter(claims, lambda c, r=r: c["rank"] == r), F.lit(0)) for r in RANKS])
+    of = lambda r: F.get(F.filter(claims, lambda c: c["rank"] == r), F.lit(0))
+    return F.coalesce(*[of(r) for r in RANKS])
 
 
 def valid_ids(ids: Column) -> Column:

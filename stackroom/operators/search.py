@@ -205,6 +205,10 @@ def query_terms(keywords: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(r"[\W_]+", text) if w))
 
 
+def _often(toks: Column, word: str) -> Column:
+    return F.size(F.filter(toks, lambda t: t == word))
+
+
 def bm25(df: DataFrame, text: Column, keywords: str, k1: float = K1, b: float = B) -> DataFrame:
     """`df` with a score column for the rows that hold a term of the query; scores are rounded to 6 digits."""
     terms = query_terms(keywords)
@@ -212,7 +216,7 @@ def bm25(df: DataFrame, text: Column, keywords: str, k1: float = K1, b: float =
         return df.withColumn("score", F.lit(0.0)).limit(0)
     toks = tokens(text)
     counted = df.withColumn("__dl", F.size(toks))
-    tf = [F.size(F.filter(toks, lambda t, w=w: t == w)) for w in terms]
+    tf = [_often(toks, w) for w in terms]
     # one row: the collection's statistics
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("avgdl"), *[F.sum((c > 0).cast("bigint")).alias(f"df{i}") for i, c in enumerate(tf)]
@@ -255,32 +259,28 @@ def search_postings(postings: DataFrame, stats: DataFrame, key: str, name: str,
     return hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def ranked(df: DataFrame, s: SearchFields, words: str) -> DataFrame:
+    """The hits of the request's filters, scored by `words` over all text fields (BM25 without length normalisation) and sorted."""
+    terms = query_terms(words)
+    hits = df.where(reduce(and_, filters(s), F.lit(True)))
+    if not terms:
+        return hits.withColumn("score", F.lit(0.0)).orderBy(*sort_keys(s.sort))
+    toks = tokens(F.concat_ws(" ", "title", "series", joined(F.col("authors")), joined(F.col("illustrators")), "description"))
+    tf = [_often(toks, w) for w in terms]
+    stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum((c > 0).cast("bigint")).alias(f"d{i}") for i, c in enumerate(tf)]).first()
+    score = F.lit(0.0)
+    for i, c in enumerate(tf):
+        d = float(stats[f"d{i}"] or 0)
+        score = score + F.log(F.lit(1 + (stats["n"] - d + 0.5) / (d + 0.5))) * c * (K1 + 1) / (c + K1)
+    return hits.withColumn("score", F.round(score, 6)).orderBy(*sort_keys(s.sort))
+
+
+UNSCORED = ("pub-date-older-first", "pub-date-newer-first", "est-read-time-shorter-first", "est-read-time-longer-first", "number-asc", "number-desc")
+
+
 def search(df: DataFrame, s: SearchFields) -> DataFrame:
     """The ordered hits of a request over a catalogue of `with_slugs`, with their score. Page them with `catalog.page`."""
     s = s.normalised()
-    keep = reduce(and_, filters(s), predicate(s.keywords, lambda: active_analyzers(df)))
-    hits = df.where(keep)
-    terms = query_terms(s.keywords)
-    plain = bool(terms) and ":" not in s.keywords and s.sort not in (
-        "pub-date-older-first", "pub-date-newer-first", "est-read-time-shorter-first", "est-read-time-longer-first")
-    if plain:
-        text = F.concat_ws(" ", "title", "series", joined(F.col("authors")), joined(F.col("illustrators")), "description")
-        toks = tokens(text)
-        tf = [F.size(F.filter(toks, lambda t, w=w: t == w)) for w in terms]
-        stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum((c > 0).cast("bigint")).alias(f"d{i}") for i, c in enumerate(tf)]).first()
-        score = reduce(
-            lambda a, x: a + x,
-            [F.log(1 + (F.lit(float(stats["n"])) - (stats[f"d{i}"] or 0) + 0.5) / ((stats[f"d{i}"] or 0) + 0.5)) * c * (K1 + 1) / (c + K1) for i, c in enumerate(tf)],
-        )
-        hits = hits.withColumn("score", F.round(score, 6))
-    else:
-        hits = hits.withColumn("score", F.lit(0.0))
-    return hits.orderBy(*sort_keys(s.sort))
-
-
-def published_between(first: str, last: str) -> tuple[int, int]:
-    return iso_days(first), iso_days(last)
-
-
-def day_number(y: Column, m: Column, d: Column) -> Column:
-    return _days(y, m, d)
+    s.extra = [*s.extra, predicate(s.keywords, lambda: active_analyzers(df))]
+    slugs_or_fields = ":" in s.keywords or s.keywords.strip().startswith('"')
+    return ranked(df, s, "" if s.sort in UNSCORED or slugs_or_fields else s.keywords)

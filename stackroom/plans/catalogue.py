@@ -44,3 +44,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         epub_publication_stamps(table(spark, sf_dir, "epub_info")), "info_id", "stamp", "shelf", table(spark, sf_dir, "shelves")
     )
     return out.where(F.col("norm").isNotNull() & (F.col("norm") != F.col("stamp"))).select("info_id", "norm")
+
+
+def load() -> None:
+    """Registers the queries of the other plan modules."""
+    from stackroom.plans import library  # noqa: F401
+
+
+load()
