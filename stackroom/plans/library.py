@@ -196,7 +196,7 @@ def _filtered(name: str, where: str, request: search.SearchFields) -> None:
 
 
 _filtered("filter_language_prefix", "starts_with(language, 'es')", search.SearchFields(language=" es "))
-_filtered("filter_subjects_all", "list_has_all(subjects_slugs, ['poetry', 'sea-voyages'])", search.SearchFields(subjects="Poetry, ,Sea voyages"))
+_filtered("filter_subjects_all", "list_has_all(subjects_slugs, ['poetry', 'maritime-history'])", search.SearchFields(subjects="Poetry, ,Maritime history"))
 _filtered("filter_date_range", f"publication.days >= {_D1980} AND publication.days < {_D2000}", search.SearchFields(published_from=_D2000, published_to=_D1980))
 _filtered("filter_date_before", f"publication.days < {_D1980}", search.SearchFields(published_to=_D1980))
 _filtered("filter_read_time", "words >= 15000 AND words < 75000", search.SearchFields(hours_from=1, hours_to=5))
@@ -320,7 +320,10 @@ def latest_added(spark, d):
 
 def _related_sql(kind: str, dated: bool) -> str:
     pick = "publication.days > 0" if dated else "coalesce(publication.days, 0) = 0"
-    head = f"""WITH {CAT}, ref AS (SELECT * FROM cat WHERE len(subjects_slugs) > 0 AND len(authors_slugs) > 0 AND {pick} ORDER BY slug LIMIT 1),
+    where = f"len(subjects_slugs) > 0 AND len(authors_slugs) > 0 AND {pick}"
+    if kind == "authors_slugs":
+        where = "list_contains(authors_slugs, (SELECT a FROM cat, unnest(authors_slugs) u(a) GROUP BY a ORDER BY count(*) DESC, a LIMIT 1))"
+    head = f"""WITH {CAT}, ref AS (SELECT * FROM cat WHERE {where} ORDER BY slug LIMIT 1),
  n AS (SELECT count(*)::DOUBLE AS n FROM cat), k AS (SELECT DISTINCT unnest({kind}) AS k FROM ref),
  df AS (SELECT k, (SELECT count(*) FROM cat WHERE list_contains({kind}, k))::DOUBLE AS d FROM k),
  s AS (SELECT c.slug, c.title, c.publication, c.series, c.series_index, c.authors_slugs, c.series_slug,
@@ -360,17 +363,20 @@ def same_subjects_undated(spark, d):
 @query("same_authors", _related_sql("authors_slugs", True))
 def same_authors(spark, d):
     c = cat(spark, d)
-    return related.same_authors(c, _ref(c, True)).select(*SHOW, "score")
+    mine = c.where(F.array_contains("authors_slugs", _top_author(c))).agg(F.min("slug")).first()
+    return related.same_authors(c, mine[0] or "").select(*SHOW, "score")
 
 
 @query(
     "same_series",
-    f"WITH {CAT}, ref AS (SELECT * FROM cat WHERE series_slug <> '' ORDER BY slug LIMIT 1) SELECT c.slug, c.title FROM cat c, ref "
-    f"WHERE c.series_slug = ref.series_slug AND c.slug <> ref.slug ORDER BY {_SERIES.replace('series', 'c.series').replace('c.series_index', 'c.series_index')}, c.slug LIMIT 4",
+    f"WITH {CAT}, k AS (SELECT series_slug AS key FROM cat WHERE series_slug <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), "
+    "ref AS (SELECT min(slug) AS slug FROM cat WHERE series_slug = (SELECT key FROM k)) SELECT slug, title FROM cat "
+    f"WHERE series_slug = (SELECT key FROM k) AND slug <> (SELECT slug FROM ref) ORDER BY {_SERIES}, slug LIMIT 4",
 )
 def same_series(spark, d):
     c = cat(spark, d)
-    return related.same_series(c, c.where("series_slug <> ''").agg(F.min("slug")).first()[0] or "").select(*SHOW)
+    first = c.where(F.col("series_slug") == _top_series(c)).agg(F.min("slug")).first()[0]
+    return related.same_series(c, first or "").select(*SHOW)
 
 
 # ---- activity

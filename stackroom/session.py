@@ -39,12 +39,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared)
 
 
-def spread(df: DataFrame, bytes_per_row: int = 0) -> DataFrame:
-    """Spread a small scan over all cores before a CPU-heavy step.
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of few files over all cores before a CPU-heavy step.
 
-    A Parquet file of a few row groups gives a few tasks. Round-robin over twice the cores costs one shuffle of the
-    projected columns and is skipped where the scan has that many partitions already.
+    A Parquet file of one row group gives one task with rows, however it is split. Where there are fewer files than cores
+    the projected columns are dealt out round-robin (one shuffle of them); otherwise the scan stays as it is.
     """
-    sc = df.sparkSession.sparkContext
-    want = 2 * max(2, sc.defaultParallelism)
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    if df.rdd.getNumPartitions() > 1000 or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores)
