@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from stackroom.llm.linear import Logistic, hashed
 from stackroom.operators.joins import broadcast_checked
+from stackroom.session import spread
 
 SAMPLE = 5000
 BITS = 18
@@ -193,7 +194,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
             out[known] = m.proba([hashed(features(tv[i], bool(av[i]), int(nv[i]), words), m.bits) for i in known])
         return pd.Series(out)
 
-    return rows.select(key, F.col("__s").alias(source), score("__t", "at", "near").alias("p_cut"))
+    return spread(rows).select(key, F.col("__s").alias(source), score("__t", "at", "near").alias("p_cut"))
 
 
 def cut_rates(docs: DataFrame, threshold: float = 0.5, **names: str) -> DataFrame:

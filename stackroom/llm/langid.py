@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from stackroom.llm.canon import bounded_rows, canonical, language_entries
 from stackroom.llm.mojibake import LEXICON, Garbled, lexicon_of
+from stackroom.session import spread
 
 SAMPLE = 4000
 BITS = 16
@@ -245,7 +246,7 @@ def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", te
             out.append([{"start": a, "end": b, "lang": c, "confidence": q} for a, b, c, q in stretches(t, m, e)])
         return pd.Series(out)
 
-    return rows.select(key, F.col("__l").alias(label), "code", spans("__t").alias("spans"))
+    return spread(rows).select(key, F.col("__l").alias(label), "code", spans("__t").alias("spans"))
 
 
 def relabelled(df: DataFrame, languages: DataFrame, **names) -> DataFrame:

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackroom.session import spread
+
 WINDOW = 12
 SHARD_WORDS = 400_000
 SAMPLE = 16
@@ -244,5 +246,5 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
             yield pd.DataFrame(out, columns=[key, item, "spans"])
 
     kinds = dict(docs.dtypes) | {item: dict(items.dtypes)[item]}
-    rows = docs.select(key, text).where(F.col(text).isNotNull())
+    rows = spread(docs.select(key, text).where(F.col(text).isNotNull()))
     return rows.mapInPandas(search, f"`{key}` {kinds[key]}, `{item}` {kinds[item]}, spans array<array<int>>")

@@ -31,7 +31,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file_id", "field", "pos", "ref")
 
 
-@query("p2_found")
+def _bare_sql(x: str) -> str:
+    kept = f"regexp_replace({x}, '[\\x{{FE00}}-\\x{{FE0F}}\\x{{034F}}\\x{{180B}}-\\x{{180D}}]|\\p{{Cf}}', '', 'g')"
+    upper = f"upper(replace({kept}, 'ß', 'ss'))"
+    return f"regexp_replace(nfc_normalize({upper}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
+
+
+_KEYED_SQL = (
+    f"WITH k AS (SELECT file_id, {_bare_sql('title')} AS t, list_sort(list_filter(list_transform(coalesce(authors, []), lambda a: {_bare_sql('a')}), lambda a: a <> '')) AS a "
+    "FROM library_metadata), g AS (SELECT file_id, min(file_id) OVER (PARTITION BY t, a) AS first_id, count(*) OVER (PARTITION BY t, a) AS copies FROM k WHERE t <> '')"
+)
+
+
+@query("p2_found", f"{_KEYED_SQL} SELECT first_id, file_id FROM g WHERE file_id <> first_id")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of a work but the first, with the first."""
     from stackroom.llm.copies import copies
@@ -39,7 +51,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(table(spark, sf_dir, "library_metadata"))
 
 
-@query("p2_works")
+@query("p2_works", f"{_KEYED_SQL} SELECT DISTINCT first_id, copies FROM g")
 def p2_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per work with its number of copies."""
     from stackroom.llm.copies import works
@@ -47,7 +59,27 @@ def p2_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works(table(spark, sf_dir, "library_metadata"))
 
 
-@query("p8_found")
+def _words_sql(x: str) -> str:
+    plain = f"regexp_replace({x}, '<[^<>]{{1,200}}>', ' ', 'g')"
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        plain = f"replace({plain}, '{entity}', '{mark}')"
+    low = f"replace(lower(nfc_normalize({plain})), 'ß', 'ss')"
+    joined = f"regexp_replace({low}, '([\\p{{L}}\\p{{N}}])[''’‘ʼ`´-]+([\\p{{L}}\\p{{N}}])', '\\1\\2', 'g')"
+    joined = f"regexp_replace({joined}, '[\\x{{AD}}\\x{{200B}}-\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
+    return f"list_filter(regexp_split_to_array({joined}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+_LEAK_SQL = (
+    "WITH w AS (SELECT {k} AS k, {w} AS ws FROM {t}), i AS (SELECT k, ws, unnest(range(1, len(ws) - 10)) AS i FROM w WHERE len(ws) >= 12) "
+    "SELECT k, array_to_string(list_slice(ws, i, i + 11), ' ') AS g FROM i"
+)
+
+
+@query(
+    "p8_found",
+    f"SELECT DISTINCT d.k AS doc_id, e.k AS item_id FROM ({_LEAK_SQL.format(k='doc_id', w=_words_sql('text'), t='documents')}) d "
+    f"JOIN ({_LEAK_SQL.format(k='item_id', w=_words_sql('passage'), t='eval_items')}) e ON d.g = e.g",
+)
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold twelve consecutive words of a held-out item."""
     from stackroom.llm.leak import leaked
