@@ -2,9 +2,9 @@
 
 Distinct names are parsed into a metric key ('given surname', or an organisation's folded words), then linked:
 
-1. Typos, by metric-space partitioning: every key is assigned to its nearest pivot under a true edit metric and replicated to
-   each pivot whose distance is at most 2r larger (triangle inequality: no pair within r is separated); an exact radius
-   join runs inside each cell. Keys within r = 1 edit are linked and connected components taken (min-label rounds, cut
+1. Typos, by metric-space partitioning: every key is assigned to its nearest pivot under the bag metric, which never exceeds
+   the edit metric, and replicated to each pivot whose distance is at most 2r larger (triangle inequality: no pair within
+   r edits is separated); an exact radius join under the true edit metric runs inside each cell. Keys within r = 1 edit are linked and connected components taken (min-label rounds, cut
    with checkpoint()).
 2. Nicknames and abbreviations ('Paddy', 'Phil.') link to the one component of that surname they can stand for.
 3. Initials ('P. Surname') link to the one component of that surname with that initial; a second initial decides ties.
@@ -37,7 +37,7 @@ from stackroom.session import ensure_checkpoint_dir
 
 RADIUS = 1
 CELL_ROWS = 20_000
-MAX_PIVOTS = 256
+MAX_PIVOTS = 128
 LEXICON = 50_000
 
 # Short forms of given names in common use.
@@ -167,33 +167,35 @@ def neighbours(word: str) -> set[str]:
 
 
 class Pivots:
-    """Distances to the pivots, with a bag-of-letters lower bound so that few are computed exactly."""
+    """The pivots under the bag distance, the larger of what either string has of letters that the other lacks.
+
+    It is a metric on letter counts and never exceeds the edit distance, so the triangle inequality holds for it at the
+    same radius, and one matrix step gives a batch's distances to all pivots.
+    """
 
     def __init__(self, words: list[str]):
-        self.words = words
         self.letters = {c: i for i, c in enumerate(sorted({c for w in words for c in w}))}
-        self.bags = np.array([self._bag(w) for w in words]) if words else np.zeros((0, 1))
-        self.sizes = np.array([len(w) for w in words])
-
-    def _bag(self, w: str) -> np.ndarray:
-        out = np.zeros(len(self.letters) + 1)
-        for c in w:
-            out[self.letters.get(c, len(self.letters))] += 1
+        self.bags = self._bags(words)
+        self.sizes = self.bags.sum(axis=1)
+
+    def _bags(self, words: list[str]) -> np.ndarray:
+        """Letter counts; letters no pivot has share the last place."""
+        out = np.zeros((len(words), len(self.letters) + 1), dtype=np.int16)
+        for i, w in enumerate(words):
+            for c in w:
+                out[i, self.letters.get(c, -1)] += 1
         return out
 
-    def cells(self, word: str, radius: int) -> list[int]:
-        """The nearest pivot first, then every pivot at most 2 * radius farther away."""
-        diff = self.bags - self._bag(word)
-        bound = np.maximum(np.clip(diff, 0, None).sum(axis=1), np.clip(-diff, 0, None).sum(axis=1))
-        best, got = None, []
-        for i in np.argsort(bound, kind="stable"):
-            if best is not None and bound[i] > best + 2 * radius:
-                break
-            d = edit_distance(word, self.words[i])
-            got.append((d, int(i)))
-            best = d if best is None or d < best else best
-        got.sort()
-        return [i for d, i in got if d <= got[0][0] + 2 * radius]
+    def cells(self, words: list[str], radius: int) -> list[list[int]]:
+        """For each word its nearest pivot and every pivot at most 2 * radius farther away."""
+        out = []
+        for k in range(0, len(words), 256):
+            bags = self._bags(words[k : k + 256])
+            shared = np.minimum(bags[:, None, :-1], self.bags[None, :, :-1]).sum(axis=2)
+            d = np.maximum(bags.sum(axis=1)[:, None], self.sizes[None, :]) - shared
+            near = d <= d.min(axis=1, keepdims=True) + 2 * radius
+            out += [np.nonzero(row)[0].tolist() for row in near]
+        return out
 
 
 def radius_pairs(words: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -202,16 +204,17 @@ def radius_pairs(words: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("the neighbourhood of one deletion covers one edit")
     spark = words.sparkSession
     n = words.count()
-    want = int(min(MAX_PIVOTS, max(8, n // 100)))
+    want = int(min(MAX_PIVOTS, max(8, n // 500)))
     chosen = [r["word"] for r in words.orderBy(F.xxhash64("word"), "word").limit(want).collect()]
     shared = spark.sparkContext.broadcast(Pivots(chosen))
 
     @F.pandas_udf("array<int>")
     def cells(w: pd.Series) -> pd.Series:
-        p = shared.value
-        return w.map(lambda x: p.cells(x, radius))
+        return pd.Series(shared.value.cells(w.tolist(), radius))
 
-    placed = words.repartition(2 * spark.sparkContext.defaultParallelism, "word").select("word", F.explode(cells("word")).alias("cell"))
+    cores = max(2, spark.sparkContext.defaultParallelism)
+    # few small rows, much work each: the partition counts are fixed, else adaptive execution merges them into one task
+    placed = words.repartition(2 * cores, "word").select("word", F.explode(cells("word")).alias("cell")).checkpoint()
     # a cell too large for one task is split by its words' neighbourhoods; there is one size a pivot
     sizes = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts")))
 
@@ -237,6 +240,7 @@ def radius_pairs(words: DataFrame, radius: int = RADIUS) -> DataFrame:
                 near[v].append(w)
         return pd.DataFrame(out, columns=["a", "b"])
 
+    rows = rows.repartition(4 * cores, "cell", "part")
     return rows.groupBy("cell", "part").applyInPandas(join_cell, "a string, b string").distinct()
 
 
