@@ -177,7 +177,7 @@ def canonical(values: Column, df: DataFrame, entries: list[tuple[str, int, str]]
     def find(v: pd.Series) -> pd.Series:
         shards = [b.value for b in shared]
         got = {x: lookup(shards, x) for x in v.dropna().unique()}
-        return v.map(got)
+        return pd.Series([got.get(x) for x in v], dtype=object)  # never a column of NaN
 
     return find(values)
 

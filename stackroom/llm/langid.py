@@ -42,7 +42,8 @@ _BREAK = re.compile(r"<\s*/?\s*(?:p|br|div|li|h\d)\b[^>]*>|\n+|\r+", re.I)
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _QUOTED = re.compile(r"\([^()]{0,300}\)|«[^«»]{0,200}»|“[^“”]{0,200}”|„[^„“”]{0,200}[“”]|\"[^\"]{0,200}\"")
 _END = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+(?=[^\s])")
-_INITIAL = re.compile(r"(?:^|[\s(])(?:\w|\w{1,3}|Nr|No|vol|cap|pp)\.$", re.I)
+# Abbreviations whose dot ends no sentence, besides single letters.
+_INITIAL = re.compile(r"(?:^|[\s(])(?:\w|dr|mr|mrs|ms|st|prof|nr|no|núm|vol|bd|cap|pp|ed|eds|hrsg|vgl|cf|bzw|ca|etc)\.$", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 
 
@@ -236,7 +237,7 @@ def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", te
     def spans(texts: pd.Series) -> pd.Series:
         m, lex = shared.value
         if m is None:
-            return pd.Series([[] for _ in texts])
+            return pd.Series([[] for _ in texts], dtype=object)
         if _state.get("of") != id(m):
             _state.update(of=id(m), emb=Embedder(), fix=Garbled(lex))
         e, fix = _state["emb"], _state["fix"]
@@ -244,7 +245,7 @@ def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", te
         for t in texts:
             t = unescape(fix.check(t)[1])
             out.append([{"start": a, "end": b, "lang": c, "confidence": q} for a, b, c, q in stretches(t, m, e)])
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     return spread(rows).select(key, F.col("__l").alias(label), "code", spans("__t").alias("spans"))
 

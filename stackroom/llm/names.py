@@ -210,7 +210,7 @@ def radius_pairs(words: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def cells(w: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.cells(w.tolist(), radius))
+        return pd.Series(shared.value.cells(w.tolist(), radius), dtype=object)
 
     cores = max(2, spark.sparkContext.defaultParallelism)
     # few small rows, much work each: the partition counts are fixed, else adaptive execution merges them into one task
@@ -222,7 +222,7 @@ def radius_pairs(words: DataFrame, radius: int = RADIUS) -> DataFrame:
     def parts_of(w: pd.Series, parts: pd.Series) -> pd.Series:
         from zlib import crc32
 
-        return pd.Series([[0] if k <= 1 else sorted({crc32(v.encode()) % k for v in neighbours(x)}) for x, k in zip(w, parts, strict=True)])
+        return pd.Series([[0] if k <= 1 else sorted({crc32(v.encode()) % k for v in neighbours(x)}) for x, k in zip(w, parts, strict=True)], dtype=object)
 
     rows = placed.join(sizes, "cell").select("word", "cell", F.explode(parts_of("word", "parts")).alias("part"))
 
@@ -275,7 +275,7 @@ def _given_names(names: DataFrame, limit: int) -> frozenset[str]:
 
     @F.pandas_udf("array<struct<word:string,vote:int>>")
     def votes(n: pd.Series) -> pd.Series:
-        return n.map(lambda x: [{"word": w, "vote": v} for w, v in evidence(x)])
+        return pd.Series([[{"word": w, "vote": v} for w, v in evidence(x)] for x in n], dtype=object)
 
     seen = names.select(F.explode(votes("name")).alias("v")).groupBy("v.word").agg(F.sum("v.vote").alias("n")).where("n > 0")
     return frozenset(r["word"] for r in seen.orderBy(F.col("n").desc(), "word").limit(limit).collect())
