@@ -45,12 +45,13 @@ def pending(files: DataFrame, catalogue: DataFrame | None) -> DataFrame:
 
 def read_records(files: DataFrame, min_megapixels: float = 0.25) -> DataFrame:
     """Each file's record by its extension, or its error."""
+    names = [f.split(" ", 1)[0] for f in re.sub(r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", RECORD).split(", ")]
 
     def one(path: str, content: bytes) -> dict:
         from stackroom.sources.epub import Epub
         from stackroom.sources.pdf import Pdf
 
-        row: dict = {"path": path, "words": 0.0, "pages": 0.0, "illustrations": 0}
+        row: dict = dict.fromkeys(names) | {"path": path, "words": 0.0, "pages": 0.0, "illustrations": 0}
         try:
             if path.lower().endswith(".epub"):
                 e = Epub(bytes(content))
@@ -62,8 +63,6 @@ def read_records(files: DataFrame, min_megapixels: float = 0.25) -> DataFrame:
             row["error"] = f"{type(x).__name__}: {x}"[:500]
         return row
 
-    names = [f.split(" ", 1)[0] for f in re.sub(r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", RECORD).split(", ")]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame([one(p, c) for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=names)
