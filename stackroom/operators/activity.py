@@ -167,6 +167,17 @@ def valid_invitations(invitations: DataFrame, now: str) -> DataFrame:
     return invitations.where(F.col("valid_until") > F.lit(now).cast("timestamp"))
 
 
+def registered_invitees(invitees: DataFrame, users: DataFrame) -> DataFrame:
+    """The invited addresses (column email) that belong to a user already, whatever their case."""
+    have = users.where(F.col("email").isNotNull()).select(F.lower("email").alias("__e"))
+    return invitees.join(have, F.lower(F.col("email")) == F.col("__e"), "left_semi")
+
+
+def admins_left(users: DataFrame, gone: int, admin_role: int = 2) -> DataFrame:
+    """(admins): the administrators that stay when a user goes; zero forbids the delete."""
+    return users.where((F.col("role") == admin_role) & (F.col("id") != gone)).agg(F.count(F.lit(1)).alias("admins"))
+
+
 # ---- changes
 
 

@@ -155,26 +155,42 @@ def composed(keywords: str, analyzers: list[str]) -> Column:
     return reduce(or_, [F.coalesce(x, F.lit(False)) for x in legs])
 
 
+RANGES = {"Words": "words", "Pages": "pages", "Illustrations": "illustrations", "SeriesIndex": "series_index", "Publication.Date": "publication.days"}
+
+
 def query_string(text: str) -> Column:
-    """field:term, "phrase", +must and -mustnot, wildcards * and ?; a bare term looks in all text fields."""
+    """The query-string language: field:term, "phrase", +must and -mustnot, wildcards * and ?, term~ or term~2 (fuzzy),
+    /regex/, ranges Field:>n and the like on numbers; ^boosts are read and have no effect on what matches. A bare term looks
+    in all text fields."""
     must, may, never = [], [], []
-    for sign, name, quoted, term in re.findall(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|(\S+))', text):
-        cols = [FIELDS[name]] if name in FIELDS else [*FIELDS.values(), "description"]
-        hit = reduce(or_, [F.coalesce(_one(F.col(c) if c in ("series", "title", "description") else joined(F.col(c)), quoted or term, bool(quoted)), F.lit(False)) for c in cols])
+    for sign, name, quoted, regex, term in re.findall(r'([+-]?)(?:([\w.]+):)?(?:"([^"]*)"|/((?:[^/\\]|\\.)+)/|(\S+))', text):
+        term = re.sub(r"\^[\d.]+$", "", term)
+        if name in RANGES and (m := re.fullmatch(r"(>=|<=|>|<)?(-?[\d.]+)", term)):
+            c, n = F.col(RANGES[name]), float(m[2])
+            hit = {">": c > n, ">=": c >= n, "<": c < n, "<=": c <= n}.get(m[1], c == n)
+            hit = F.coalesce(hit, F.lit(False))
+        else:
+            cols = [FIELDS[name]] if name in FIELDS else [*FIELDS.values(), "description"]
+            texts = [F.col(c) if c in ("series", "title", "description") else joined(F.col(c)) for c in cols]
+            hit = reduce(or_, [F.coalesce(_one(c, quoted, regex, term), F.lit(False)) for c in texts])
         (must if sign == "+" else never if sign == "-" else may).append(hit)
     out = must + ([reduce(or_, may)] if may and not must else []) + [~x for x in never]
     return reduce(and_, out) if out else F.lit(True)
 
 
-def _one(c: Column, text: str, quoted: bool) -> Column:
-    q = tokens(F.lit(text))
+def _one(c: Column, quoted: str, regex: str, term: str) -> Column:
     if quoted:
-        n = len(re.findall(r"\w+", text)) or 1
-        return phrase(tokens(c), q, n)
-    if "*" in text or "?" in text:
-        pattern = "^" + "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in text.lower()) + "$"
+        q = query_terms_in_order(quoted)
+        return phrase(tokens(c), F.array(*[F.lit(t) for t in q]), len(q)) if q else F.lit(False)
+    if regex:
+        return F.exists(tokens(c), lambda t: t.rlike(f"^(?:{regex})$"))
+    if m := re.fullmatch(r"(.+?)~(\d?)", term):
+        word, most = F.lit(" ".join(query_terms(m[1]))), int(m[2] or 1)
+        return F.exists(tokens(c), lambda t: F.levenshtein(t, word) <= most)
+    if "*" in term or "?" in term:
+        pattern = "^" + "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in term.lower()) + "$"
         return F.exists(tokens(c), lambda t: t.rlike(pattern))
-    return all_terms(tokens(c), q)
+    return all_terms(tokens(c), tokens(F.lit(term)))
 
 
 def predicate(keywords: str, analyzers: list[str] | Callable[[], list[str]]) -> Column:
@@ -196,13 +212,18 @@ def predicate(keywords: str, analyzers: list[str] | Callable[[], list[str]]) ->
 
 
 def query_terms(keywords: str) -> list[str]:
-    """The distinct default-analyzer tokens of a short query, computed without a job."""
+    """The distinct default-analyzer tokens of a short query."""
+    return list(dict.fromkeys(query_terms_in_order(keywords)))
+
+
+def query_terms_in_order(keywords: str) -> list[str]:
+    """The default-analyzer tokens of a short query, computed without a job."""
     from stackroom.functions.text import FOLD_FROM, FOLD_PAIRS, FOLD_TO
 
     text = keywords.lower().translate(str.maketrans(FOLD_FROM, FOLD_TO))
     for a, b in FOLD_PAIRS:
         text = text.replace(a, b)
-    return list(dict.fromkeys(w for w in re.split(r"[\W_]+", text) if w))
+    return [w for w in re.split(r"[\W_]+", text) if w]
 
 
 def _often(toks: Column, word: str) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.operators.joins import broadcast_checked
+from stackroom.session import ensure_checkpoint_dir
 
 # Month names (en, fr, de, es, it, pt) by number; abbreviations are their first three letters in English.
 MONTHS = {
@@ -215,7 +216,8 @@ def normalise_stamps(
         )
     # one row per source: a table of sources, its size is checked before it is broadcast
     weights = notation_weights(counts.join(broadcast_checked(known), "__src", "left"), "__src", "prior")
-    per_source = known.join(weights, "__src", "full")
+    ensure_checkpoint_dir(df.sparkSession)
+    per_source = known.join(weights, "__src", "full").checkpoint()  # one row per source, else its counts are made again below
     out = rows.join(broadcast_checked(per_source), "__src", "left")
     w = F.coalesce(F.col("w_day"), F.col("prior"), F.lit(0.5))
     p_day = F.when(~slash, F.lit(None).cast("double")).when(day & month, w).when(day, F.lit(1.0)).when(month, F.lit(0.0))

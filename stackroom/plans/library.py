@@ -114,6 +114,21 @@ def search_wildcard(spark, d):
     return _titles(spark, d, search.predicate("Title:harb*", [""]))
 
 
+@query("search_fuzzy", f"SELECT file_id, title FROM library_metadata WHERE len(list_filter({toks('title')}, lambda t: levenshtein(t, 'harbor') <= 1)) > 0")
+def search_fuzzy(spark, d):
+    return _titles(spark, d, search.predicate("Title:harbor~1", [""]))
+
+
+@query("search_regex", f"SELECT file_id, title FROM library_metadata WHERE len(list_filter({toks('title')}, lambda t: regexp_matches(t, '^(?:ma(p|rket))$'))) > 0")
+def search_regex(spark, d):
+    return _titles(spark, d, search.predicate("Title:/ma(p|rket)/", [""]))
+
+
+@query("search_ranges", f"SELECT file_id, title FROM library_metadata WHERE words > 40000 AND illustrations <= 5 AND {all_terms_sql('title', ['the'])}")
+def search_ranges(spark, d):
+    return _titles(spark, d, search.query_string("+Title:the^2 +Words:>40000 +Illustrations:<=5"))
+
+
 _COMPOSED = "last market"
 
 
@@ -503,6 +518,28 @@ def recipients_by_language(spark, d):
     return activity.recipients_by_language(table(spark, d, "users"), ["en", "es", "fr", "de"])
 
 
+@query(
+    "invitees_registered",
+    "SELECT upper(email) AS email FROM users i WHERE private_profile = 1 AND EXISTS (SELECT 1 FROM users u WHERE lower(u.email) = lower(i.email) AND u.role = 1)",
+)
+def invitees_registered(spark, d):
+    u = table(spark, d, "users")
+    return activity.registered_invitees(u.where("private_profile = 1").select(F.upper("email").alias("email")), u.where("role = 1"))
+
+
+@query("admins_left", "SELECT count(*) AS admins FROM users WHERE role = 2 AND id <> 1")
+def admins_left(spark, d):
+    return activity.admins_left(table(spark, d, "users"), 1)
+
+
+@query("distinct_people", "SELECT file_id, list_filter(list_transform(list_filter(list_zip(p, range(1, len(p) + 1)), lambda z: list_position(l, lower(z[1])) = z[2]), lambda z: z[1]), lambda z: z IS NOT NULL) AS people FROM "
+       "(SELECT file_id, list_concat(coalesce(authors, []), coalesce(illustrators, [])) AS p, list_transform(p, lambda x: lower(x)) AS l FROM library_metadata)")
+def distinct_people(spark, d):
+    none = F.array().cast("array<string>")
+    both = F.concat(F.coalesce("authors", none), F.coalesce("illustrators", none))
+    return table(spark, d, "library_metadata").select("file_id", activity.distinct_keeping_order(both, True).alias("people"))
+
+
 _RULES = {
     "name": "length(coalesce(name, '')) BETWEEN 1 AND 50",
     "username_length": "length(coalesce(username, '')) BETWEEN 1 AND 20",

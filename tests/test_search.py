@@ -56,6 +56,9 @@ def test_modes(lib):
     assert ids("Title:infinito") == ["a", "g"] and ids("Title:infinito -Authors:Irene") == ["a"]
     assert ids('"way station"') == ["c"] and ids("Title:infin*") == ["a", "g"]
     assert ids("nothing at all") == []
+    assert ids("Title:infinitu~") == ["a", "g"] and ids("Title:/infini.o/") == ["a", "g"] and ids("Title:juncos~0") == []
+    assert sorted(r["id"] for r in lib.where(search.query_string("+Words:>=0 -Words:>0")).collect()) == list("abcdefghi")
+    assert lib.where(search.query_string("Words:>5")).count() == 0 and lib.where(search.query_string("Title:way^3")).count() == 1
 
 
 def test_language_and_subjects(spark):
