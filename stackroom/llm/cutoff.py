@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stackroom.llm.linear import Logistic, hashed
 from stackroom.operators.joins import broadcast_checked
-from stackroom.session import spread
+from stackroom.session import ensure_checkpoint_dir, spread
 
 SAMPLE = 5000
 BITS = 18
@@ -165,7 +165,8 @@ def length_limits(docs: DataFrame, text: str, source: str) -> DataFrame:
 
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", sample: int = SAMPLE) -> DataFrame:
     """(key, source, p_cut) for every row of `docs`."""
-    limits = broadcast_checked(length_limits(docs, text, source))
+    ensure_checkpoint_dir(docs.sparkSession)
+    limits = broadcast_checked(length_limits(docs, text, source).checkpoint())
     rows = docs.select(F.col(key), F.col(text).alias("__t"), F.col(source).alias("__s")).join(limits, "__s", "left")
     gap = F.col("limit") - F.length("__t")
     rows = rows.select(

@@ -10,7 +10,7 @@ Words are what is compared: markup and entities are dropped, the rest is case-fo
 letters and digits (an apostrophe or hyphen joins its sides). A word no passage has is a break, as is a document's end; runs
 of fewer than `n` known words can't hold a window and are left out of the index. That loses no match.
 
-Nothing is shuffled: the passages (a held-out set of checked size) are broadcast, the corpus is mapped. A text repeated in a
+Nothing is shuffled: the passages are broadcast in slices of `SLICE` (their number is checked), the corpus is mapped. A text repeated in a
 third of the documents makes many occurrences in every shard, each handled where it lies.
 
 Defined results: NULL and empty texts hold nothing; passages of fewer than `n` words can't be found; repeated documents are
@@ -23,6 +23,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ from stackroom.session import spread
 WINDOW = 12
 SHARD_WORDS = 400_000
 SAMPLE = 16
+SLICE, MAX_PASSAGES = 5_000, 200_000
 
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _JOIN = re.compile(r"(?<=\w)['’‘ʼ`´\-‐‑­​‌‍⁠﻿]+(?=\w)|[­​‌‍⁠﻿]")
@@ -215,10 +217,21 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
     `spans` is an array of [first word, word after the last], in words of the document.
     """
-    held = items.select(item, passage).where(F.col(passage).isNotNull()).limit(200_001).collect()
-    if len(held) > 200_000:
-        raise ValueError("the held-out set is broadcast; it may have 200000 passages at most")
-    shared = docs.sparkSession.sparkContext.broadcast(Windows([(r[0], r[1]) for r in held], n))
+    held = items.select(item, passage).where(F.col(passage).isNotNull()).limit(MAX_PASSAGES + 1).collect()
+    if len(held) > MAX_PASSAGES:
+        raise ValueError(f"the held-out set may have {MAX_PASSAGES} passages at most; search it in parts")
+    rows = spread(docs.select(key, text).where(F.col(text).isNotNull()))
+    kinds = dict(docs.dtypes) | {item: dict(items.dtypes)[item]}
+    schema = f"`{key}` {kinds[key]}, `{item}` {kinds[item]}, spans array<array<int>>"
+    # a slice of the held-out set at a time is broadcast; an item stands in one slice
+    ids = sorted({r[0] for r in held})
+    slices = [set(ids[i : i + SLICE]) for i in range(0, len(ids), SLICE)] or [set()]
+    parts = [rows.mapInPandas(_searcher(docs, [(r[0], r[1]) for r in held if r[0] in part], key, text, item, n, shard_words), schema) for part in slices]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _searcher(docs: DataFrame, held: list[tuple[int, str]], key: str, text: str, item: str, n: int, shard_words: int):
+    shared = docs.sparkSession.sparkContext.broadcast(Windows(held, n))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         win = shared.value
@@ -245,6 +258,4 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         if out:
             yield pd.DataFrame(out, columns=[key, item, "spans"])
 
-    kinds = dict(docs.dtypes) | {item: dict(items.dtypes)[item]}
-    rows = spread(docs.select(key, text).where(F.col(text).isNotNull()))
-    return rows.mapInPandas(search, f"`{key}` {kinds[key]}, `{item}` {kinds[item]}, spans array<array<int>>")
+    return search
