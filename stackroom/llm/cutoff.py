@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.llm.linear import Logistic, hashed
+from stackroom.llm.sampling import smallest_hashes
 from stackroom.operators.joins import broadcast_checked
 from stackroom.session import ensure_checkpoint_dir, spread
 
@@ -174,11 +175,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         F.when(gap <= 0, 0).when(gap <= 3, 1).otherwise(2).alias("near"),
     )
     # the sample: texts of smallest id hash; twice as many are read as are kept, for those that don't look intact
-    pool = (
-        rows.where(~F.col("at") & F.col("__t").isNotNull())
-        .select(F.col("__t"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-        .orderBy("h").limit(2 * sample).collect()
-    )
+    pool = smallest_hashes(rows.where(~F.col("at") & F.col("__t").isNotNull()).select(key, "__t"), key, 2 * sample, docs.count()).collect()
     intact = [r["__t"] for r in pool if looks_intact(r["__t"])][:sample]
     model, known = Logistic(BITS), vocabulary(intact)
     if intact:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from stackroom.llm.canon import bounded_rows, canonical, language_entries
 from stackroom.llm.mojibake import LEXICON, Garbled, lexicon_of
+from stackroom.llm.sampling import smallest_hashes
 from stackroom.session import spread
 
 SAMPLE = 4000
@@ -229,7 +230,7 @@ def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", te
     rows = rows.withColumn("code", F.coalesce(canonical(F.col("__l"), df, language_entries(langs), language=True), F.lit("")))
     words = lexicon_of(df, [text], LEXICON)
     garbled = Garbled(words)
-    taught = rows.where("code != ''").orderBy(F.xxhash64(F.col(key).cast("string"))).select("__t", "code").limit(sample).collect()
+    taught = smallest_hashes(rows.where("code != ''").select(key, "__t", "code"), key, sample, df.count()).collect()
     model = train([(garbled.check(r["__t"])[1], r["code"]) for r in taught])
     shared = df.sparkSession.sparkContext.broadcast((model, words))
 

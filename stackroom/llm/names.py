@@ -38,7 +38,7 @@ from stackroom.session import ensure_checkpoint_dir
 RADIUS = 1
 CELL_ROWS = 20_000
 MAX_PIVOTS = 128
-LEXICON = 50_000
+LEXICON = 20_000
 
 # Short forms of given names in common use.
 NICKNAMES = {
