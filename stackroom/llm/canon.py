@@ -87,6 +87,7 @@ class Canon:
                 self.by_form.setdefault(form, (rank, place[ref], ref))
             self.words.append((ref, [fold(w) for w in words_of(name)]))
         self.tree = BKTree(w for w in self.by_form if len(w) >= 4)
+        self.longest = max((len(w) for w in self.by_form), default=0)
 
     def forms(self, value: str) -> list[str]:
         v = value.strip()
@@ -108,23 +109,29 @@ class Canon:
         m = re.fullmatch(r"([A-Za-z]{2,3})(?:[-_]([A-Za-z]{2}|[A-Za-z]{4}|\d{3}))*", value.strip().strip(";.,:/ "))
         return self.codes.get(m[1].casefold()) if m else None
 
-    def near(self, value: str) -> tuple[int, int, int, str] | None:
-        """(distance, rank, place, ref) of the closest entry within the threshold."""
-        if self.language and (ref := self.code(value)):
-            return (0, 0, 0, ref)
-        forms = self.forms(value)
-        exact = [(0, *self.by_form[f]) for f in forms if f in self.by_form]
-        if exact:
-            return min(exact)
-        best = None
-        for f in forms:
-            if len(f) < 4:
+    def near(self, values: list[str]) -> list[tuple[int, int, int, str] | None]:
+        """(distance, rank, place, ref) of each value's closest entry within the threshold; the tree sees all values at once."""
+        out: list[tuple[int, int, int, str] | None] = [None] * len(values)
+        asked: dict[str, list[int]] = {}
+        for i, value in enumerate(values):
+            if self.language and (ref := self.code(value)):
+                out[i] = (0, 0, 0, ref)
                 continue
-            for d, name in self.tree.within(f, MAX_EDITS):
+            forms = self.forms(value)
+            exact = [(0, *self.by_form[f]) for f in forms if f in self.by_form]
+            if exact:
+                out[i] = min(exact)
+                continue
+            for f in forms:
+                if 4 <= len(f) <= self.longest + MAX_EDITS:
+                    asked.setdefault(f, []).append(i)
+        for (f, at), hits in zip(asked.items(), self.tree.within_many(list(asked), MAX_EDITS), strict=True):
+            for d, name in hits:
                 if d * LETTERS_PER_EDIT <= max(len(f), len(name)):
                     got = (d, *self.by_form[name])
-                    best = got if best is None or got < best else best
-        return best
+                    for i in at:
+                        out[i] = got if out[i] is None or got < out[i] else out[i]
+        return out
 
     def abbreviated(self, value: str) -> set[str]:
         """The entries whose words the value's words shorten, in order."""
@@ -158,13 +165,21 @@ def shards_of(entries: list[tuple[str, int, str]], language: bool, shard_size: i
     return [Canon([e for e in entries if e[0] in part], language, place) for part in cut]
 
 
+def lookup_many(shards: list[Canon], values: list[str]) -> list[str]:
+    """The reference of each value, '' if none: the smallest of the shards' winners, else a unique abbreviation."""
+    won = [min((x for x in xs if x), default=None) for xs in zip(*(s.near(values) for s in shards), strict=True)]
+    out = []
+    for value, best in zip(values, won, strict=True):
+        if best:
+            out.append(best[-1])
+            continue
+        short = set().union(*(s.abbreviated(value) for s in shards))
+        out.append(short.pop() if len(short) == 1 else "")
+    return out
+
+
 def lookup(shards: list[Canon], value: str) -> str:
-    """The reference of one value, '' if none: the smallest of the shards' winners, else a unique abbreviation."""
-    near = [x for x in (s.near(value) for s in shards) if x]
-    if near:
-        return min(near)[-1]
-    short = set().union(*(s.abbreviated(value) for s in shards))
-    return short.pop() if len(short) == 1 else ""
+    return lookup_many(shards, [value])[0]
 
 
 def canonical(values: Column, df: DataFrame, entries: list[tuple[str, int, str]], language: bool = False,
@@ -175,8 +190,8 @@ def canonical(values: Column, df: DataFrame, entries: list[tuple[str, int, str]]
 
     @F.pandas_udf("string")
     def find(v: pd.Series) -> pd.Series:
-        shards = [b.value for b in shared]
-        got = {x: lookup(shards, x) for x in v.dropna().unique()}
+        known = v.dropna().unique().tolist()
+        got = dict(zip(known, lookup_many([b.value for b in shared], known), strict=True))
         return pd.Series([got.get(x) for x in v], dtype=object)  # never a column of NaN
 
     return find(values)

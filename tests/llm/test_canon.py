@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stackroom.llm.canon import fold, language_entries, lookup, map_catalogue, shards_of, subject_entries
-from stackroom.llm.edit import BKTree, edit_distance
+from stackroom.llm.edit import BKTree, codes_of, distances, edit_distance
 
 WORD = st.text(alphabet="abc", max_size=7)
 
@@ -40,6 +40,14 @@ def test_tree_finds_all(words, q, r):
     assert sorted(BKTree(words).within(q, r)) == sorted((edit_distance(q, w), w) for w in set(words) if edit_distance(q, w) <= r)
 
 
+@settings(max_examples=80, deadline=None)
+@given(WORD, st.lists(WORD, min_size=1, max_size=30), st.integers(0, 3))
+def test_many_at_once(word, words, r):
+    assert distances(word, *codes_of(words)).tolist() == [edit_distance(word, w) for w in words]
+    tree = BKTree(words)
+    assert [sorted(x) for x in tree.within_many([word, *words], r)] == [sorted(tree.within(w, r)) for w in [word, *words]]
+
+
 SUBJECTS = [
     {"subject_id": 1, "label": "Maritime history", "also": None}, {"subject_id": 2, "label": "Fables, animal", "also": None}, {"subject_id": 3, "label": "Customs & tariffs", "also": []},
     {"subject_id": 4, "label": "Science fiction", "also": ["Sci-fi", "SF", "Ciencia ficción"]}, {"subject_id": 5, "label": "Adventure stories", "also": None},
