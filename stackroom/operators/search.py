@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.functions.analyze import LANGUAGES, analyzed
-from stackroom.functions.dates import _days
 from stackroom.functions.text import fold, slug, tokens
 
 K1, B = 1.2, 0.75
@@ -235,9 +234,9 @@ def bm25(df: DataFrame, text: Column, keywords: str, k1: float = K1, b: float =
     terms = query_terms(keywords)
     if not terms:
         return df.withColumn("score", F.lit(0.0)).limit(0)
-    toks = tokens(text)
-    counted = df.withColumn("__dl", F.size(toks))
-    tf = [_often(toks, w) for w in terms]
+    # a column of its own, so the text is taken apart once and not once a term
+    counted = df.withColumn("__toks", tokens(text)).withColumn("__dl", F.size("__toks"))
+    tf = [_often(F.col("__toks"), w) for w in terms]
     # one row: the collection's statistics
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("avgdl"), *[F.sum((c > 0).cast("bigint")).alias(f"df{i}") for i, c in enumerate(tf)]
@@ -248,7 +247,7 @@ def bm25(df: DataFrame, text: Column, keywords: str, k1: float = K1, b: float =
         d = stats[f"df{i}"] or 0
         idf = F.log(1 + (F.lit(float(n)) - d + 0.5) / (F.lit(float(d)) + 0.5))
         score = score + idf * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("__dl") / F.lit(avgdl)))
-    return counted.withColumn("score", F.round(score, 6)).drop("__dl").where("score > 0")
+    return counted.withColumn("score", F.round(score, 6)).drop("__dl", "__toks").where("score > 0")
 
 
 def build_postings(df: DataFrame, key: str, fields: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -286,14 +285,15 @@ def ranked(df: DataFrame, s: SearchFields, words: str) -> DataFrame:
     hits = df.where(reduce(and_, filters(s), F.lit(True)))
     if not terms:
         return hits.withColumn("score", F.lit(0.0)).orderBy(*sort_keys(s.sort))
-    toks = tokens(F.concat_ws(" ", "title", "series", joined(F.col("authors")), joined(F.col("illustrators")), "description"))
-    tf = [_often(toks, w) for w in terms]
-    stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum((c > 0).cast("bigint")).alias(f"d{i}") for i, c in enumerate(tf)]).first()
+    text = F.concat_ws(" ", "title", "series", joined(F.col("authors")), joined(F.col("illustrators")), "description")
+    hits = hits.withColumn("__toks", tokens(text))
+    tf = [_often(F.col("__toks"), w) for w in terms]
+    stats = df.withColumn("__toks", tokens(text)).agg(F.count(F.lit(1)).alias("n"), *[F.sum((c > 0).cast("bigint")).alias(f"d{i}") for i, c in enumerate(tf)]).first()
     score = F.lit(0.0)
     for i, c in enumerate(tf):
         d = float(stats[f"d{i}"] or 0)
         score = score + F.log(F.lit(1 + (stats["n"] - d + 0.5) / (d + 0.5))) * c * (K1 + 1) / (c + K1)
-    return hits.withColumn("score", F.round(score, 6)).orderBy(*sort_keys(s.sort))
+    return hits.withColumn("score", F.round(score, 6)).drop("__toks").orderBy(*sort_keys(s.sort))
 
 
 UNSCORED = ("pub-date-older-first", "pub-date-newer-first", "est-read-time-shorter-first", "est-read-time-longer-first", "number-asc", "number-desc")

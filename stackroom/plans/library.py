@@ -309,11 +309,11 @@ def facet_languages(spark, d):
     "facet_subjects",
     f"WITH o AS (SELECT file_id, unnest(subjects) AS s FROM library_metadata), q AS (SELECT file_id, {slug_sql('s')} AS subject_slug, "
     "upper(substr(trim(s), 1, 1)) || lower(substr(trim(s), 2)) AS name FROM o WHERE trim(s) <> '') "
-    "SELECT subject_slug, list_sort(list_distinct(list(name))) AS names, count(DISTINCT file_id) AS documents FROM q WHERE subject_slug <> '' "
+    "SELECT subject_slug, array_to_string(list_sort(list_distinct(list(name))), '|') AS names, count(DISTINCT file_id) AS documents FROM q WHERE subject_slug <> '' "
     "GROUP BY subject_slug ORDER BY documents DESC, subject_slug LIMIT 10000",
 )
 def facet_subjects(spark, d):
-    return catalog.facet_subjects(table(spark, d, "library_metadata"))
+    return catalog.facet_subjects(table(spark, d, "library_metadata")).withColumn("names", F.array_join("names", "|"))
 
 
 @query("word_total", "SELECT coalesce(sum(words), 0) AS words FROM (SELECT slug FROM highlights WHERE slug IS NOT NULL) h JOIN library_metadata m USING (slug)")
@@ -449,8 +449,8 @@ def completed_stats_by_year(spark, d):
 
 @query(
     "activity_counts",
-    f"WITH {READ}, {MARK}, r AS (SELECT user_id, sum((completed_on IS NULL)::INT) AS a, sum((completed_on IS NOT NULL)::INT) AS b FROM rd GROUP BY user_id), "
-    "h AS (SELECT user_id, count(*) AS c, sum((shared_by_id IS NOT NULL)::INT) AS e FROM hl GROUP BY user_id) SELECT coalesce(r.user_id, h.user_id) AS user_id, "
+    f"WITH {READ}, {MARK}, r AS (SELECT user_id, sum((completed_on IS NULL)::INT)::BIGINT AS a, sum((completed_on IS NOT NULL)::INT)::BIGINT AS b FROM rd GROUP BY user_id), "
+    "h AS (SELECT user_id, count(*) AS c, sum((shared_by_id IS NOT NULL)::INT)::BIGINT AS e FROM hl GROUP BY user_id) SELECT coalesce(r.user_id, h.user_id) AS user_id, "
     "coalesce(a, 0) AS in_progress, coalesce(b, 0) AS completed, coalesce(c, 0) AS highlights, coalesce(e, 0) AS shared FROM r FULL JOIN h ON r.user_id = h.user_id "
     "WHERE coalesce(r.user_id, h.user_id) IS NOT NULL",
 )
@@ -512,10 +512,10 @@ def share_recipients(spark, d):
 
 @query(
     "recipients_by_language",
-    "SELECT CASE WHEN language IN ('en', 'es', 'fr', 'de') THEN language ELSE 'en' END AS language, list_sort(list_distinct(list(email))) AS emails FROM users WHERE email IS NOT NULL GROUP BY 1",
+    "SELECT CASE WHEN language IN ('en', 'es', 'fr', 'de') THEN language ELSE 'en' END AS language, array_to_string(list_sort(list_distinct(list(email))), '|') AS emails FROM users WHERE email IS NOT NULL GROUP BY 1",
 )
 def recipients_by_language(spark, d):
-    return activity.recipients_by_language(table(spark, d, "users"), ["en", "es", "fr", "de"])
+    return activity.recipients_by_language(table(spark, d, "users"), ["en", "es", "fr", "de"]).withColumn("emails", F.array_join("emails", "|"))
 
 
 @query(
@@ -532,12 +532,12 @@ def admins_left(spark, d):
     return activity.admins_left(table(spark, d, "users"), 1)
 
 
-@query("distinct_people", "SELECT file_id, list_filter(list_transform(list_filter(list_zip(p, range(1, len(p) + 1)), lambda z: list_position(l, lower(z[1])) = z[2]), lambda z: z[1]), lambda z: z IS NOT NULL) AS people FROM "
+@query("distinct_people", "SELECT file_id, array_to_string(list_transform(list_filter(list_zip(p, range(1, len(p) + 1)), lambda z: list_position(l, lower(z[1])) = z[2]), lambda z: z[1]), '|') AS people FROM "
        "(SELECT file_id, list_concat(coalesce(authors, []), coalesce(illustrators, [])) AS p, list_transform(p, lambda x: lower(x)) AS l FROM library_metadata)")
 def distinct_people(spark, d):
     none = F.array().cast("array<string>")
     both = F.concat(F.coalesce("authors", none), F.coalesce("illustrators", none))
-    return table(spark, d, "library_metadata").select("file_id", activity.distinct_keeping_order(both, True).alias("people"))
+    return table(spark, d, "library_metadata").select("file_id", F.array_join(activity.distinct_keeping_order(both, True), "|").alias("people"))
 
 
 _RULES = {
@@ -550,9 +550,62 @@ _RULES = {
 }
 
 
-@query("user_problems", "SELECT id, list_filter([" + ", ".join(f"CASE WHEN NOT ({r}) THEN '{n}' END" for n, r in _RULES.items()) + "], lambda x: x IS NOT NULL) AS problems FROM users")
+@query("user_problems", "SELECT id, coalesce(array_to_string([" + ", ".join(f"CASE WHEN NOT ({r}) THEN '{n}' END" for n, r in _RULES.items()) + "], '|'), '') AS problems FROM users")
 def user_problems(spark, d):
-    return activity.user_problems(table(spark, d, "users"))
+    return activity.user_problems(table(spark, d, "users")).withColumn("problems", F.array_join("problems", "|"))
+
+
+# ---- whole pages
+
+
+@query(
+    "home_page",
+    f"WITH {READ}, l AS (SELECT slug FROM library_metadata WHERE added_on IS NOT NULL AND added_on <= TIMESTAMP '{NOW}' ORDER BY added_on DESC, slug LIMIT 6), "
+    f"p AS (SELECT slug FROM rd WHERE user_id = {BUSY} AND completed_on IS NULL ORDER BY updated_at DESC NULLS LAST, slug LIMIT 10) "
+    "SELECT 'count' AS section, count(*)::VARCHAR AS entry FROM library_metadata UNION ALL SELECT 'latest', slug FROM l UNION ALL SELECT 'reading', p.slug FROM p JOIN library_metadata m ON p.slug = m.slug",
+)
+def home_page(spark, d):
+    """Number of documents, the latest ones, and what the user reads."""
+    docs = table(spark, d, "library_metadata")
+    r, u = readings(spark, d)
+    count = docs.agg(F.count(F.lit(1)).cast("string").alias("entry")).select(F.lit("count").alias("section"), "entry")
+    latest = catalog.latest_added(docs, NOW).select(F.lit("latest").alias("section"), F.col("slug").alias("entry"))
+    reading = activity.in_progress(r, docs, u).select(F.lit("reading").alias("section"), F.col("slug").alias("entry"))
+    return count.unionByName(latest).unionByName(reading)
+
+
+@query(
+    "author_page",
+    f"WITH {CAT}, k AS (SELECT a FROM cat, unnest(authors_slugs) u(a) GROUP BY a ORDER BY count(*) DESC, a LIMIT 1) SELECT slug, title FROM cat "
+    f"WHERE list_contains(authors_slugs, (SELECT a FROM k)) OR list_contains(illustrators_slugs, (SELECT a FROM k)) ORDER BY {_DAYS}, slug LIMIT 10",
+)
+def author_page(spark, d):
+    """An author's documents, older first."""
+    c = cat(spark, d)
+    mine = catalog.browse_author(c, _top_author(c)).withColumn("score", F.lit(0.0))
+    return catalog.page(mine.orderBy(*search.sort_keys("pub-date-older-first")), 1).select(*SHOW)
+
+
+@query(
+    "series_page",
+    f"WITH {CAT}, k AS (SELECT series_slug AS key FROM cat WHERE series_slug <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) "
+    "SELECT slug, title, series_index FROM cat WHERE series_slug = (SELECT key FROM k) ORDER BY coalesce(series_index, 0), slug LIMIT 10",
+)
+def series_page(spark, d):
+    """A series by number."""
+    c = cat(spark, d)
+    mine = catalog.browse_series(c, _top_series(c)).withColumn("score", F.lit(0.0))
+    return catalog.page(mine.orderBy(*search.sort_keys("number-asc")), 1).select(*SHOW, "series_index")
+
+
+@query("document_page")
+def document_page(spark, d):
+    """A document's three related lists."""
+    c = cat(spark, d)
+    key = _ref(c, True)
+    lists = {"subjects": related.same_subjects(c, key), "authors": related.same_authors(c, key), "series": related.same_series(c, key)}
+    parts = [df.select(F.lit(k).alias("list"), "slug", "score") for k, df in lists.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ---- changes
@@ -674,17 +727,17 @@ _SPLIT = "list_filter(list_transform(regexp_split_to_array({x}, '[{m}]'), lambda
 @query(
     "author_list_split",
     f"WITH e AS (SELECT info_id, unnest(creator).full_name AS f FROM epub_info), s AS (SELECT info_id, f, {_SPLIT.format(x='f', m='&,;')} AS names FROM e WHERE f IS NOT NULL) "
-    "SELECT info_id, f AS full_name, CASE WHEN len(names) = 0 THEN [''] ELSE names END AS names FROM s",
+    "SELECT info_id, f AS full_name, array_to_string(names, '|') AS names FROM s",
 )
 def author_list_split(spark, d):
     e = table(spark, d, "epub_info").select("info_id", F.explode("creator.full_name").alias("full_name")).where("full_name IS NOT NULL")
-    return e.select("info_id", "full_name", text.author_list(F.col("full_name")).alias("names"))
+    return e.select("info_id", "full_name", F.array_join(text.author_list(F.col("full_name")), "|").alias("names"))
 
 
-@query("subject_list_split", f"WITH e AS (SELECT info_id, unnest(subject) AS s FROM epub_info) SELECT info_id, s AS element, {_SPLIT.format(x='s', m=',;')} AS names FROM e WHERE s IS NOT NULL")
+@query("subject_list_split", f"WITH e AS (SELECT info_id, unnest(subject) AS s FROM epub_info) SELECT info_id, s AS element, array_to_string({_SPLIT.format(x='s', m=',;')}, '|') AS names FROM e WHERE s IS NOT NULL")
 def subject_list_split(spark, d):
     e = table(spark, d, "epub_info").select("info_id", F.explode("subject").alias("element")).where("element IS NOT NULL")
-    return e.select("info_id", "element", text.subject_list(F.col("element")).alias("names"))
+    return e.select("info_id", "element", F.array_join(text.subject_list(F.col("element")), "|").alias("names"))
 
 
 @query("subject_display_name", "SELECT subject_id, upper(substr(label, 1, 1)) || lower(substr(label, 2)) AS name FROM subject_list")
