@@ -194,7 +194,7 @@ def canonical(values: Column, df: DataFrame, entries: list[tuple[str, int, str]]
         got = dict(zip(known, lookup_many([b.value for b in shared], known), strict=True))
         return pd.Series([got.get(x) for x in v], dtype=object)  # never a column of NaN
 
-    return find(values)
+    return find.asNondeterministic()(values)  # else a filter on the result runs it twice
 
 
 def subject_entries(rows) -> list[tuple[str, int, str]]:

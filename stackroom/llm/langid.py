@@ -248,7 +248,9 @@ def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", te
             out.append([{"start": a, "end": b, "lang": c, "confidence": q} for a, b, c, q in stretches(t, m, e)])
         return pd.Series(out, dtype=object)
 
-    return spread(rows).select(key, F.col("__l").alias(label), "code", spans("__t").alias("spans"))
+    # 'not deterministic' keeps filters on its result from running it a second time
+    once = spans.asNondeterministic()
+    return spread(rows).select(key, F.col("__l").alias(label), "code", once("__t").alias("spans"))
 
 
 def relabelled(df: DataFrame, languages: DataFrame, **names) -> DataFrame:
