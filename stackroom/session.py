@@ -49,3 +49,24 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() > 1000 or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(2 * cores)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once a context.
+
+    Workers then have it whatever their path is; Spark's own file server distributes the archive.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_stackroom_shipped", False):
+        return
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="stackroom-")) / "stackroom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._stackroom_shipped = True

@@ -33,6 +33,16 @@ def test_entry_without_the_subpackage():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+def test_workers_elsewhere_get_the_package(sf_dir, tmp_path):
+    """A session started in another folder, without the repository on the workers' path."""
+    code = (
+        f"import sys; sys.path.insert(0, {str(ROOT)!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; "
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.session.timeZone', 'UTC').getOrCreate(); "
+        f"assert e.queries()['search_stemmed_en'](s, {sf_dir!r}).count() >= 0"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+
+
 def test_nothing_outside_imports_it():
     for p in (ROOT / "stackroom").rglob("*.py"):
         if "llm" not in p.parts:
