@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.llm.canon import bounded_rows, canonical, language_entries
-from stackroom.llm.mojibake import LEXICON, Garbled, lexicon_of
+from stackroom.llm.mojibake import LEXICON, Garbled, built, lexicon_of
 from stackroom.llm.sampling import smallest_hashes
 from stackroom.session import spread
 
@@ -87,9 +88,13 @@ class Embedder:
         return got
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat buckets and the row each belongs to."""
-        per = [np.concatenate([self.buckets(w) for w in t.split()]) for t in texts]
-        return np.concatenate(per), np.repeat(np.arange(len(per)), [len(p) for p in per])
+        """Flat buckets and how many each row has; a text has a word at least."""
+        parts, sizes = [], []
+        for t in texts:
+            own = [self.buckets(w) for w in t.split()]
+            parts += own
+            sizes.append(sum(map(len, own)))
+        return np.concatenate(parts), np.array(sizes)
 
 
 class LangModel:
@@ -101,17 +106,15 @@ class LangModel:
         self.bias = np.zeros(len(labels), dtype=np.float32)
         self.heat, self.least = 1.0, 0.5
 
-    def _mean(self, flat: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        size = np.maximum(np.bincount(row, minlength=n), 1).astype(np.float32)
-        total = np.zeros((n, DIM), dtype=np.float32)
-        np.add.at(total, row, self.emb[flat])
-        return total / size[:, None], size
+    def _mean(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        return np.add.reduceat(self.emb[flat], starts, axis=0) / sizes[:, None].astype(np.float32)
 
     def logits(self, texts: list[str], e: Embedder) -> np.ndarray:
         out = np.zeros((len(texts), len(self.labels)), dtype=np.float32)
         for k in range(0, len(texts), 512):
             part = texts[k : k + 512]
-            h, _ = self._mean(*e.rows(part), len(part))
+            h = self._mean(*e.rows(part))
             out[k : k + 512] = h @ self.out + self.bias
         return out
 
@@ -129,8 +132,8 @@ class LangModel:
                 lr = rate * (1 - step / steps)
                 step += 1
                 part = order[k : k + batch]
-                flat, row = e.rows([texts[i] for i in part])
-                h, size = self._mean(flat, row, len(part))
+                flat, sizes = e.rows([texts[i] for i in part])
+                h = self._mean(flat, sizes)
                 z = h @ self.out + self.bias
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
@@ -138,7 +141,7 @@ class LangModel:
                 gh = p @ self.out.T
                 self.out -= lr * (h.T @ p)
                 self.bias -= lr * p.sum(axis=0) / len(part)
-                np.add.at(self.emb, flat, (-lr * gh / size[:, None])[row])
+                np.add.at(self.emb, flat, np.repeat(-lr * gh / sizes[:, None], sizes, axis=0).astype(np.float32))
         return self
 
     def calibrate(self, texts: list[str], y: np.ndarray, e: Embedder) -> LangModel:
@@ -219,7 +222,15 @@ def stretches(text: str, m: LangModel, e: Embedder) -> list[tuple[int, int, str,
     return [s[:4] for s in out]
 
 
-_state: dict = {}
+_embedders: dict[str, Embedder] = {}
+
+
+def embedder(token: str) -> Embedder:
+    """The words met so far, kept in a worker process."""
+    if token not in _embedders:
+        _embedders.clear()
+        _embedders[token] = Embedder()
+    return _embedders[token]
 
 
 def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", text: str = "description",
@@ -232,16 +243,14 @@ def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", te
     garbled = Garbled(words)
     taught = smallest_hashes(rows.where("code != ''").select(key, "__t", "code"), key, sample, df.count()).collect()
     model = train([(garbled.check(r["__t"])[1], r["code"]) for r in taught])
-    shared = df.sparkSession.sparkContext.broadcast((model, words))
+    shared, token = df.sparkSession.sparkContext.broadcast((model, words)), uuid4().hex
 
     @F.pandas_udf("array<struct<start:int,end:int,lang:string,confidence:double>>")
     def spans(texts: pd.Series) -> pd.Series:
         m, lex = shared.value
         if m is None:
             return pd.Series([[] for _ in texts], dtype=object)
-        if _state.get("of") != id(m):
-            _state.update(of=id(m), emb=Embedder(), fix=Garbled(lex))
-        e, fix = _state["emb"], _state["fix"]
+        e, fix = embedder(token), built(token, lex)
         out = []
         for t in texts:
             t = unescape(fix.check(t)[1])
