@@ -225,8 +225,33 @@ def query_terms_in_order(keywords: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", text) if w]
 
 
-def _often(toks: Column, word: str) -> Column:
-    return F.size(F.filter(toks, lambda t: t == word))
+def term_pattern(term: str) -> str:
+    """A regular expression for a folded term as a whole token of unfolded text: each letter in any case and with any accent.
+
+    Counting its matches spares folding and taking apart every text; only the terms are expanded.
+    """
+    from stackroom.functions.text import FOLD_FROM, FOLD_PAIRS, FOLD_TO
+
+    marked: dict[str, str] = {}
+    for a, b in zip(FOLD_FROM, FOLD_TO, strict=True):
+        marked[b] = marked.get(b, "") + a
+    ligatures = {b: a for a, b in FOLD_PAIRS}
+    out, i = [], 0
+    while i < len(term):
+        two, c = term[i : i + 2], term[i]
+        plain = [f"[{x}{marked[x]}]" if x in marked else re.escape(x) for x in two]
+        if two in ligatures:
+            out.append(f"(?:{''.join(plain)}|{ligatures[two]})")
+            i += 2
+        else:
+            out.append(f"[{c}{marked[c]}]" if c in marked else re.escape(c))
+            i += 1
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}]){''.join(out)}(?![\p{{L}}\p{{N}}])"
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often a folded term stands in a text; NULL counts as none."""
+    return F.coalesce(F.regexp_count(text, F.lit(term_pattern(term))), F.lit(0))
 
 
 def bm25(df: DataFrame, text: Column, keywords: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -234,20 +259,22 @@ def bm25(df: DataFrame, text: Column, keywords: str, k1: float = K1, b: float =
     terms = query_terms(keywords)
     if not terms:
         return df.withColumn("score", F.lit(0.0)).limit(0)
-    # a column of its own, so the text is taken apart once and not once a term
-    counted = df.withColumn("__toks", tokens(text)).withColumn("__dl", F.size("__toks"))
-    tf = [_often(F.col("__toks"), w) for w in terms]
+    tf = [term_count(text, w) for w in terms]
+    length = F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")), F.lit(0))
     # one row: the collection's statistics
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("avgdl"), *[F.sum((c > 0).cast("bigint")).alias(f"df{i}") for i, c in enumerate(tf)]
+    stats = df.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(length).alias("avgdl"), *[F.sum((c > 0).cast("bigint")).alias(f"df{i}") for i, c in enumerate(tf)]
     ).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
+    # what holds no term is dropped before its length is counted
+    hits = df.withColumns({f"__tf{i}": c for i, c in enumerate(tf)}).where(reduce(or_, [F.col(f"__tf{i}") > 0 for i in range(len(terms))]))
+    hits = hits.withColumn("__dl", length)
     score = F.lit(0.0)
-    for i, c in enumerate(tf):
-        d = stats[f"df{i}"] or 0
+    for i in range(len(terms)):
+        d, c = stats[f"df{i}"] or 0, F.col(f"__tf{i}")
         idf = F.log(1 + (F.lit(float(n)) - d + 0.5) / (F.lit(float(d)) + 0.5))
         score = score + idf * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("__dl") / F.lit(avgdl)))
-    return counted.withColumn("score", F.round(score, 6)).drop("__dl", "__toks").where("score > 0")
+    return hits.withColumn("score", F.round(score, 6)).drop("__dl", *[f"__tf{i}" for i in range(len(terms))])
 
 
 def build_postings(df: DataFrame, key: str, fields: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -286,14 +313,13 @@ def ranked(df: DataFrame, s: SearchFields, words: str) -> DataFrame:
     if not terms:
         return hits.withColumn("score", F.lit(0.0)).orderBy(*sort_keys(s.sort))
     text = F.concat_ws(" ", "title", "series", joined(F.col("authors")), joined(F.col("illustrators")), "description")
-    hits = hits.withColumn("__toks", tokens(text))
-    tf = [_often(F.col("__toks"), w) for w in terms]
-    stats = df.withColumn("__toks", tokens(text)).agg(F.count(F.lit(1)).alias("n"), *[F.sum((c > 0).cast("bigint")).alias(f"d{i}") for i, c in enumerate(tf)]).first()
+    tf = [term_count(text, w) for w in terms]
+    stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum((c > 0).cast("bigint")).alias(f"d{i}") for i, c in enumerate(tf)]).first()
     score = F.lit(0.0)
     for i, c in enumerate(tf):
         d = float(stats[f"d{i}"] or 0)
         score = score + F.log(F.lit(1 + (stats["n"] - d + 0.5) / (d + 0.5))) * c * (K1 + 1) / (c + K1)
-    return hits.withColumn("score", F.round(score, 6)).drop("__toks").orderBy(*sort_keys(s.sort))
+    return hits.withColumn("score", F.round(score, 6)).orderBy(*sort_keys(s.sort))
 
 
 UNSCORED = ("pub-date-older-first", "pub-date-newer-first", "est-read-time-shorter-first", "est-read-time-longer-first", "number-asc", "number-desc")

@@ -114,6 +114,14 @@ def test_postings_equal_scan(spark, sf_dir):
     assert search.bm25(docs, F.col("text"), " ").count() == 0 and search.search_postings(postings, stats, "doc_id", "text", "zzzz").count() == 0
 
 
+def test_term_counts_equal_tokens(spark):
+    texts = ["Straße, STRASSE strasse", "Œuvre œuvre oeuvre oeuvres", "Último ULTIMO últimos", "a.b", "ÆTHER aether x-æther", "", None, "ultimo" * 3, "Łódź łodz lodz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for w in ("strasse", "oeuvre", "ultimo", "aether", "lodz", "b"):
+        rows = df.select(search.term_count(F.col("t"), w).alias("a"), F.size(F.filter(tokens(F.col("t")), lambda x: x == F.lit(w))).alias("b")).collect()  # noqa: B023
+        assert [r["a"] for r in rows] == [r["b"] for r in rows]
+
+
 def test_filters_reach_the_scan(spark, sf_dir):
     df = catalog.with_slugs(spark.read.parquet(f"{sf_dir}/library_metadata.parquet"))
     for f in search.filters(search.SearchFields(language="en", hours_from=1)):
