@@ -7,7 +7,8 @@ held-out sentences a temperature is fitted and a threshold chosen below which a
 Labels are noisy, so training is two-fold first: each half is predicted by a model of the other half, rows whose label the
 other model contradicts are left out, and so are labels that are mostly contradicted. What stays trains the final model.
 
-The sample is bounded by `sample` rows (a documented parameter; those of smallest id hash), the one thing collected; every
+The sample is bounded by `sample` rows (a documented parameter; those of smallest id hash among the rows with a label and a
+text) and, so that no language drops out, what each label lacks of `LABEL_LEAST` rows; it is the one thing collected. Every
 row is classified, in an Arrow-batched function with the model broadcast, without a shuffle.
 
 Text decoded wrongly is restored first. Quoted titles and bracketed citations don't count as sentences.
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 
 from stackroom.llm.canon import bounded_rows, canonical, language_entries
 from stackroom.llm.mojibake import LEXICON, Garbled, built, lexicon_of
-from stackroom.llm.sampling import smallest_hashes
+from stackroom.llm.sampling import smallest_hashes_by
 from stackroom.session import spread
 
 SAMPLE = 4000
+LABEL_LEAST = 40
 BITS = 16
 DIM = 16
 SEED = 5
@@ -241,7 +243,8 @@ def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", te
     rows = rows.withColumn("code", F.coalesce(canonical(F.col("__l"), df, language_entries(langs), language=True), F.lit("")))
     words = lexicon_of(df, [text], LEXICON)
     garbled = Garbled(words)
-    taught = smallest_hashes(rows.where("code != ''").select(key, "__t", "code"), key, sample, df.count()).collect()
+    labelled = rows.where((F.col("code") != "") & F.col("__t").rlike(r"\p{L}")).select(key, "__t", "code")
+    taught = smallest_hashes_by(labelled, key, "code", sample, LABEL_LEAST).collect()
     model = train([(garbled.check(r["__t"])[1], r["code"]) for r in taught])
     shared, token = df.sparkSession.sparkContext.broadcast((model, words)), uuid4().hex
 

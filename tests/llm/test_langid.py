@@ -70,3 +70,15 @@ def test_table(spark, rows):
     assert got == [(1001, "en"), (1001, "en"), (1002, "de"), (1003, "es"), (1004, "en"), (1004, "ru"), (1009, "es"), (1010, "ru")]
     assert relabelled(spark.createDataFrame([], META), langs).count() == 0
     assert language_spans(df.where("language IS NULL"), langs).where("size(spans) > 0").count() == 0
+
+
+def test_few_labels_in_a_large_table_still_teach(spark, rows):
+    """Nearly all rows without a label: the sample is taken from those that have one."""
+    rng = random.Random(6)
+    langs = spark.createDataFrame(LANGS, "code string, code3 string, name string, native_name string")
+    taught = [(i, t, k, None, None, None) for i, (t, k) in enumerate(rows)]
+    tests = [(1000 + i, text(rng, x, x), None, x, None, None) for i, x in enumerate([*PARTS] * 3)]
+    empty = spark.range(2000, 400_000).selectExpr("id AS file_id", *[f"CAST(NULL AS string) AS {c}" for c in META.replace(" string", "").split(", ")[1:]])
+    df = spark.createDataFrame(taught + tests, META).unionByName(empty)
+    got = {r["file_id"]: r["lang"] for r in relabelled(df, langs).where("file_id >= 1000").collect()}
+    assert got == {t[0]: t[3] for t in tests}
