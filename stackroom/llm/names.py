@@ -4,8 +4,8 @@ Distinct names are parsed into a metric key ('given surname', or an organisation
 
 1. Typos, by metric-space partitioning: every key is assigned to its nearest pivot under the bag metric, which never exceeds
    the edit metric, and replicated to each pivot whose distance is at most 2r larger (triangle inequality: no pair within
-   r edits is separated); an exact radius join under the true edit metric runs inside each cell. Keys within r = 1 edit are linked and connected components taken (min-label rounds, cut
-   with checkpoint()).
+   r edits is separated); an exact radius join under the true edit metric runs inside each cell. Keys within r = 1 edit are linked and connected components taken (min-label rounds with
+   pointer jumping until no label moves, cut with checkpoint()).
 2. Nicknames and abbreviations ('Paddy', 'Phil.') link to the one component of that surname they can stand for.
 3. Initials ('P. Surname') link to the one component of that surname with that initial; a second initial decides ties.
 4. Two different middle initials keep two persons of one given name and surname apart.
@@ -244,21 +244,29 @@ def radius_pairs(words: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.groupBy("cell", "part").applyInPandas(join_cell, "a string, b string").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, label): the smallest node each node is connected to, by rounds of min-label exchange until nothing changes."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node each node is connected to.
+
+    Rounds until no label moves: the smaller label of an edge goes to the node and to the node's label, then every label is
+    replaced by its own label (pointer jumping), so a chain halves in a round and long chains take a few more of them.
+    """
     ensure_checkpoint_dir(nodes.sparkSession)
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
     ).checkpoint()
     # only linked nodes take part in the rounds
     labels = both.select("node").distinct().withColumn("label", F.col("node")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")).checkpoint()
+    moved = 1
+    while moved:
+        near = both.join(labels.withColumnRenamed("node", "other").withColumnRenamed("label", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
+        near = near.join(labels, "node").where(F.col("near") < F.col("label"))
+        # what a node learns its label learns too
+        told = near.select(F.explode(F.array("node", "label")).alias("node"), "near").groupBy("node").agg(F.min("near").alias("near"))
+        hooked = labels.join(told, "node", "left").select("node", "label", F.least("label", "near").alias("next")).checkpoint()
+        above = hooked.select(F.col("node").alias("next"), F.col("next").alias("above"))
+        new = hooked.join(above, "next").select("node", F.col("above").alias("label"), (F.col("above") < F.col("label")).alias("moved")).checkpoint()
         moved = new.where("moved").limit(1).count()
         labels = new.drop("moved")
-        if not moved:
-            break
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 

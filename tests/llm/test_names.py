@@ -82,3 +82,14 @@ def test_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "a string, b string")
     nodes = spark.createDataFrame([(n,) for n in "abcdxyz"], "node string")
     assert {r["node"]: r["label"] for r in m.components(nodes, edges).collect()} == dict(zip("abcdxyz", "aaaaxxz", strict=True))
+
+
+def test_components_of_long_chains(spark):
+    """Chains of many more hops than rounds, in order and shuffled, are one component each."""
+    order = list(range(90))
+    random.Random(3).shuffle(order)
+    chains = [[f"a{i:03d}" for i in range(90)], [f"b{i:03d}" for i in order]]
+    edges = spark.createDataFrame([(min(x, y), max(x, y)) for c in chains for x, y in zip(c, c[1:], strict=False)], "a string, b string")
+    nodes = spark.createDataFrame([(n,) for c in chains for n in c], "node string")
+    got = {r["node"]: r["label"] for r in m.components(nodes, edges).collect()}
+    assert got == {n: min(c) for c in chains for n in c}
