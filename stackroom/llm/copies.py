@@ -92,36 +92,43 @@ def _same_names(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(a, lambda x: often(a, x) == often(b, x))
 
 
-def copies(df: DataFrame, key: str = "file_id", text: str = "title", names: str = "authors") -> DataFrame:
-    """(first_id, key): every copy but the one with the smallest key, which is first_id."""
+def _checked(df: DataFrame, key: str, text: str, names: str, alone: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The groups of equal sums (with `alone`, also those of one row), and the rows of larger ones with what `same` found."""
     ensure_checkpoint_dir(df.sparkSession)
     hot_rows = max(1000, df.count() // HOT_SHARE)
     rows = fingerprinted(keyed(df, key, text, names))
-    groups = (
-        rows.groupBy("f1", "f2")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(key).alias("first_id"),
-            F.min_by(F.struct("t", "a"), key).alias("first"),
-        )
-        .where("n > 1")
-        .checkpoint()
+    groups = rows.groupBy("f1", "f2").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(key).alias("first_id"),
+        F.min_by(F.struct("t", "a"), key).alias("first"),
     )
+    if alone:
+        groups = groups.withColumn("first", F.when(F.col("n") > 1, F.col("first")))
+    else:
+        groups = groups.where("n > 1")
+    groups = groups.checkpoint()
+    several = groups.where("n > 1")
     # more than a thousandth of all rows each: a thousand groups at most
-    hot = groups.where(F.col("n") > hot_rows).drop("n")
+    hot = several.where(F.col("n") > hot_rows).drop("n")
     both = rows
     if hot.limit(1).count():
-        cold = groups.where(F.col("n") <= hot_rows).drop("n")
+        cold = several.where(F.col("n") <= hot_rows).drop("n")
         apart = rows.join(F.broadcast(hot.select("f1", "f2", F.lit(True).alias("hot"))), ["f1", "f2"], "left")
         fields = ["f1", "f2", key, "t", "a", "first_id", "first"]
         both = rows.join(F.broadcast(hot), ["f1", "f2"]).select(*fields).unionByName(
             apart.where("hot IS NULL").drop("hot").join(cold, ["f1", "f2"]).select(*fields)
         )
     else:
-        both = rows.join(groups.drop("n"), ["f1", "f2"])
+        both = rows.join(several.drop("n"), ["f1", "f2"])
     same = (F.col("t") == F.col("first.t")) & _same_names(F.col("a"), F.col("first.a"))
-    # read twice below: what agrees keeps its keys only
-    checked = both.select(key, "first_id", same.alias("same"), F.when(~same, F.col("t")).alias("t"), F.when(~same, F.array_sort("a")).alias("a")).checkpoint()
+    # read twice: what agrees keeps its keys only
+    own = [F.when(~same, F.col("t")).alias("t"), F.when(~same, F.array_sort("a")).alias("a")]
+    return groups, both.select("f1", "f2", key, "first_id", same.alias("same"), *own).checkpoint()
+
+
+def copies(df: DataFrame, key: str = "file_id", text: str = "title", names: str = "authors") -> DataFrame:
+    """(first_id, key): every copy but the one with the smallest key, which is first_id."""
+    _, checked = _checked(df, key, text, names)
     good = checked.where(F.col("same") & (F.col(key) != F.col("first_id"))).select("first_id", key)
     # collisions of both hashes: grouped by the fields themselves
     odd = checked.where(~F.col("same")).select(key, "t", "a")
@@ -131,6 +138,10 @@ def copies(df: DataFrame, key: str = "file_id", text: str = "title", names: str
 
 
 def works(df: DataFrame, key: str = "file_id", text: str = "title", names: str = "authors") -> DataFrame:
-    """(first_id, copies): one row per work with a title; `copies` counts its rows."""
-    rows = fingerprinted(keyed(df, key, text, names))
-    return rows.groupBy("f1", "f2").agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies")).select("first_id", "copies")
+    """(first_id, copies): one row per work with a title; `copies` counts its rows, verified as in copies()."""
+    groups, checked = _checked(df, key, text, names, alone=True)
+    often = F.count(F.lit(1)).alias("copies")
+    good = checked.where("same").groupBy("f1", "f2").agg(F.first("first_id").alias("first_id"), often).select("first_id", "copies")
+    # collisions of both hashes: grouped by the fields themselves
+    odd = checked.where(~F.col("same")).groupBy("t", "a").agg(F.min(key).alias("first_id"), often).select("first_id", "copies")
+    return groups.where("n = 1").select("first_id", F.col("n").alias("copies")).unionByName(good).unionByName(odd)

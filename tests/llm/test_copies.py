@@ -78,3 +78,14 @@ def test_counts(spark):
     rows = [(1, "a", ["x"]), (2, "A", ["X"]), (3, "b", ["x"]), (4, None, None)]
     df = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], META)
     assert sorted(map(tuple, m.works(df).collect())) == [(1, 2), (3, 1)]
+
+
+def test_counts_are_verified(spark, monkeypatch):
+    """With hashes that always collide the fields themselves still part the works."""
+    from pyspark.sql import functions as F
+
+    one = F.lit(1).cast("decimal(38,0)")
+    monkeypatch.setattr(m, "fingerprinted", lambda rows: rows.withColumns({"f1": one, "f2": one}))
+    rows = [(1, "a", ["x"]), (2, "A", ["X"]), (2, "A", ["X"]), (3, "b", ["x"]), (4, "B", ["x"]), (5, "c", ["y", "x"])]
+    df = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], META)
+    assert sorted(map(tuple, m.works(df).collect())) == [(1, 3), (3, 2), (5, 1)]
