@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.llm.canon import bounded_rows, canonical, language_entries
-from stackroom.llm.mojibake import LEXICON, Garbled, built, lexicon_of
+from stackroom.llm.mojibake import Garbled, built, patterns_of
 from stackroom.llm.sampling import smallest_hashes_by
 from stackroom.session import spread
 
@@ -241,8 +241,8 @@ def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", te
     langs = bounded_rows(languages)
     rows = df.select(F.col(key), F.col(text).alias("__t"), F.col(label).alias("__l")).where(F.col("__t").isNotNull())
     rows = rows.withColumn("code", F.coalesce(canonical(F.col("__l"), df, language_entries(langs), language=True), F.lit("")))
-    words = lexicon_of(df, [text], LEXICON)
-    garbled = Garbled(words)
+    words = patterns_of(df, [text])
+    garbled = Garbled(patterns=words)
     labelled = rows.where((F.col("code") != "") & F.col("__t").rlike(r"\p{L}")).select(key, "__t", "code")
     taught = smallest_hashes_by(labelled, key, "code", sample, LABEL_LEAST).collect()
     model = train([(garbled.check(r["__t"])[1], r["code"]) for r in taught])

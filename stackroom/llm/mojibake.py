@@ -7,8 +7,9 @@ Three kinds of sequences:
 
 * characters: every character of the repertoire written in UTF-8 and read in each single-byte encoding, once or twice;
 * words: text of one single-byte encoding read in another garbles letters to letters, so single characters prove nothing.
-  The corpus's own words with accented or non-Latin letters (counted over all rows, the `lexicon` most frequent kept) are
-  garbled by every pair; a garbled form is a pattern if the clean word is at least `RATIO` times as frequent;
+  All of the corpus's own words with accented or non-Latin letters are garbled by every pair, as a table, and joined with
+  what stands in the texts; a form is a pattern if the clean word is at least `RATIO` times as frequent (words seen fewer
+  than `SEEN` times: if its letter pairs are more usual);
 * mixed scripts: a Latin letter next to what an accented Latin letter becomes when read as Cyrillic or Greek.
 
 A replacement character is found but can't be restored. Numeric character references are read before matching.
@@ -19,6 +20,7 @@ a sequence is found by its other sequences; very long texts are matched in one p
 
 from __future__ import annotations
 
+import math
 import re
 from html import unescape
 from uuid import uuid4
@@ -28,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stackroom.session import spread
+from stackroom.session import ensure_checkpoint_dir, spread
 
-LEXICON = 4000
 RATIO = 3
+SEEN = 3
+MARGIN = 0.5
 
 # The encodings text is read in by mistake, and those it was written in, by script.
 READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "iso8859-7", "koi8-r", "cp437", "cp850", "cp866", "mac-roman", "iso8859-5"]
@@ -137,10 +140,23 @@ def mixed_patterns() -> dict[str, str]:
     return out
 
 
+def references(text: str) -> str:
+    """The text with its references to characters beyond ASCII read."""
+    return re.sub(r"&(?:#x?[0-9A-Fa-f]+|[A-Za-z]{3,8});", lambda m: m[0] if (u := unescape(m[0])).isascii() else u, text)
+
+
+def replaced(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
+    parts, at = [], 0
+    for a, b, c, _ in spans:
+        parts += [text[at:a], c]
+        at = b
+    return "".join(parts) + text[at:]
+
+
 class Garbled:
     """The automata and what they replace."""
 
-    def __init__(self, lexicon: dict[str, int]):
+    def __init__(self, lexicon: dict[str, int] | None = None, patterns: dict[str, str] | None = None):
         import ahocorasick
 
         def automaton(patterns: dict[str, str]):
@@ -152,9 +168,8 @@ class Garbled:
             return a
 
         self.characters = automaton(character_patterns())
-        self.words = automaton(word_patterns(lexicon))
+        self.words = automaton(word_patterns(lexicon or {}) if patterns is None else patterns)
         self.mixed = automaton(mixed_patterns())
-        self.clean = lexicon
 
     def spans(self, text: str) -> list[tuple[int, int, str, bool]]:
         """(start, end, replacement, strong), leftmost longest, not overlapping."""
@@ -201,7 +216,7 @@ class Garbled:
         """Whether the text holds garbled spans, and the text with them restored."""
         if text.isascii() and "&" not in text:
             return False, text
-        read = re.sub(r"&(?:#x?[0-9A-Fa-f]+|[A-Za-z]{3,8});", lambda m: m[0] if (u := unescape(m[0])).isascii() else u, text)
+        read = references(text)
         lost = "�" in read
         fixed, hit = read, False
         for _ in range(3):
@@ -210,39 +225,148 @@ class Garbled:
             if not strong and len(spans) < 2:
                 break
             hit = True
-            parts, at = [], 0
-            for a, b, c, _s in spans:
-                parts += [fixed[at:a], c]
-                at = b
-            fixed = "".join(parts) + fixed[at:]
+            fixed = replaced(fixed, spans)
         return hit or lost, (fixed if hit else text)
 
 
-def lexicon_of(df: DataFrame, fields: list[str], size: int = LEXICON) -> dict[str, int]:
-    """The most frequent words with a letter beyond ASCII, counted over all rows; `size` bounds what is collected."""
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def anchors(text: str) -> set[str]:
+    """What a garbled word can be joined by: non-ASCII runs of letters, runs with a mark beside them, pairs of marks."""
+    out, at = set(), 0
+    for m in [*_RUN.finditer(text), None]:
+        a = m.start() if m else len(text)
+        out.update(text[i : i + 2] for i in range(at, a - 1) if not text[i : i + 2].isascii())
+        if m:
+            if not m[0].isascii():
+                out.add(m[0])
+            if a and text[a - 1] > "\x7f":
+                out.add(text[a - 1] + m[0])
+            if m.end() < len(text) and text[m.end()] > "\x7f":
+                out.add(m[0] + text[m.end()])
+            at = m.end()
+    return out
+
+
+def anchor(g: str) -> str:
+    """The longest of a garbled word's anchors that stands in every text the word stands in, bounded by other letters."""
+    runs = _RUN.findall(g)
+    whole = [r for r in runs if not r.isascii()]
+    return max(whole or anchors(g), key=lambda x: (len(x), x))
+
+
+def _clean(word: str) -> bool:
+    """Whether a word may be what was garbled: letters of one script, without capitals inside."""
+    return len(word) >= 2 and _script(word) is not None and not (re.search(r"[^\W\d_]", word[1:]) and not (word[1:].islower() or word.isupper()))
+
+
+def garbled_forms(word: str) -> dict[str, str]:
+    """Garbled form -> form, of one clean word under every pair of single-byte encodings."""
+    out: dict[str, str] = {}
+    if not _clean(word):
+        return out
+    for form in dict.fromkeys((word, word.upper(), word.capitalize(), word.swapcase())):
+        for written in WRITTEN[_script(word)]:
+            try:
+                data = form.encode(written)
+            except UnicodeEncodeError:
+                continue
+            for read in READ_AS:
+                g = misread(data, read)
+                if read != written and g != form and not g.strip(_MARKS).isascii() and g.casefold() != word.casefold():
+                    out.setdefault(g, form)
+    return out
+
+
+def patterns_of(df: DataFrame, fields: list[str]) -> dict[str, str]:
+    """Garbled word -> word, of all words of the table whose garbled form stands in it.
+
+    Every distinct word with a letter beyond ASCII is garbled, distributed, and joined with what stands in the texts; only
+    the forms that do stand there are collected. A form is a pattern if the word is `RATIO` times as frequent as it; words
+    seen fewer than `SEEN` times can't be told apart by frequency: their letter pairs must be more usual than the form's.
+    """
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    ensure_checkpoint_dir(df.sparkSession)
     words = F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(F.col(f), F.lit("")), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)) for f in fields]))
     counts = (
         df.select(F.explode(F.filter(words, lambda w: w.rlike(r"[^\x00-\x7F]"))).alias("w"))
-        .groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+        .groupBy("w").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     )
-    return {r["w"]: r["n"] for r in counts.orderBy(F.col("n").desc(), "w").limit(size).collect()}
+
+    def forms(batches):
+        for pdf in batches:
+            rows = [(w, n, i, g, c, anchor(g)) for w, n in zip(pdf["w"], pdf["n"], strict=True) for i, (g, c) in enumerate(garbled_forms(w).items())]
+            yield pd.DataFrame(rows, columns=["w", "n", "i", "g", "form", "anchor"])
+
+    def standing(batches):
+        plain = Garbled({})
+        seen: set[str] = set()
+        for pdf in batches:
+            new: set[str] = set()
+            for text in pdf["text"]:
+                text = references(text)
+                for _ in range(3):  # as restored by characters, too
+                    new |= anchors(text)
+                    if not (spans := plain.spans(text)):
+                        break
+                    text = replaced(text, spans)
+            yield pd.DataFrame({"anchor": sorted(new - seen)}, dtype=object)
+            seen = new | seen if len(seen) < 1_000_000 else new
+
+    there = _texts(df, fields).mapInPandas(standing, "anchor string").distinct()
+    made = counts.repartition(2 * cores, "w").mapInPandas(forms, "w string, n long, i int, g string, form string, anchor string")
+    met = made.join(there, "anchor").drop("anchor").checkpoint()
+
+    # how often the least frequent of a form's own words stands in the table, in the case it is most frequent in
+    bare = F.udf(lambda g: [[r, v] for r in _RUN.findall(g.strip(_MARKS)) for v in {r, r.lower(), r.swapcase(), r.capitalize()}], "array<array<string>>")
+    own = met.select("g").distinct().select("g", F.explode_outer(bare("g")).alias("v")).select("g", F.col("v")[0].alias("run"), F.col("v")[1].alias("w"))
+    own = own.join(counts, "w", "left").groupBy("g", "run").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).groupBy("g").agg(F.min("n").alias("often"))
+    frequent = F.when(F.col("often") >= SEEN, F.col("often")).otherwise(0)
+    met = met.join(own, "g").where((F.col("n") >= RATIO * frequent) & ((F.col("n") >= SEEN) | (F.col("often") < SEEN)))
+    best = met.groupBy("g").agg(F.min_by(F.struct("form", "w", "n", "often"), F.struct(-F.col("n"), "w", "i")).alias("b")).select("g", "b.*").collect()
+    if all(r["n"] >= SEEN for r in best):
+        return {r["g"]: r["form"] for r in best}
+
+    # pairs of letters: as many as the scripts' letters have, whatever the table's size
+    low = F.concat(F.lit("^"), F.lower("w"), F.lit("$"))
+    pairs = counts.where(F.col("w").rlike(r"^[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]+$")).select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.length(low) - 1), lambda i: F.substring(low, i, F.lit(2)))).alias("p"), "n"
+    )
+    usual = {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    firsts: dict[str, int] = {}
+    for p, n in usual.items():
+        firsts[p[0]] = firsts.get(p[0], 0) + n
+
+    def usualness(word: str, n: int) -> float:
+        """Mean log share of its letter pairs in all other words."""
+        x = f"^{word.lower()}$"
+        return sum(math.log((max(0, usual.get(x[i : i + 2], 0) - n) + 0.1) / (max(0, firsts.get(x[i], 0) - n) + 10)) for i in range(len(x) - 1)) / (len(x) - 1)
+
+    return {r["g"]: r["form"] for r in best if r["n"] >= SEEN or not r["often"] or not _clean(r["g"]) or usualness(r["w"], r["n"]) > usualness(r["g"], r["often"]) + MARGIN}
+
+
+def _texts(df: DataFrame, fields: list[str], *keep: str) -> DataFrame:
+    """(keep, field, text) of all that can be garbled: plain ASCII without references can't, it never goes to Python."""
+    rows = spread(df.select(*keep, *fields))
+    rows = rows.select(*keep, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("v"))
+    return rows.select(*keep, "v.field", "v.text").where(F.col("text").rlike(r"[^\x00-\x7F]|&#|&[A-Z]"))
 
 
 _built: dict[str, Garbled] = {}
 
 
-def built(token: str, lexicon: dict[str, int]) -> Garbled:
-    """The automata of a lexicon, made once a worker process; `token` names the lexicon."""
+def built(token: str, patterns: dict[str, str]) -> Garbled:
+    """The automata of a table, made once a worker process; `token` names its word patterns."""
     if token not in _built:
         _built.clear()
-        _built[token] = Garbled(lexicon)
+        _built[token] = Garbled(patterns=patterns)
     return _built[token]
 
 
-def garbled_fields(df: DataFrame, key: str = "file_id", fields: tuple[str, ...] = ("title", "description"),
-                   lexicon: int = LEXICON) -> DataFrame:
+def garbled_fields(df: DataFrame, key: str = "file_id", fields: tuple[str, ...] = ("title", "description")) -> DataFrame:
     """(key, field, text, restored) for each field value that holds garbled text."""
-    shared, token = df.sparkSession.sparkContext.broadcast(lexicon_of(df, list(fields), lexicon)), uuid4().hex
+    shared, token = df.sparkSession.sparkContext.broadcast(patterns_of(df, list(fields))), uuid4().hex
 
     @F.pandas_udf(T.StructType([T.StructField("hit", T.BooleanType()), T.StructField("restored", T.StringType())]))
     def check(texts: pd.Series) -> pd.DataFrame:
@@ -250,9 +374,5 @@ def garbled_fields(df: DataFrame, key: str = "file_id", fields: tuple[str, ...]
         got = [(False, None) if t is None else g.check(t) for t in texts]
         return pd.DataFrame({"hit": [h for h, _ in got], "restored": pd.Series([r for _, r in got], dtype=object)})
 
-    rows = spread(df.select(key, *fields))
-    rows = rows.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("v"))
-    # what is plain ASCII without references can't be garbled; it never goes to Python
-    rows = rows.select(key, "v.field", "v.text").where(F.col("text").rlike(r"[^\x00-\x7F]|&#|&[A-Z]"))
-    rows = rows.withColumn("c", check("text"))
+    rows = _texts(df, list(fields), key).withColumn("c", check("text"))
     return rows.where("c.hit").select(key, "field", "text", F.col("c.restored").alias("restored"))

@@ -74,3 +74,16 @@ def test_words_of_the_corpus_decide(spark):
     """A single-byte mix-up is found through the corpus's own words."""
     rows = [(i, "la fábrica", None, None, None, None) for i in range(30)] + [(99, misread("la fábrica".encode("cp1252"), "cp437"), None, None, None, None)]
     assert [r["file_id"] for r in garbled_fields(spark.createDataFrame(rows, META)).collect()] == [99]
+
+
+def test_rare_words_decide_too(spark):
+    """Clean words seen once or twice, and more of them than any capped list holds, are still found garbled."""
+    from itertools import product
+
+    many = ["".join(x) + "é" for x in product("abcdefghij", repeat=4)][:4500]
+    rows = [(i, f"{w} {w} {w}", None, None, None, None) for i, w in enumerate(many)]
+    texts = ["этот старый дневник", "новая книга каждый вечер", "дневной свет вечерний", "кажется, однажды ученик", "новый родник и бывший сад", "днём и ночью"]
+    rows += [(10_000 + i, t, None, None, None, None) for i, t in enumerate(texts)]
+    rows += [(20_000, misread("дневник каждый".encode("cp1251"), "koi8-r"), None, None, None, None), (20_001, misread("вечерний".encode("cp1251"), "cp1252"), None, None, None, None)]
+    got = {r["file_id"]: r["restored"] for r in garbled_fields(spark.createDataFrame(rows, META)).collect()}
+    assert got == {20_000: "дневник каждый", 20_001: "вечерний"}
