@@ -1,6 +1,6 @@
 """Text decoded with the wrong encoding: found and restored span by span (problem 3).
 
-Method: the garbled sequences of all encoding pairs are precomputed and matched by multi-pattern automata (Aho-Corasick);
+Method: the garbled sequences of the encodings and characters listed below are precomputed and matched by multi-pattern automata (Aho-Corasick);
 only matched spans are replaced, so correct text in the same field stays as it is.
 
 Three kinds of sequences:
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from html import unescape
 from uuid import uuid4
 
@@ -45,7 +46,7 @@ WRITTEN = {
 }
 # The characters whose UTF-8 form is looked for, as ranges of code points.
 REPERTOIRE = [
-    (0xA0, 0x17F), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x2010, 0x2015), (0x2018, 0x2022), (0x2026, 0x2026),
+    (0xA0, 0x17F), (0x218, 0x21B), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x1E00, 0x1EFF), (0x2010, 0x2015), (0x2018, 0x2022), (0x2026, 0x2026),
     (0x2030, 0x2030), (0x2039, 0x203A), (0x20AC, 0x20AC), (0x2116, 0x2116), (0x2122, 0x2122), (0x2190, 0x2193),
     (0x2600, 0x266F), (0x1F300, 0x1F64F), (0x3041, 0x30FE), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF),
 ]
@@ -80,6 +81,8 @@ def character_patterns() -> dict[str, str]:
     for lo, hi in REPERTOIRE:
         for cp in range(lo, hi + 1):
             c = chr(cp)
+            if unicodedata.category(c) == "Cn":
+                continue
             for enc in READ_AS:
                 g = misread(c.encode(), enc)
                 if any(x < "\u0080" for x in g) or (g.isalpha() and g.islower()) or not set(g) - set(_MARKS):

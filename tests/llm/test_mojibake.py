@@ -87,3 +87,8 @@ def test_rare_words_decide_too(spark):
     rows += [(20_000, misread("дневник каждый".encode("cp1251"), "koi8-r"), None, None, None, None), (20_001, misread("вечерний".encode("cp1251"), "cp1252"), None, None, None, None)]
     got = {r["file_id"]: r["restored"] for r in garbled_fields(spark.createDataFrame(rows, META)).collect()}
     assert got == {20_000: "дневник каждый", 20_001: "вечерний"}
+
+
+@pytest.mark.parametrize("text", ["Un țăran și o școală", "tiếng Việt", "Ẁẁ"])
+def test_further_latin_letters(g, text):
+    assert g.check(misread(text.encode(), "cp1252")) == (True, text)
