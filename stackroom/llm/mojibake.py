@@ -353,7 +353,7 @@ def _texts(df: DataFrame, fields: list[str], *keep: str) -> DataFrame:
     """(keep, field, text) of all that can be garbled: plain ASCII without references can't, it never goes to Python."""
     rows = spread(df.select(*keep, *fields))
     rows = rows.select(*keep, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("v"))
-    return rows.select(*keep, "v.field", "v.text").where(F.col("text").rlike(r"[^\x00-\x7F]|&#|&[A-Z]"))
+    return rows.select(*keep, "v.field", "v.text").where(F.col("text").rlike(r"[^\x00-\x7F]|&(#|[A-Za-z])"))
 
 
 _built: dict[str, Garbled] = {}

@@ -92,3 +92,9 @@ def test_rare_words_decide_too(spark):
 @pytest.mark.parametrize("text", ["Un țăran și o școală", "tiếng Việt", "Ẁẁ"])
 def test_further_latin_letters(g, text):
     assert g.check(misread(text.encode(), "cp1252")) == (True, text)
+
+
+def test_lower_case_references_are_read(spark):
+    rows = [(1, "Don&acirc;&euro;&trade;t go", None, None, None, None), (2, "Fish &amp; chips", None, None, None, None)]
+    got = garbled_fields(spark.createDataFrame(rows, META))
+    assert [(r["file_id"], r["restored"]) for r in got.collect()] == [(1, "Don’t go")]
