@@ -38,7 +38,6 @@ from stackroom.session import ensure_checkpoint_dir
 RADIUS = 1
 CELL_ROWS = 20_000
 MAX_PIVOTS = 128
-LEXICON = 20_000
 
 # Short forms of given names in common use.
 NICKNAMES = {
@@ -278,15 +277,20 @@ def distinct_names(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _given_names(names: DataFrame, limit: int) -> frozenset[str]:
-    """Words seen more often as given name than as surname; the `limit` most frequent."""
+def _with_given(names: DataFrame) -> DataFrame:
+    """(name, known): each name with those of its words that are seen more often as given name than as surname."""
 
     @F.pandas_udf("array<struct<word:string,vote:int>>")
     def votes(n: pd.Series) -> pd.Series:
         return pd.Series([[{"word": w, "vote": v} for w, v in evidence(x)] for x in n], dtype=object)
 
+    @F.pandas_udf("array<string>")
+    def words(n: pd.Series) -> pd.Series:
+        return pd.Series([[] if "," in (c := clean(x)) else sorted({w for w, _ in _tokens(c)}) for x in n], dtype=object)
+
     seen = names.select(F.explode(votes("name")).alias("v")).groupBy("v.word").agg(F.sum("v.vote").alias("n")).where("n > 0")
-    return frozenset(r["word"] for r in seen.orderBy(F.col("n").desc(), "word").limit(limit).collect())
+    known = names.select("name", F.explode(words("name")).alias("word")).join(seen.select("word"), "word")
+    return names.join(known.groupBy("name").agg(F.collect_set("word").alias("known")), "name", "left")
 
 
 def _aliases() -> Column:
@@ -297,18 +301,17 @@ def _aliases() -> Column:
     return F.array_distinct(F.concat(prefixes, F.coalesce(F.try_element_at(nick, F.col("given")), F.array().cast("array<string>"))))
 
 
-def entities(df: DataFrame, columns: list[str], lexicon: int = LEXICON) -> DataFrame:
+def entities(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, entity) for every distinct name."""
     ensure_checkpoint_dir(df.sparkSession)
     names = distinct_names(df, columns).checkpoint()
-    shared = df.sparkSession.sparkContext.broadcast(_given_names(names, lexicon))
 
     @F.pandas_udf("struct<kind:string,given:string,surname:string,dotted:boolean,middle:string>")
-    def parsed(n: pd.Series) -> pd.DataFrame:
-        got = [parse(x, shared.value) for x in n]
+    def parsed(n: pd.Series, known: pd.Series) -> pd.DataFrame:
+        got = [parse(x, frozenset(() if k is None else k)) for x, k in zip(n, known, strict=True)]
         return pd.DataFrame(got, columns=["kind", "given", "surname", "dotted", "middle"])
 
-    p = names.select("name", parsed("name").alias("p")).select("name", "p.*")
+    p = _with_given(names).select("name", parsed("name", "known").alias("p")).select("name", "p.*")
     p = p.withColumn("key", F.concat_ws(" ", F.nullif("given", F.lit("")), "surname"))
     p = p.withColumn("node", F.concat_ws(":", "kind", "key")).checkpoint()
     full = (F.col("kind") == "org") | (F.length("given") > 1)

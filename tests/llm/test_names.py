@@ -93,3 +93,13 @@ def test_components_of_long_chains(spark):
     nodes = spark.createDataFrame([(n,) for c in chains for n in c], "node string")
     got = {r["node"]: r["label"] for r in m.components(nodes, edges).collect()}
     assert got == {n: min(c) for c in chains for n in c}
+
+
+def test_rare_given_names_turn_names_round(spark):
+    """One given name of rank beyond any capped list still turns its 'Surname Given' spelling round."""
+    from itertools import product
+
+    often = ["".join(x) for x in product("abcdefgh", repeat=5)][:20_500]
+    df = spark.createDataFrame([(f"{s}, {g}",) for g in often for s in ("Qua", "Quo")] + [("Pagbaltab, Zzyzx",), ("Pagbaltab Zzyzx",)], "name string")
+    got = {r["name"]: r["known"] for r in m._with_given(df).where("name LIKE 'Pag%'").collect()}
+    assert got == {"Pagbaltab, Zzyzx": None, "Pagbaltab Zzyzx": ["zzyzx"]}
