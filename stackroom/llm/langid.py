@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackroom.llm.canon import bounded_rows, canonical, language_entries
+from stackroom.llm.canon import with_reference
 from stackroom.llm.mojibake import Garbled, built, patterns_of
 from stackroom.llm.sampling import smallest_hashes_by
 from stackroom.session import spread
@@ -238,9 +238,8 @@ def embedder(token: str) -> Embedder:
 def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", text: str = "description",
                    label: str = "language", sample: int = SAMPLE) -> DataFrame:
     """(key, label, code, spans) of every row with a text: `code` is the label's language ('' if none), `spans` its stretches."""
-    langs = bounded_rows(languages)
     rows = df.select(F.col(key), F.col(text).alias("__t"), F.col(label).alias("__l")).where(F.col("__t").isNotNull())
-    rows = rows.withColumn("code", F.coalesce(canonical(F.col("__l"), df, language_entries(langs), language=True), F.lit("")))
+    rows = with_reference(rows, "__l", languages, True, "code").withColumn("code", F.coalesce("code", F.lit("")))
     words = patterns_of(df, [text])
     garbled = Garbled(patterns=words)
     labelled = rows.where((F.col("code") != "") & F.col("__t").rlike(r"\p{L}")).select(key, "__t", "code")

@@ -106,3 +106,36 @@ def test_catalogue(spark):
     assert got == [(1, "language", 0, "en"), (1, "subjects", 0, "4"), (1, "subjects", 1, "1"), (1, "subjects", 4, ""), (4, "language", 0, ""), (4, "subjects", 0, "")]
     assert map_catalogue(spark.createDataFrame([], META), s, g).count() == 0
     assert {r["ref"] for r in map_catalogue(spark.createDataFrame(rows, META), s.limit(0), g.limit(0)).collect()} == {""}
+
+
+def test_unusable_list_rows(spark):
+    """NULL labels, names and references in the lists cost no row of the catalogue."""
+    s = spark.createDataFrame([*((r["subject_id"], r["label"], r["also"]) for r in SUBJECTS), (9, None, None), (10, None, ["Gardens", None]), (None, "Ghosts", None)], "subject_id int, label string, also array<string>")
+    g = spark.createDataFrame([*(tuple(r.values()) for r in LANGS), (None, "x", "Nolang", "y"), ("fr", None, None, "français")], "code string, code3 string, name string, native_name string")
+    rows = [(1, ["maritime HISTORY", "gardens", "Maritime history", "ghosts"], "Francais", None, None, None, None), (2, ["nolang"], "Nolang", None, None, None, None)]
+    got = sorted((r["file_id"], r["field"], r["pos"], r["ref"]) for r in map_catalogue(spark.createDataFrame(rows, META), s, g).collect())
+    assert got == [(1, "language", 0, "fr"), (1, "subjects", 0, "1"), (1, "subjects", 1, "10"), (1, "subjects", 3, ""), (2, "language", 0, ""), (2, "subjects", 0, "")]
+
+
+def test_long_lists_are_searched_in_shards(spark, monkeypatch):
+    """Lists beyond one shard give the same references, whatever the number of shards and parts."""
+    import stackroom.llm.canon as m
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(160)]
+    subjects = [(i, f"{rng.choice(words)} {rng.choice(words)}".capitalize(), [rng.choice(words)] if i % 4 == 0 else None) for i in range(120)]
+    s = spark.createDataFrame(subjects, "subject_id int, label string, also array<string>")
+    g = spark.createDataFrame(LANGS, "code string, code3 string, name string, native_name string")
+
+    def typed(t):
+        t = list(t)
+        t[rng.randrange(len(t))] = rng.choice("abxyz")
+        return rng.choice(["".join(t), "".join(t).upper(), "".join(t)[:4] + ".", " ".join(x[:2] + "." for x in "".join(t).split())])
+
+    rows = [(i, [typed(rng.choice(subjects)[1]) for _ in range(3)] + ["hot  value", None], rng.choice(["Spaniish", "en-GB", "??", None]), None, None, None, None) for i in range(150)]
+    df = spark.createDataFrame(rows, META)
+    ask = lambda: sorted(map(tuple, map_catalogue(df, s, g).collect()))
+    whole = ask()
+    monkeypatch.setattr(m, "SHARD_SIZE", 7)
+    monkeypatch.setattr(m, "PART_VALUES", 50)
+    assert ask() == whole and len({r[4] for r in whole}) > 40
