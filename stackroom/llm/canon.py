@@ -12,7 +12,7 @@ every entry within the threshold, by triangle-inequality pruning.
 
 A value is looked up in several written forms, all folded to bare letters and digits: as it is; turned round at a comma
 ('History, maritime'); with '&' for 'and'; for languages also without 'language', 'in' and brackets. The
-threshold of a form is one edit per three letters, two at most; forms under four letters must match exactly. Values no
+threshold of a form is one edit per three letters, two at most; forms under three letters must match exactly. Values no
 tree entry is near are tried as abbreviations (each word a prefix ending in a dot, or the consonants, of one entry's
 word, in order); only a unique reading counts. What stays is reported with an empty reference.
 
@@ -95,7 +95,7 @@ class Canon:
                 self.by_form.setdefault(form, (rank, len(ref), ref))
             words = [fold(w) for w in words_of(name)]
             self.initials.setdefault(tuple(w[0] for w in words), []).append((ref, words))
-        self.tree = BKTree(w for w in self.by_form if len(w) >= 4)
+        self.tree = BKTree(w for w in self.by_form if len(w) >= LETTERS_PER_EDIT)
         self.longest = max((len(w) for w in self.by_form), default=0)
 
     def forms(self, value: str) -> list[str]:
@@ -132,7 +132,7 @@ class Canon:
                 out[i] = min(exact)
                 continue
             for f in forms:
-                if 4 <= len(f) <= self.longest + MAX_EDITS:
+                if LETTERS_PER_EDIT <= len(f) <= self.longest + MAX_EDITS:
                     asked.setdefault(f, []).append(i)
         for (f, at), hits in zip(asked.items(), self.tree.within_many(list(asked), MAX_EDITS), strict=True):
             for d, name in hits:
