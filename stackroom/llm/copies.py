@@ -7,9 +7,11 @@ the equality of the fields is verified against the group's representative by cou
 * Normal form: upper case of the composed form (NFC), letters, digits and their marks only. Composition is the one thing
   the JVM functions lack; only the values that hold marks or other decomposable characters reach the Arrow-batched
   function, the rest never leave the JVM.
-* Fingerprint: two 64-bit hashes with different seeds per pair, summed exactly as decimals: no wrap-around, no order.
-* Skew: the fingerprint table is pre-aggregated before the shuffle. Groups of more than a thousandth of all rows (a thousand
-  at most, whatever the data) are joined back by broadcast, all others by a shuffle join: no task receives a hot group.
+* Fingerprint: two 64-bit hashes with different seeds per pair, summed exactly as decimals: no wrap-around, no order. The
+  normal forms and sums are made once and written to the shared checkpoint folder.
+* Skew: the sums are counted with partial aggregation before the shuffle. The rows of a group of more than a thousandth of all
+  rows are dealt out over several tasks by the hash of their key, and the group's representative is sent to each of these;
+  only the sums and sizes of such groups (a thousand at most, whatever the data) are broadcast, no fields.
 * Verification: title keys must be equal and every author key must occur equally often on both sides. Rows that fail it
   (a collision of both hashes) are grouped again by their fields themselves, so none is lost.
 
@@ -63,11 +65,12 @@ def keyed(df: DataFrame, key: str, text: str, names: str) -> DataFrame:
         _cased(F.col(text)).alias("t"),
         F.transform(F.coalesce(F.col(names), F.array().cast("array<string>")), _cased).alias("a"),
     )
+    # 'not deterministic' keeps the filter on their results from running the functions a second time
     marked = F.exists("a", lambda x: x.rlike(COMPOSABLE))
     rows = rows.select(
         key,
-        F.coalesce(_compose(F.when(F.col("t").rlike(COMPOSABLE), F.col("t"))), F.col("t")).alias("t"),
-        F.coalesce(_compose_all(F.when(marked, F.col("a"))), F.col("a")).alias("a"),
+        F.coalesce(_compose.asNondeterministic()(F.when(F.col("t").rlike(COMPOSABLE), F.col("t"))), F.col("t")).alias("t"),
+        F.coalesce(_compose_all.asNondeterministic()(F.when(marked, F.col("a"))), F.col("a")).alias("a"),
     )
     rows = rows.select(key, _bare(F.col("t")).alias("t"), F.filter(F.transform("a", _bare), lambda x: x != "").alias("a"))
     return rows.where(F.col("t") != "")
@@ -92,34 +95,29 @@ def _same_names(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(a, lambda x: often(a, x) == often(b, x))
 
 
-def _checked(df: DataFrame, key: str, text: str, names: str, alone: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The groups of equal sums (with `alone`, also those of one row), and the rows of larger ones with what `same` found."""
+def _checked(df: DataFrame, key: str, text: str, names: str) -> tuple[DataFrame, DataFrame]:
+    """(f1, f2, n, first_id) of each sum, and (f1, f2, key, first_id, same, t, a) of the rows whose sum several rows have.
+
+    `same` says whether a row's fields equal those of the row of the sum's smallest key; t and a are kept only where not.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    hot_rows = max(1000, df.count() // HOT_SHARE)
-    rows = fingerprinted(keyed(df, key, text, names))
-    groups = rows.groupBy("f1", "f2").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(key).alias("first_id"),
-        F.min_by(F.struct("t", "a"), key).alias("first"),
-    )
-    if alone:
-        groups = groups.withColumn("first", F.when(F.col("n") > 1, F.col("first")))
-    else:
-        groups = groups.where("n > 1")
-    groups = groups.checkpoint()
-    several = groups.where("n > 1")
-    # more than a thousandth of all rows each: a thousand groups at most
-    hot = several.where(F.col("n") > hot_rows).drop("n")
-    both = rows
-    if hot.limit(1).count():
-        cold = several.where(F.col("n") <= hot_rows).drop("n")
-        apart = rows.join(F.broadcast(hot.select("f1", "f2", F.lit(True).alias("hot"))), ["f1", "f2"], "left")
-        fields = ["f1", "f2", key, "t", "a", "first_id", "first"]
-        both = rows.join(F.broadcast(hot), ["f1", "f2"]).select(*fields).unionByName(
-            apart.where("hot IS NULL").drop("hot").join(cold, ["f1", "f2"]).select(*fields)
-        )
-    else:
-        both = rows.join(several.drop("n"), ["f1", "f2"])
+    rows = fingerprinted(keyed(df, key, text, names)).checkpoint()
+    groups = rows.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id")).checkpoint()
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot_rows = max(1000, total // HOT_SHARE)
+    # more than a thousandth of all rows each: a thousand groups at most, of three numbers each
+    hot = F.broadcast(groups.where(F.col("n") > hot_rows).select("f1", "f2", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+
+    def in_parts(per_group: DataFrame) -> DataFrame:
+        return per_group.join(hot, ["f1", "f2"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+
+    dealt = rows.join(hot, ["f1", "f2"], "left").withColumn("part", F.pmod(F.xxhash64(key), parts).cast("int")).drop("parts")
+    several = in_parts(groups.where("n > 1").drop("n"))
+    members = dealt.join(several, ["f1", "f2", "part"])
+    # one row a group, whose key may be repeated
+    first = members.where(F.col(key) == F.col("first_id")).groupBy("f1", "f2").agg(F.min(F.struct("t", "a")).alias("first"))
+    both = members.join(in_parts(first), ["f1", "f2", "part"])
     same = (F.col("t") == F.col("first.t")) & _same_names(F.col("a"), F.col("first.a"))
     # read twice: what agrees keeps its keys only
     own = [F.when(~same, F.col("t")).alias("t"), F.when(~same, F.array_sort("a")).alias("a")]
@@ -139,9 +137,9 @@ def copies(df: DataFrame, key: str = "file_id", text: str = "title", names: str
 
 def works(df: DataFrame, key: str = "file_id", text: str = "title", names: str = "authors") -> DataFrame:
     """(first_id, copies): one row per work with a title; `copies` counts its rows, verified as in copies()."""
-    groups, checked = _checked(df, key, text, names, alone=True)
+    groups, checked = _checked(df, key, text, names)
     often = F.count(F.lit(1)).alias("copies")
-    good = checked.where("same").groupBy("f1", "f2").agg(F.first("first_id").alias("first_id"), often).select("first_id", "copies")
+    good = checked.where("same").groupBy("f1", "f2").agg(F.min("first_id").alias("first_id"), often).select("first_id", "copies")
     # collisions of both hashes: grouped by the fields themselves
     odd = checked.where(~F.col("same")).groupBy("t", "a").agg(F.min(key).alias("first_id"), often).select("first_id", "copies")
     return groups.where("n = 1").select("first_id", F.col("n").alias("copies")).unionByName(good).unionByName(odd)
