@@ -143,9 +143,25 @@ def mixed_patterns() -> dict[str, str]:
     return out
 
 
-def references(text: str) -> str:
-    """The text with its references to characters beyond ASCII read."""
-    return re.sub(r"&(?:#x?[0-9A-Fa-f]+|[A-Za-z]{3,8});", lambda m: m[0] if (u := unescape(m[0])).isascii() else u, text)
+_REFERENCE = re.compile(r"&(?:#x?[0-9A-Fa-f]+|[A-Za-z]{3,8});")
+
+
+def references(text: str) -> tuple[str, list[int] | None]:
+    """The text with its references to characters beyond ASCII read, and where each of its characters (and its end) starts
+    in the text as written; None if that is the same place."""
+    if "&" not in text:
+        return text, None
+    parts, places, at = [], [], 0
+    for m in _REFERENCE.finditer(text):
+        u = unescape(m[0])
+        if u.isascii():
+            continue
+        parts += [text[at : m.start()], u]
+        places += [*range(at, m.start()), *[m.start()] * len(u)]
+        at = m.end()
+    if not parts:
+        return text, None
+    return "".join(parts) + text[at:], [*places, *range(at, len(text) + 1)]
 
 
 def replaced(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
@@ -156,6 +172,15 @@ def replaced(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
     return "".join(parts) + text[at:]
 
 
+def moved(places: list[int], spans: list[tuple[int, int, str, bool]]) -> list[int]:
+    """Where each character of the replaced text starts, given where each of the text before did."""
+    out, at = [], 0
+    for a, b, c, _ in spans:
+        out += [*places[at:a], *[places[a]] * len(c)]
+        at = b
+    return out + places[at:]
+
+
 class Garbled:
     """The automata and what they replace."""
 
@@ -215,21 +240,31 @@ class Garbled:
                 last = s[1]
         return out
 
-    def check(self, text: str) -> tuple[bool, str]:
-        """Whether the text holds garbled spans, and the text with them restored."""
+    def restored(self, text: str) -> tuple[bool, str, list[int] | None]:
+        """Whether the text holds garbled spans, the text with only these replaced, and where its characters stood before
+        (None: at the same places). What was garbled more than once is restored until nothing garbled is left."""
         if text.isascii() and "&" not in text:
-            return False, text
-        read = references(text)
-        lost = "�" in read
-        fixed, hit = read, False
-        for _ in range(3):
-            spans = self.spans(fixed)
-            strong = sum(s[3] for s in spans)
-            if not strong and len(spans) < 2:
-                break
+            return False, text, None
+        hit, places, fixed, met = "\ufffd" in text, None, text, {text}
+        while True:
+            read, back = references(fixed)
+            hit |= "\ufffd" in read
+            spans = self.spans(read)
+            if not sum(s[3] for s in spans) and len(spans) < 2:
+                return hit, fixed, places
+            if back:
+                spans = [(back[a], back[b], c, strong) for a, b, c, strong in spans]
+            new = replaced(fixed, spans)
             hit = True
-            fixed = replaced(fixed, spans)
-        return hit or lost, (fixed if hit else text)
+            if new in met:  # two words that are each other's garbled form
+                return hit, fixed, places
+            places = moved(list(range(len(fixed) + 1)) if places is None else places, spans)
+            fixed = new
+            met.add(new)
+
+    def check(self, text: str) -> tuple[bool, str]:
+        """Whether the text holds garbled spans, and the text with them restored."""
+        return self.restored(text)[:2]
 
 
 _RUN = re.compile(r"[^\W\d_]+")
@@ -308,12 +343,11 @@ def patterns_of(df: DataFrame, fields: list[str]) -> dict[str, str]:
         for pdf in batches:
             new: set[str] = set()
             for text in pdf["text"]:
-                text = references(text)
-                for _ in range(3):  # as restored by characters, too
+                text, met = references(text)[0], set()
+                while text not in met:  # as restored by characters, too
+                    met.add(text)
                     new |= anchors(text)
-                    if not (spans := plain.spans(text)):
-                        break
-                    text = replaced(text, spans)
+                    text = replaced(text, plain.spans(text))
             yield pd.DataFrame({"anchor": sorted(new - seen)}, dtype=object)
             seen = new | seen if len(seen) < 1_000_000 else new
 
