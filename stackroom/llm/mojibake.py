@@ -10,7 +10,9 @@ Three kinds of sequences:
   All of the corpus's own words with accented or non-Latin letters are garbled by every pair, as a table, and joined with
   what stands in the texts; a form is a pattern if the clean word is at least `RATIO` times as frequent (words seen fewer
   than `SEEN` times: if its letter pairs are more usual);
-* mixed scripts: a Latin letter next to what an accented Latin letter becomes when read as Cyrillic or Greek.
+* mixed scripts: a Latin letter next to what an accented Latin letter becomes when read as Cyrillic or Greek, or in an
+  encoding of two bytes a character;
+* ideographs, kana and Hangul in UTF-8 read in a Western encoding, two of them side by side.
 
 A replacement character is found but can't be restored. Numeric character references are read before matching.
 
@@ -38,7 +40,8 @@ SEEN = 3
 MARGIN = 0.5
 
 # The encodings text is read in by mistake, and those it was written in, by script.
-READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "iso8859-7", "koi8-r", "cp437", "cp850", "cp866", "mac-roman", "iso8859-5"]
+READ_AS = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "iso8859-7", "koi8-r", "cp437", "cp850", "cp866", "mac-roman", "iso8859-5", "cp1257"]
+READ_WIDE = ["gbk", "big5", "shift_jis", "euc_kr"]
 WRITTEN = {
     "latin": ["cp1252", "cp1250", "iso8859-2", "mac-roman", "cp850", "cp437"],
     "cyrillic": ["cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic"],
@@ -46,10 +49,11 @@ WRITTEN = {
 }
 # The characters whose UTF-8 form is looked for, as ranges of code points.
 REPERTOIRE = [
-    (0xA0, 0x17F), (0x218, 0x21B), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x1E00, 0x1EFF), (0x2010, 0x2015), (0x2018, 0x2022), (0x2026, 0x2026),
+    (0xA0, 0x17F), (0x192, 0x192), (0x218, 0x21B), (0x2C6, 0x2C7), (0x2D8, 0x2DD), (0x386, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x1E00, 0x1EFF), (0x2010, 0x2015), (0x2018, 0x2022), (0x2026, 0x2026),
     (0x2030, 0x2030), (0x2039, 0x203A), (0x20AC, 0x20AC), (0x2116, 0x2116), (0x2122, 0x2122), (0x2190, 0x2193),
     (0x2600, 0x266F), (0x1F300, 0x1F64F), (0x3041, 0x30FE), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF),
 ]
+IDEOGRAPHS = [(0x3001, 0x3002), (0x3041, 0x30FE), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFF5E)]
 
 _C1 = {b: chr(b) for b in range(256)}
 _MARKS = "«»¿¡“”’‘‚„–—…\u00a0\u00ad\u200b\u2009"
@@ -96,6 +100,38 @@ def character_patterns() -> dict[str, str]:
     return out
 
 
+def ideograph_patterns() -> dict[str, str]:
+    """Garbled sequence -> character, for ideographs, kana and Hangul in UTF-8 read in the Western encodings."""
+    out: dict[str, str] = {}
+    for lo, hi in IDEOGRAPHS:
+        for c in map(chr, range(lo, hi + 1)):
+            for enc in ("cp1252", "latin-1"):
+                out.setdefault(misread(c.encode(), enc), c)
+    return out
+
+
+def wide_patterns() -> dict[str, str]:
+    """Garbled sequence -> text, for Latin letters and marks in UTF-8 read in a double-byte encoding; a mark of three bytes
+    takes the letter behind it along."""
+    letters = [chr(cp) for cp in range(0xC0, 0x180) if chr(cp).isalpha()]
+    marks = [m + a for m in "‘’“”–—…" for a in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    out: dict[str, str] = {}
+    for enc in READ_WIDE:
+        for c in letters + marks:
+            try:
+                g = c.encode().decode(enc)
+            except UnicodeDecodeError:
+                continue
+            if not any(_wide(x) for x in g):
+                continue
+            out.setdefault(g, c)
+    return out
+
+
+def _wide(c: str) -> bool:
+    return c >= "\u2e80" and c.isalpha()
+
+
 def word_patterns(lexicon: dict[str, int]) -> dict[str, str]:
     """Garbled word -> word, for the words of a single-byte encoding read in another."""
     out: dict[str, str] = {}
@@ -198,6 +234,8 @@ class Garbled:
         self.characters = automaton(character_patterns())
         self.words = automaton(word_patterns(lexicon or {}) if patterns is None else patterns)
         self.mixed = automaton(mixed_patterns())
+        self.ideographs = automaton(ideograph_patterns())
+        self.wide = automaton(wide_patterns())
 
     def spans(self, text: str) -> list[tuple[int, int, str, bool]]:
         """(start, end, replacement, strong), leftmost longest, not overlapping."""
@@ -215,6 +253,16 @@ class Garbled:
                 if "latin" not in sides and (script in sides or n < 3 or g.islower() or g.isupper() or g.istitle()):
                     continue
             first.append((a, b, c, True))
+        # two marks behind one letter may be right text: an ideograph counts beside another
+        rows = [(end - n + 1, end + 1, c, True) for end, (n, c) in self.ideographs.iter(text)]
+        starts, ends = {r[0] for r in rows}, {r[1] for r in rows}
+        first += [r for r in rows if r[0] in ends or r[1] in starts]
+        for end, (n, c) in self.wide.iter(text):
+            a, b = end - n + 1, end + 1
+            sides = [text[a - 1 : a], text[b : b + 1]]
+            # a character of East Asia inside a word of Latin letters
+            if not any(x and _wide(x) for x in sides) and any(x.isalpha() and x < "\u0250" for x in sides):
+                first.append((a, b, c, True))
         first.sort(key=lambda s: (s[0], -s[1]))
         last = 0
         for s in first:

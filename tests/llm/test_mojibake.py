@@ -98,3 +98,43 @@ def test_lower_case_references_are_read(spark):
     rows = [(1, "Don&acirc;&euro;&trade;t go", None, None, None, None), (2, "Fish &amp; chips", None, None, None, None)]
     got = garbled_fields(spark.createDataFrame(rows, META))
     assert [(r["file_id"], r["restored"]) for r in got.collect()] == [(1, "Don’t go")]
+
+
+@pytest.mark.parametrize("text", ["日本語の本", "한국어 책입니다", "Ein Buch: 図書館。", "中文书店"])
+@pytest.mark.parametrize("encoding", ["cp1252", "latin-1"])
+def test_ideographs(g, text, encoding):
+    assert g.check(misread(text.encode(), encoding)) == (True, text)
+
+
+@pytest.mark.parametrize(("text", "encoding"), [("ein café hier", "gbk"), ("The door’s old", "gbk"), ("un été ici", "shift_jis"), ("la fábrica", "euc_kr")])
+def test_read_as_double_byte(g, text, encoding):
+    assert g.check(text.encode().decode(encoding)) == (True, text)
+
+
+@pytest.mark.parametrize("text", ["Il est «occupé…» là", "日本語 book", "ABC語", "Das Wort “é”…»", "本 café", "한국 Größe", "été… « oui »"])
+def test_right_text_of_east_asia_stays(g, text):
+    assert g.check(text) == (False, text)
+
+
+@pytest.mark.parametrize(
+    ("text", "fixed"),
+    [
+        ("&eacute;t&eacute; &ndash; cafÃ© &amp; th&#233;", "&eacute;t&eacute; &ndash; café &amp; th&#233;"),
+        ("<p>R&eacute;  cafÃ&copy;\n&nbsp;</p>", "<p>R&eacute;  café\n&nbsp;</p>"),
+    ],
+)
+def test_only_matched_spans_change(g, text, fixed):
+    assert g.check(text) == (True, fixed)
+
+
+def test_restored_places(g):
+    hit, fixed, places = g.restored("Ré &eacute; cafÃƒÂ©s x")
+    assert hit and fixed == "Ré &eacute; cafés x" and len(places) == len(fixed) + 1
+    assert places[fixed.index("s x")] == "Ré &eacute; cafÃƒÂ©s x".index("s x") and places[-1] == len("Ré &eacute; cafÃƒÂ©s x")
+
+
+def test_any_number_of_rounds(g):
+    text = bad = "déjà"
+    for _ in range(5):
+        bad = misread(bad.encode(), "cp1252")
+    assert g.check(bad) == (True, text)
