@@ -2,7 +2,8 @@
 
 Method: a sentence's words and their character n-grams are hashed to embeddings, averaged, and classified by a linear
 softmax; everything is trained by stochastic gradient descent in numpy on labelled rows. Rejection is calibrated: on
-held-out sentences a temperature is fitted and a threshold chosen below which a sentence gets no language of its own.
+held-out sentences a temperature is fitted and the threshold chosen above which `PRECISION` of them are right (at least
+`LEAST`); below it a sentence gets no language of its own.
 
 Labels are noisy, so training is two-fold first: each half is predicted by a model of the other half, rows whose label the
 other model contradicts are left out, and so are labels that are mostly contradicted. What stays trains the final model.
@@ -11,7 +12,8 @@ The sample is bounded by `sample` rows (a documented parameter; those of smalles
 text) and, so that no language drops out, what each label lacks of `LABEL_LEAST` rows; it is the one thing collected. Every
 row is classified, in an Arrow-batched function with the model broadcast, without a shuffle.
 
-Text decoded wrongly is restored first. Quoted titles and bracketed citations don't count as sentences.
+Text decoded wrongly is restored first; the places given are those in the text as stored. Quoted titles and bracketed
+citations don't count as sentences, quoted sentences do.
 
 Defined results: NULL, blank and wordless texts have no language; a sentence below the threshold belongs to the stretch around
 it; very long texts are read whole; with no labelled rows there is no model and no language.
@@ -41,9 +43,10 @@ DIM = 16
 SEED = 5
 MIN_WORDS = 4
 PRECISION = 0.998
+LEAST = 0.75
 
 _BREAK = re.compile(r"<\s*/?\s*(?:p|br|div|li|h\d)\b[^>]*>|\n+|\r+", re.I)
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"<[/!?A-Za-z][^<>]*>")
 _QUOTED = re.compile(r"\([^()]{0,300}\)|«[^«»]{0,200}»|“[^“”]{0,200}”|„[^„“”]{0,200}[“”]|\"[^\"]{0,200}\"")
 _END = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+(?=[^\s])")
 # Abbreviations whose dot ends no sentence, besides single letters.
@@ -51,11 +54,40 @@ _INITIAL = re.compile(r"(?:^|[\s(])(?:\w|dr|mr|mrs|ms|st|prof|nr|no|núm|vol|bd|
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 
 
+_ENTITY = re.compile(r"&(?:#\d+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)")
+
+
+def unescaped(text: str) -> tuple[str, list[int] | None]:
+    """The text with its references read, and where each character (and the end) stood; None if at the same places."""
+    if "&" not in text:
+        return text, None
+    parts, places, at = [], [], 0
+    for m in _ENTITY.finditer(text):
+        u = unescape(m[0])
+        parts += [text[at : m.start()], u]
+        places += [*range(at, m.start()), *[m.start()] * len(u)]
+        at = m.end()
+    return "".join(parts) + text[at:], [*places, *range(at, len(text) + 1)]
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, words) of the sentences of a text, without quoted titles and citations."""
+    """(start, end, words) of the sentences of a text.
+
+    Quoted titles and bracketed citations don't count, but quotations of whole sentences do, and so does what stands in
+    quotes or brackets in a text that has nothing else.
+    """
     blank = lambda m: " " * len(m[0])
-    plain = _BREAK.sub(lambda m: "\n" * len(m[0]), text)
-    plain = _QUOTED.sub(blank, _TAG.sub(blank, plain))
+    plain = _TAG.sub(blank, _BREAK.sub(lambda m: "\n" * len(m[0]), text))
+
+    def hidden(m: re.Match) -> str:
+        inner, before = m[0][1:-1].rstrip(), plain[: m.start()].rstrip(" ")
+        whole = m[0][0] != "(" and inner.endswith((".", "!", "?", "…")) and (not before or before[-1] in ".!?…\n")
+        return m[0] if whole else " " * len(m[0])
+
+    return _sentences(_QUOTED.sub(hidden, plain)) or _sentences(plain)
+
+
+def _sentences(plain: str) -> list[tuple[int, int, str]]:
     out = []
     for line in re.finditer(r"[^\n]+", plain):
         at, part = line.start(), line[0]
@@ -147,7 +179,7 @@ class LangModel:
         return self
 
     def calibrate(self, texts: list[str], y: np.ndarray, e: Embedder) -> LangModel:
-        """Temperature of least log loss, then the least confidence whose sentences are right `PRECISION` of the time."""
+        """Temperature of least log loss, then the threshold above which sentences are right `PRECISION` of the time."""
         if not len(texts):
             return self
         z = self.logits(texts, e)
@@ -164,7 +196,9 @@ class LangModel:
         order = np.argsort(-conf)
         good = np.cumsum(right[order]) / np.arange(1, len(y) + 1)
         ok = np.nonzero(good >= PRECISION)[0]
-        self.least = float(min(0.75, max(0.5, conf[order][ok[-1]] if len(ok) else 0.75)))
+        # above the surest sentence that had to be left out, and never below what the held-out sentences can say nothing about
+        out = conf[order][ok[-1] + 1 :] if len(ok) else conf[order]
+        self.least = max(LEAST, float(np.nextafter(out[0], 2))) if len(out) else LEAST
         return self
 
 
@@ -237,7 +271,10 @@ def embedder(token: str) -> Embedder:
 
 def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", text: str = "description",
                    label: str = "language", sample: int = SAMPLE) -> DataFrame:
-    """(key, label, code, spans) of every row with a text: `code` is the label's language ('' if none), `spans` its stretches."""
+    """(key, label, code, spans) of every row with a text: `code` is the label's language ('' if none), `spans` its stretches.
+
+    A stretch has the places of its start and end in the text as stored, its language and a confidence.
+    """
     rows = df.select(F.col(key), F.col(text).alias("__t"), F.col(label).alias("__l")).where(F.col("__t").isNotNull())
     rows = with_reference(rows, "__l", languages, True, "code").withColumn("code", F.coalesce("code", F.lit("")))
     words = patterns_of(df, [text])
@@ -255,8 +292,10 @@ def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", te
         e, fix = embedder(token), built(token, lex)
         out = []
         for t in texts:
-            t = unescape(fix.check(t)[1])
-            out.append([{"start": a, "end": b, "lang": c, "confidence": q} for a, b, c, q in stretches(t, m, e)])
+            _, right, first = fix.restored(t)
+            read, second = unescaped(right)
+            at = lambda i: (lambda j: j if first is None else first[j])(i if second is None else second[i])  # noqa: B023, E731
+            out.append([{"start": at(a), "end": at(b), "lang": c, "confidence": q} for a, b, c, q in stretches(read, m, e)])
         return pd.Series(out, dtype=object)
 
     # 'not deterministic' keeps filters on its result from running it a second time
@@ -264,6 +303,13 @@ def language_spans(df: DataFrame, languages: DataFrame, key: str = "file_id", te
     return spread(rows).select(key, F.col("__l").alias(label), "code", once("__t").alias("spans"))
 
 
+def stretch_rows(df: DataFrame, languages: DataFrame, **names) -> DataFrame:
+    """(key, pos, start, end, lang, confidence): one row per stretch of one language, in order."""
+    s = language_spans(df, languages, **names)
+    key = s.columns[0]
+    return s.select(key, F.posexplode("spans").alias("pos", "v")).select(key, "pos", "v.*")
+
+
 def relabelled(df: DataFrame, languages: DataFrame, **names) -> DataFrame:
     """(key, lang, confidence): one row per language of each text whose label is missing, wrong, or whose text is mixed."""
     s = language_spans(df, languages, **names)

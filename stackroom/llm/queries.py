@@ -128,6 +128,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relabelled(table(spark, sf_dir, "library_metadata"), table(spark, sf_dir, "language_list")).select("file_id", "lang")
 
 
+@query("p4_spans")
+def p4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of each description: its place in the stored text, its language and the confidence."""
+    from stackroom.llm.langid import stretch_rows
+
+    return stretch_rows(table(spark, sf_dir, "library_metadata"), table(spark, sf_dir, "language_list"))
+
+
 @query("p9_mix")
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mix and how often each is used."""

@@ -82,3 +82,22 @@ def test_few_labels_in_a_large_table_still_teach(spark, rows):
     df = spark.createDataFrame(taught + tests, META).unionByName(empty)
     got = {r["file_id"]: r["lang"] for r in relabelled(df, langs).where("file_id >= 1000").collect()}
     assert got == {t[0]: t[3] for t in tests}
+
+
+def test_quotations_and_long_tags():
+    assert [s for _, _, s in sentences("«The old ship hides the garden»")] == ["the old ship hides the garden"]
+    assert [s for _, _, s in sentences("(The old ship hides)")] == ["the old ship hides"]
+    assert [s for _, _, s in sentences("It ends. «The old ship hides.» Then left (see «Das Schiff», 1999.).")] == ["it ends", "the old ship hides", "then left"]
+    assert [s for _, _, s in sentences(f'The old <a href="{"x" * 500}">ship</a> hides.')] == ["the old ship hides"]
+
+
+def test_places_are_those_of_the_stored_text(spark, rows):
+    """Stretches cut out of the text as stored, with garbled characters and references in it."""
+    langs = spark.createDataFrame(LANGS, "code string, code3 string, name string, native_name string")
+    rng = random.Random(12)
+    first, second = text(rng, "de", "de"), text(rng, "es", "es")
+    stored = "&ldquo;&amp;&nbsp;" + first.replace("ß", "ÃŸ").replace("e", "&#101;") + " " + second.replace("ñ", "Ã±").replace("í", "&iacute;")
+    df = spark.createDataFrame([(i, t, k, None, None, None) for i, (t, k) in enumerate(rows)] + [(1000, stored, None, None, None, None)], META)
+    got = language_spans(df, langs).where("file_id = 1000").first()["spans"]
+    assert [s["lang"] for s in got] == ["de", "es"] and got[-1]["end"] == len(stored)
+    assert stored[got[1]["start"] :] == second.replace("ñ", "Ã±").replace("í", "&iacute;")
