@@ -2,10 +2,12 @@
 
 Distinct names are parsed into a metric key ('given surname', or an organisation's folded words), then linked:
 
-1. Typos, by metric-space partitioning: every key is assigned to its nearest pivot under the bag metric, which never exceeds
-   the edit metric, and replicated to each pivot whose distance is at most 2r larger (triangle inequality: no pair within
-   r edits is separated); an exact radius join under the true edit metric runs inside each cell. Keys within r = 1 edit are linked and connected components taken (min-label rounds with
-   pointer jumping until no label moves, cut with checkpoint()).
+1. Typos, by metric-space partitioning: every key is at home with its nearest pivot under the bag metric, which never exceeds
+   the edit metric, and replicated to each pivot before that one whose distance is at most 2r larger (triangle inequality: of
+   two keys within r edits one stands in the other's home cell); an exact radius join under the true edit metric runs inside
+   each cell. Keys of `LETTERS[0]` letters or more are linked within one edit, keys of `LETTERS[1]` or more within two
+   (one in each of two words); shorter ones must be equal. Connected components are taken (min-label rounds with pointer jumping until no label moves,
+   cut with checkpoint()).
 2. Nicknames and abbreviations ('Paddy', 'Phil.') link to the one component of that surname they can stand for.
 3. Initials ('P. Surname') link to the one component of that surname with that initial; a second initial decides ties.
 4. Two different middle initials keep two persons of one given name and surname apart.
@@ -13,8 +15,9 @@ Distinct names are parsed into a metric key ('given surname', or an organisation
 A form that could stand for two entities stays on its own: a shared surname alone doesn't make one person.
 
 Scale: names are made distinct with partial aggregation before anything else; pivots are a bounded sample; cells above
-`CELL_ROWS` are split by deletion-neighbourhood hash (every pair within r shares a neighbour, so no pair is lost); aliases are
-resolved by equi-joins on (surname, alias) against pre-aggregated label ranges, never by pairs within a surname.
+`CELL_ROWS` are split by deletion-neighbourhood hash (every pair within r shares a neighbour, so no pair is lost) into parts of
+about as many rows; aliases are resolved by equi-joins on (surname, alias) against pre-aggregated label ranges, never by pairs
+within a surname. `named_entities` gives one row a name; only `variant_pairs` writes all pairs of an entity.
 
 Defined results: NULL and blank names are ignored; a name of one word is an entity of its own key; strings that differ
 only in case, blanks or marks are spellings of one; repeated rows change nothing; an empty table gives no rows.
@@ -26,6 +29,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from stackroom.llm.edit import edit_distance
 from stackroom.session import ensure_checkpoint_dir
 
-RADIUS = 1
+LETTERS = (5, 16)
 CELL_ROWS = 20_000
 MAX_PIVOTS = 128
 
@@ -67,6 +71,14 @@ BODIES = (
     "university institute academy society association museum library college school press company council foundation "
     "committee department union club league publishers publishing office ministry laboratory"
 ).split()
+# Words of organisations in other languages (folded, never cut short), and legal forms at the end of a name.
+FOREIGN_BODIES = set(
+    "universitat universite universidad universita universidade institut instituto istituto akademie academie academia accademia "
+    "gesellschaft societe sociedad societa sociedade verein verband museo musee bibliothek bibliotheque biblioteca verlag editions "
+    "editorial editora edizioni fundacion fondation fondazione stiftung ministerium ministere ministerio ecole escuela scuola schule "
+    "corporation".split()
+)
+LEGAL_FORMS = {"gmbh", "ag", "inc", "incorporated", "ltd", "limited", "llc", "plc", "corp", "corporation", "sarl", "srl", "kg", "ohg", "bv", "nv"}
 CUT_BODIES = {"mus", "inst", "acad", "assoc", "soc", "univ"}
 SMALL_WORDS = {"the", "of", "for", "and", "a", "an", "in", "at"}
 
@@ -76,8 +88,6 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if c.isalnum())
 
 
-NICKS = {fold(n): sorted({fold(f) for f in NICKNAMES if n in NICKNAMES[f].split()}) for n in chain(*(v.split() for v in NICKNAMES.values()))}
-
 
 def clean(name: str) -> str:
     text = unicodedata.normalize("NFKC", name).replace("_", " ")
@@ -95,7 +105,7 @@ def _tokens(text: str) -> list[tuple[str, bool]]:
 
 def _body(word: str, dot: bool) -> str | None:
     """The full organisation word a token is or shortens."""
-    if word in BODIES:
+    if word in BODIES or word in FOREIGN_BODIES:
         return word
     if (dot or word in CUT_BODIES) and len(word) >= 3:
         return next((b for b in BODIES if b.startswith(word)), None)
@@ -103,8 +113,12 @@ def _body(word: str, dot: bool) -> str | None:
 
 
 def organisation_key(name: str) -> str | None:
-    """The folded words of an organisation's name in their usual order, or None if it is a person's."""
+    """The folded words of an organisation's name in their usual order without its legal form, or None if it is a person's."""
     head, comma, tail = clean(name).partition(",")
+    last = (tail or head).split()[-1:]
+    if last and fold(last[0]) in LEGAL_FORMS and not last[0].islower() and (len((tail or "x y").split()) == 1 or not comma):
+        bare = head if comma else head.rsplit(" ", 1)[0] if " " in head else ""
+        return " ".join((_body(w, d) or w) for w, d in _tokens(bare) if w not in SMALL_WORDS | LEGAL_FORMS) or None
     tokens = _tokens(f"{tail} {head}" if comma else head)
     if not any(_body(w, d) for w, d in tokens):
         return None
@@ -160,9 +174,13 @@ def parse(name: str, given_names: frozenset[str]) -> tuple[str, str, str, bool,
     return "person", first[0][0], surname, first[0][1], middle
 
 
-def neighbours(word: str) -> set[str]:
-    """The word and all words one deletion shorter: two words within one edit share one of them."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+def neighbours(word: str, radius: int = 1) -> set[str]:
+    """The word and all words up to `radius` deletions shorter: two words within `radius` edits share one of them."""
+    out = last = {word}
+    for _ in range(radius):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
 
 
 class Pivots:
@@ -186,24 +204,21 @@ class Pivots:
         return out
 
     def cells(self, words: list[str], radius: int) -> list[list[int]]:
-        """For each word its nearest pivot and every pivot at most 2 * radius farther away."""
+        """For each word its nearest pivot, and every pivot before that one at most 2 * radius farther away."""
         out = []
         for k in range(0, len(words), 256):
             bags = self._bags(words[k : k + 256])
             shared = np.minimum(bags[:, None, :-1], self.bags[None, :, :-1]).sum(axis=2)
             d = np.maximum(bags.sum(axis=1)[:, None], self.sizes[None, :]) - shared
             near = d <= d.min(axis=1, keepdims=True) + 2 * radius
-            out += [np.nonzero(row)[0].tolist() for row in near]
+            out += [[*np.nonzero(row[:home])[0].tolist(), home] for row, home in zip(near, d.argmin(axis=1).tolist(), strict=True)]
         return out
 
 
-def radius_pairs(words: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct strings of the one column `word` within `radius` (1) edits of each other."""
-    if radius != 1:
-        raise ValueError("the neighbourhood of one deletion covers one edit")
+def placed_words(words: DataFrame, radius: int) -> DataFrame:
+    """(word, cell): each string of the one column `word` in its cells."""
     spark = words.sparkSession
-    n = words.count()
-    want = int(min(MAX_PIVOTS, max(8, n // 500)))
+    want = int(min(MAX_PIVOTS, max(8, words.count() // 500)))
     chosen = [r["word"] for r in words.orderBy(F.xxhash64("word"), "word").limit(want).collect()]
     shared = spark.sparkContext.broadcast(Pivots(chosen))
 
@@ -213,34 +228,60 @@ def radius_pairs(words: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     cores = max(2, spark.sparkContext.defaultParallelism)
     # few small rows, much work each: the partition counts are fixed, else adaptive execution merges them into one task
-    placed = words.repartition(2 * cores, "word").select("word", F.explode(cells("word")).alias("cell")).checkpoint()
+    return words.repartition(2 * cores, "word").select("word", F.explode(cells("word")).alias("cell"))
+
+
+def radius_pairs(words: DataFrame, radius: int = 1) -> DataFrame:
+    """(a, b, d), a < b: all pairs of distinct strings of the one column `word` within `radius` edits of each other."""
+    cores = max(2, words.sparkSession.sparkContext.defaultParallelism)
+    placed = placed_words(words, radius).checkpoint()
     # a cell too large for one task is split by its words' neighbourhoods; there is one size a pivot
-    sizes = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts")))
+    split = F.col("n") > CELL_ROWS
+    each = F.col("letters") + 1 if radius == 1 else F.pow("letters", F.lit(radius)) / 2 + F.col("letters") + 1
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("word")).alias("letters"))
+    sizes = F.broadcast(sizes.select("cell", F.when(split, F.ceil(F.col("n") * each / CELL_ROWS)).otherwise(1).cast("int").alias("parts")))
 
     @F.pandas_udf("array<int>")
     def parts_of(w: pd.Series, parts: pd.Series) -> pd.Series:
-        from zlib import crc32
+        return pd.Series([[0] if k <= 1 else sorted({crc32(v.encode()) % k for v in neighbours(x, radius)}) for x, k in zip(w, parts, strict=True)], dtype=object)
 
-        return pd.Series([[0] if k <= 1 else sorted({crc32(v.encode()) % k for v in neighbours(x)}) for x, k in zip(w, parts, strict=True)], dtype=object)
-
-    rows = placed.join(sizes, "cell").select("word", "cell", F.explode(parts_of("word", "parts")).alias("part"))
+    rows = placed.join(sizes, "cell").select("word", "cell", "parts", F.explode(parts_of("word", "parts")).alias("part"))
 
     def join_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, part = (int(pdf[c].iloc[0]) for c in ("parts", "part"))
         near: dict[str, list[str]] = defaultdict(list)
         out = []
         for w in pdf["word"]:
+            around = neighbours(w, radius)
+            if k > 1:  # the others' pairs come up in their own parts
+                around = {v for v in around if crc32(v.encode()) % k == part}
             seen: set[str] = set()
-            for v in neighbours(w):
-                for x in near[v]:
-                    if x not in seen and edit_distance(w, x) <= radius:
-                        out.append((min(w, x), max(w, x)))
+            for v in around:
+                for x in near[v] if v in near else ():
+                    if x not in seen and (d := edit_distance(w, x)) <= radius:
+                        out.append((min(w, x), max(w, x), d))
                     seen.add(x)
-            for v in neighbours(w):
+            for v in around:
                 near[v].append(w)
-        return pd.DataFrame(out, columns=["a", "b"])
+        return pd.DataFrame(out, columns=["a", "b", "d"])
 
     rows = rows.repartition(4 * cores, "cell", "part")
-    return rows.groupBy("cell", "part").applyInPandas(join_cell, "a string, b string").distinct()
+    return rows.groupBy("cell", "part").applyInPandas(join_cell, "a string, b string, d int").distinct()
+
+
+def typo_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): the pairs of nodes 'kind:key' that are near enough for their length."""
+    key = F.length(F.substring_index("word", ":", -1))
+    words = nodes.withColumnRenamed("node", "word")
+
+    @F.pandas_udf("boolean")
+    def in_two_words(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = [(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)]
+        return pd.Series([len(x) == len(y) and all(edit_distance(v, w) <= 1 for v, w in zip(x, y, strict=True)) for x, y in pairs], dtype=bool)
+
+    one = radius_pairs(words.where(key >= LETTERS[0]), 1).select("a", "b")
+    two = radius_pairs(words.where(key >= LETTERS[1]), 2).where("d = 2")
+    return one.unionByName(two.where(in_two_words("a", "b")).select("a", "b"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -293,16 +334,16 @@ def _with_given(names: DataFrame) -> DataFrame:
     return names.join(known.groupBy("name").agg(F.collect_set("word").alias("known")), "name", "left")
 
 
-def _aliases() -> Column:
+def _aliases(nicknames: dict[str, str]) -> Column:
     """What a given name may be shortened to: its prefixes and its nicknames."""
-    by_formal = {fold(f): v.split() for f, v in NICKNAMES.items()}
+    by_formal = {fold(f): v.split() for f, v in nicknames.items()}
     nick = F.create_map(*[x for f, v in by_formal.items() for x in (F.lit(f), F.array(*[F.lit(fold(n)) for n in v]))])
     prefixes = F.transform(F.sequence(F.lit(1), F.length("given") - 1), lambda i: F.substring(F.col("given"), F.lit(1), i))
     return F.array_distinct(F.concat(prefixes, F.coalesce(F.try_element_at(nick, F.col("given")), F.array().cast("array<string>"))))
 
 
-def entities(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, entity) for every distinct name."""
+def entities(df: DataFrame, columns: list[str], nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
+    """(name, entity) for every distinct name. `nicknames` maps a given name to its short forms, parted by blanks."""
     ensure_checkpoint_dir(df.sparkSession)
     names = distinct_names(df, columns).checkpoint()
 
@@ -315,16 +356,15 @@ def entities(df: DataFrame, columns: list[str]) -> DataFrame:
     p = p.withColumn("key", F.concat_ws(" ", F.nullif("given", F.lit("")), "surname"))
     p = p.withColumn("node", F.concat_ws(":", "kind", "key")).checkpoint()
     full = (F.col("kind") == "org") | (F.length("given") > 1)
-    nodes = p.where(full).select("node").distinct()
-    pairs = radius_pairs(nodes.where(F.length("node") >= 12).withColumnRenamed("node", "word"))
-    labels = components(nodes, pairs).checkpoint()
+    nodes = p.where(full).select("node").distinct().checkpoint()
+    labels = components(nodes, typo_pairs(nodes)).checkpoint()
     p = p.join(labels, "node", "left")
 
     # nicknames and dotted abbreviations: the one label of that surname, itself no short form, that they can stand for
     persons = p.where((F.col("kind") == "person") & (F.length("given") > 1)).groupBy("label", "surname", "given").agg(F.max("dotted").alias("dotted"))
-    known = F.array(*[F.lit(n) for n in sorted(NICKS)])
+    known = F.array(*[F.lit(n) for n in sorted({fold(n) for n in chain(*(v.split() for v in nicknames.values()))})])
     short = F.col("dotted") | F.array_contains(known, F.col("given"))
-    alias = persons.select("surname", F.col("label").alias("formal"), F.explode(_aliases()).alias("alias")).where(F.length("alias") > 1)
+    alias = persons.select("surname", F.col("label").alias("formal"), F.explode(_aliases(nicknames)).alias("alias")).where(F.length("alias") > 1)
     parents = (
         persons.where(short).join(alias, (persons["surname"] == alias["surname"]) & (F.col("given") == F.col("alias")))
         .where(F.col("label") != F.col("formal")).select("label", "formal").distinct()
@@ -362,6 +402,13 @@ def entities(df: DataFrame, columns: list[str]) -> DataFrame:
     return p.where(F.col("entity").isNotNull()).select("name", "entity").unionByName(lone)
 
 
+def named_entities(df: DataFrame, columns: list[str], nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
+    """(name, representative, spellings): every distinct name, the smallest spelling of its entity, and how many it has."""
+    e = entities(df, columns, nicknames).checkpoint()
+    one = e.groupBy("entity").agg(F.min("name").alias("representative"), F.count(F.lit(1)).alias("spellings"))
+    return e.join(one, "entity").select("name", "representative", "spellings")
+
+
 def variant_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name_a, name_b), name_a < name_b: every pair of different spellings of one entity."""
     e = entities(df, columns).checkpoint()

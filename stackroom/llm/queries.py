@@ -120,6 +120,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(table(spark, sf_dir, "library_metadata"), ["authors", "illustrators"])
 
 
+@query("p5_entities")
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the representative of its person or organisation."""
+    from stackroom.llm.names import named_entities
+
+    return named_entities(table(spark, sf_dir, "library_metadata"), ["authors", "illustrators"])
+
+
 @query("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The languages of each description whose label is missing or wrong, or that mixes languages."""

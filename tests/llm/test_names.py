@@ -103,3 +103,40 @@ def test_rare_given_names_turn_names_round(spark):
     df = spark.createDataFrame([(f"{s}, {g}",) for g in often for s in ("Qua", "Quo")] + [("Pagbaltab, Zzyzx",), ("Pagbaltab Zzyzx",)], "name string")
     got = {r["name"]: r["known"] for r in m._with_given(df).where("name LIKE 'Pag%'").collect()}
     assert got == {"Pagbaltab, Zzyzx": None, "Pagbaltab Zzyzx": ["zzyzx"]}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcd", max_size=8), st.text(alphabet="abcd", max_size=8), st.lists(st.text(alphabet="abcde", max_size=9), min_size=1, max_size=9), st.integers(1, 2))
+def test_any_radius_keeps_pairs(a, b, pivots, r):
+    if edit_distance(a, b) <= r:
+        assert m.neighbours(a, r) & m.neighbours(b, r)
+        ca, cb = m.Pivots(pivots).cells([a, b], r)
+        assert set(ca) & set(cb)
+
+
+@pytest.mark.parametrize("cell_rows", [20_000, 40])
+def test_radius_two_against_brute_force(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(m, "CELL_ROWS", cell_rows)
+    rng = random.Random(7)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(4, 8))) for _ in range(200)}
+    got = {tuple(r) for r in m.radius_pairs(spark.createDataFrame([(w,) for w in words], "word string"), 2).collect()}
+    assert got == {(a, b, edit_distance(a, b)) for a in words for b in words if a < b and edit_distance(a, b) <= 2}
+
+
+def test_two_typos_and_short_keys(spark):
+    names = ["Christopher Tivdomsox", "Cristopher Tivdomsxo", "Ann Lee", "Anm Lee", "Bol", "Bom", "Anastasia Gidtampex", "Anastasia Hidtabpex"]
+    assert pairs(spark, names) == linked([names[:2], names[2:4]])
+
+
+def test_organisations(spark):
+    groups = [["Siemens AG", "SIEMENS AG", "Siemens GmbH"], ["Universität Wien", "Universitat Wien"], ["Acme Corporation", "Acme, Inc."], ["Verlag Roter Stern"], ["Ag Siemens"], ["Inc, Ann"]]
+    assert pairs(spark, [n for g in groups for n in g]) == linked(groups)
+    assert [m.organisation_key(n) for n in ("A. G. Siemens", "Corp", "Ann Ltd Lee", "limited")] == [None] * 4
+
+
+def test_entities_and_nicknames_given(spark):
+    df = spark.createDataFrame([(["Quincey Lekribden", "Zaz Lekribden", None, "Ann Poe"], ["Poe, Ann"])], "authors array<string>, illustrators array<string>")
+    got = lambda **k: sorted(map(tuple, m.named_entities(df, ["authors", "illustrators"], **k).collect()))
+    apart = [("Ann Poe", "Ann Poe", 2), ("Poe, Ann", "Ann Poe", 2), ("Quincey Lekribden", "Quincey Lekribden", 1), ("Zaz Lekribden", "Zaz Lekribden", 1)]
+    assert got() == apart
+    assert got(nicknames={"Quincey": "zaz"})[2:] == [("Quincey Lekribden", "Quincey Lekribden", 2), ("Zaz Lekribden", "Quincey Lekribden", 2)]
