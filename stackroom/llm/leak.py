@@ -10,8 +10,10 @@ Words are what is compared: markup and entities are dropped, the rest is case-fo
 letters and digits (an apostrophe or hyphen joins its sides). A word no passage has is a break, as is a document's end; runs
 of fewer than `n` known words can't hold a window and are left out of the index. That loses no match.
 
-Nothing is shuffled: the passages are broadcast in slices of `SLICE` (their number is checked), the corpus is mapped. A text repeated in a
-third of the documents makes many occurrences in every shard, each handled where it lies.
+Nothing is shuffled: the passages are broadcast, the corpus is mapped once. Their size is checked first: held-out sets of more
+than `slice_bytes` of text are cut into slices by the hash of the item, each gathered, broadcast and searched by itself, so
+there is no limit to their number. A text repeated in a third of the documents makes many occurrences in every shard, each
+handled where it lies.
 
 Defined results: NULL and empty texts hold nothing; passages of fewer than `n` words can't be found; repeated documents are
 found each; very long texts are indexed whole, a shard is closed after the document that fills it.
@@ -35,9 +37,10 @@ from stackroom.session import spread
 WINDOW = 12
 SHARD_WORDS = 400_000
 SAMPLE = 16
-SLICE, MAX_PASSAGES = 5_000, 200_000
+SLICE_BYTES = 32_000_000
+AT_ONCE = 100_000
 
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"<[^<>]+>")
 _JOIN = re.compile(r"(?<=\w)['’‘ʼ`´\-‐‑­​‌‍⁠﻿]+(?=\w)|[­​‌‍⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -149,18 +152,32 @@ class FMIndex:
 
 
 class Windows:
-    """All windows of n words of the passages, as symbols, with the items each belongs to."""
+    """All windows of n words of the passages, as symbols, with the item each belongs to.
+
+    The passages are kept as one row of symbols; windows are cut out of it as they are needed.
+    """
 
     def __init__(self, passages: list[tuple[int, str]], n: int):
         self.n = n
         self.vocab: dict[str, int] = {}
-        at: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        seq, starts, owner, self.names = [], [], [], []
+        place: dict = {}
         for item, text in passages:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 2) for w in words_of(text)]
-            for i in range(len(ids) - n + 1):
-                at.setdefault(tuple(ids[i : i + n]), []).append((item, i))
-        self.patterns = np.array(list(at), dtype=np.int64).reshape(-1, n)
-        self.items = [sorted({i for i, _ in v}) for v in at.values()]
+            k = place.setdefault(item, len(place))
+            windows = range(len(seq), len(seq) + len(ids) - n + 1)
+            starts += windows
+            owner += [k] * len(windows)
+            seq += ids
+        self.names = list(place)
+        self.seq, self.starts, self.owner = (np.array(x, dtype=np.int32) for x in (seq, starts, owner))
+
+    def cut(self, a: int, b: int) -> np.ndarray:
+        return self.seq[self.starts[a:b, None] + np.arange(self.n)].astype(np.int64)
+
+    @property
+    def patterns(self) -> np.ndarray:
+        return self.cut(0, len(self.starts)).reshape(-1, self.n)
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
         """Symbols of the runs of n known words or more, each run closed by the break 1, and the word places they stand at."""
@@ -184,52 +201,71 @@ class Windows:
 
 
 def _search_shard(docs: list, starts: list[int], seq: list[int], places: list[int], win: Windows) -> Iterator[tuple]:
-    if not seq or not len(win.patterns):
+    if not seq or not len(win.starts):
         return
     index = FMIndex(np.array(seq, dtype=np.int64))
-    lo, hi = index.search(win.patterns)
-    found = np.nonzero(hi > lo)[0]
-    if not len(found):
+    first, word = np.array(starts), np.array(places)
+    hits: list[np.ndarray] = []
+    for a in range(0, len(win.starts), AT_ONCE):
+        lo, hi = index.search(win.cut(a, a + AT_ONCE))
+        found = np.nonzero(hi > lo)[0]
+        if not len(found):
+            continue
+        reps = (hi - lo)[found]
+        rows = np.repeat(lo[found], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
+        at = index.locate(rows)
+        hits.append(np.stack([np.searchsorted(first, at, side="right") - 1, np.repeat(win.owner[a + found], reps), word[at]], axis=1))
+    if not hits:
         return
-    reps = (hi - lo)[found]
-    rows = np.repeat(lo[found], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
-    which = np.repeat(found, reps)
-    at = index.locate(rows)
-    doc = np.searchsorted(np.array(starts), at, side="right") - 1
-    word = np.array(places)[at]
-    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for d, w, p in zip(doc.tolist(), word.tolist(), which.tolist(), strict=True):
-        for item in win.items[p]:
-            spans.setdefault((d, item), []).append((w, w + win.n))
-    for (d, item), got in spans.items():
-        merged: list[list[int]] = []
-        for a, b in sorted(got):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        yield docs[d], item, merged
+    # by document and item, in order of the words; a window that starts behind the last one's end opens a new span
+    got = np.unique(np.concatenate(hits), axis=0)
+    new = np.ones(len(got), dtype=bool)
+    new[1:] = (got[1:, :2] != got[:-1, :2]).any(axis=1)
+    fresh = new.copy()
+    fresh[1:] |= got[1:, 2] > got[:-1, 2] + win.n
+    opens = np.nonzero(fresh)[0]
+    ends = np.append(opens[1:], len(got)) - 1
+    spans = np.stack([got[opens, 2], got[ends, 2] + win.n], axis=1).tolist()
+    groups = np.nonzero(new[opens])[0]
+    for a, b in zip(groups, [*groups[1:], len(opens)], strict=True):
+        d, k, _ = got[opens[a]]
+        yield docs[d], win.names[k], spans[a:b]
 
 
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-           passage: str = "passage", n: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+           passage: str = "passage", n: int = WINDOW, shard_words: int = SHARD_WORDS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(key, item, spans): the documents that hold n consecutive words of an item, and the word spans to remove.
 
     `spans` is an array of [first word, word after the last], in words of the document.
     """
-    held = items.select(item, passage).where(F.col(passage).isNotNull()).limit(MAX_PASSAGES + 1).collect()
-    if len(held) > MAX_PASSAGES:
-        raise ValueError(f"the held-out set may have {MAX_PASSAGES} passages at most; search it in parts")
+    held = items.select(F.col(item), F.col(passage)).where(F.col(passage).isNotNull())
+    size = held.agg(F.sum(F.octet_length(passage))).first()[0] or 0
+    slices = max(1, -(-int(size) // slice_bytes))
     rows = spread(docs.select(key, text).where(F.col(text).isNotNull()))
     kinds = dict(docs.dtypes) | {item: dict(items.dtypes)[item]}
     schema = f"`{key}` {kinds[key]}, `{item}` {kinds[item]}, spans array<array<int>>"
-    # a slice of the held-out set at a time is broadcast; an item stands in one slice
-    ids = sorted({r[0] for r in held})
-    slices = [set(ids[i : i + SLICE]) for i in range(0, len(ids), SLICE)] or [set()]
-    parts = [rows.mapInPandas(_searcher(docs, [(r[0], r[1]) for r in held if r[0] in part], key, text, item, n, shard_words), schema) for part in slices]
+    # an item stands in one slice; one slice at a time is gathered
+    parts = []
+    for i in range(slices):
+        mine = held.where(F.pmod(F.xxhash64(F.col(item).cast("string")), F.lit(slices)) == i) if slices > 1 else held
+        parts.append(rows.mapInPandas(_searcher(docs, [(r[0], r[1]) for r in mine.collect()], key, text, item, n, shard_words), schema))
     return reduce(DataFrame.unionByName, parts)
 
 
+def leaked_spans(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
+    """(key, item, first_word, end_word): one row per span to remove."""
+    got = leaked(docs, items, **names)
+    key, item = got.columns[:2]
+    return got.select(key, item, F.explode("spans").alias("s")).select(key, item, F.col("s")[0].alias("first_word"), F.col("s")[1].alias("end_word"))
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
+    """(item, documents, words): in how many documents an item stands, and how many of their words are its own."""
+    got = leaked(docs, items, **names)
+    words = F.aggregate("spans", F.lit(0), lambda a, s: a + s[1] - s[0])
+    return got.groupBy(got.columns[1]).agg(F.count(F.lit(1)).alias("documents"), F.sum(words).alias("words"))
+
+
 def _searcher(docs: DataFrame, held: list[tuple[int, str]], key: str, text: str, item: str, n: int, shard_words: int):
     shared = docs.sparkSession.sparkContext.broadcast(Windows(held, n))
 

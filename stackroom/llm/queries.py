@@ -75,6 +75,33 @@ _LEAK_SQL = (
 )
 
 
+_SPANS_SQL = (
+    "WITH d AS ({d}), e AS ({e}), m AS (SELECT DISTINCT d.k AS doc_id, e.k AS item_id, d.i FROM d JOIN e ON d.g = e.g), "
+    "n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) + 12 THEN 0 ELSE 1 END AS fresh FROM m), "
+    "s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS s FROM n), "
+    "o AS (SELECT doc_id, item_id, min(i) - 1 AS first_word, max(i) + 11 AS end_word FROM s GROUP BY doc_id, item_id, s)"
+).format(
+    d=_LEAK_SQL.format(k="doc_id", w=_words_sql("text"), t="documents").replace("SELECT k, array", "SELECT k, i, array"),
+    e=_LEAK_SQL.format(k="item_id", w=_words_sql("passage"), t="eval_items"),
+)
+
+
+@query("p8_spans", f"{_SPANS_SQL} SELECT * FROM o")
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans to remove, in words of the document."""
+    from stackroom.llm.leak import leaked_spans
+
+    return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query("p8_items", f"{_SPANS_SQL} SELECT item_id, count(DISTINCT doc_id) AS documents, sum(end_word - first_word) AS words FROM o GROUP BY item_id")
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that leaked, with the number of documents and words."""
+    from stackroom.llm.leak import leaked_items
+
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 @query(
     "p8_found",
     f"SELECT DISTINCT d.k AS doc_id, e.k AS item_id FROM ({_LEAK_SQL.format(k='doc_id', w=_words_sql('text'), t='documents')}) d "

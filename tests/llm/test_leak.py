@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from stackroom.llm.leak import FMIndex, Windows, leaked, words_of
+from stackroom.llm.leak import FMIndex, Windows, leaked, leaked_items, leaked_spans, words_of
 
 
 @pytest.mark.parametrize("sigma", [2, 3, 9, 40])
@@ -78,3 +78,30 @@ def test_odd_input(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in leaked(docs, items).collect()) == [(1, 1), (1, 1)]
     assert leaked(docs.limit(0), items).count() == 0 and leaked(docs, items.limit(0)).count() == 0
     assert Windows([], 12).patterns.shape == (0, 12)
+
+
+def test_slices_and_long_tags_change_nothing(spark):
+    docs, items = corpus(5)
+    d = spark.createDataFrame([(k, t and t.replace("<b>", f'<b class="{"x" * 400}">')) for k, t in docs], "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, passage string")
+    whole = sorted(map(str, leaked(d, i, n=6).collect()))
+    assert sorted(map(str, leaked(d, i, n=6, slice_bytes=300).collect())) == whole
+    assert {(r["doc_id"], r["item_id"]) for r in leaked(d, i, n=6).collect()} == brute(docs, items, 6)
+
+
+def test_many_passages_one_scan(spark):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(20_000)]
+    docs = [(d, " ".join(word() for _ in range(100)) + " " + " ".join(items[d * 60][1].split()[3:20])) for d in range(300)]
+    got = leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    assert {(r["doc_id"], r["item_id"]): r["spans"] for r in got.collect()} == {(d, d * 60): [[100, 117]] for d in range(300)}
+
+
+def test_items_and_spans(spark):
+    w = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([(1, " ".join(w[:30])), (2, " ".join(w[30:])), (3, "none")], "item_id bigint, passage string")
+    docs = spark.createDataFrame([(1, " ".join([*w[:14], "x", *w[5:17]])), (2, " ".join(w))], "doc_id bigint, text string")
+    assert sorted(map(tuple, leaked_spans(docs, items).collect())) == [(1, 1, 0, 14), (1, 1, 15, 27), (2, 1, 0, 30), (2, 2, 30, 60)]
+    assert sorted(map(tuple, leaked_items(docs, items).collect())) == [(1, 2, 56), (2, 1, 30)]
