@@ -6,13 +6,16 @@ length gives the same fraction of its documents; what then remains (less than on
 by a bounded-knapsack dynamic programme over the leftover counts, so the budget is met to the token where any
 combination does. Documents of a length are chosen by a seeded hash.
 
+`window` is the budget the programme works on in one piece: what is left above it is first filled with single documents in
+seeded order. A window of the whole budget leaves everything to the programme.
+
 Scale: token counts are made once and written to the shared checkpoint folder. Only histograms (source, length, count) are
-gathered, one source per task; the driver sees one row per source. Of a length's documents the hash's buckets are taken whole in
+gathered, one source per task; the driver sees one number. Of a length's documents the hash's buckets are taken whole in
 order, and only the one bucket on the border is ranked, so no task ranks all documents of a length.
 
 Defined results: NULL texts, texts without tokens and documents of sources that aren't targets are left out; a source without
 documents makes every mix empty unless its share is 0; repeated documents count each; a source named twice in the targets
-keeps its first share; a share of 0 takes nothing.
+keeps its smallest share; a share of 0 takes nothing.
 """
 
 from __future__ import annotations
@@ -109,34 +112,36 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats
     return passes, extra
 
 
+def stated(targets: DataFrame, source: str) -> DataFrame:
+    """(source, target_share, max_repeats), one row per source: the smallest share stated for it."""
+    goals = targets.groupBy(F.col("source").alias(source)).agg(F.min(F.struct("target_share", F.col("max_repeats").cast("int").alias("max_repeats"))).alias("g"))
+    return goals.select(source, "g.*")
+
+
 def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-            total: int | None = None, vocabulary: str | None = None, seed: int = 1) -> DataFrame:
-    """(key, source, n_tokens, copies) of the documents the mix uses."""
+            total: int | None = None, vocabulary: str | None = None, seed: int = 1, window: int = WINDOW) -> DataFrame:
+    """(key, source, n_tokens, copies) of the documents the mix uses. `vocabulary` is the path of a byte-level rank file."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     path = vocabulary or default_vocabulary()
-    goals = targets.groupBy(F.col("source").alias("src")).agg(
-        F.first("target_share").alias("share"), F.first("max_repeats").cast("int").alias("most")
-    ).where("share > 0").checkpoint()
+    goals = stated(targets, "src").where("target_share > 0").checkpoint()
     rows = docs.select(F.col(key), F.col(text).alias("__t"), F.col(source).alias("src")).where(F.col("__t").isNotNull())
     rows = rows.join(broadcast_checked(goals.select("src")), "src", "left_semi")
     counted = spread(rows).select(key, "src", token_counts(rows, "__t", path).alias("n_tokens")).where("n_tokens > 0").checkpoint()
     hist = counted.groupBy("src", "n_tokens").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    # one row per source
-    sizes = {r["src"]: int(r["all"]) for r in hist.groupBy("src").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("all")).collect()}
-    plan = [(r["src"], float(r["share"]), int(r["most"]), sizes.get(r["src"], 0)) for r in goals.limit(1_000_000).collect()]
-    reachable = min((size * most / share for _, share, most, size in plan), default=0.0)
-    whole = int(min(reachable, total) if total is not None else reachable)
-    budgets = {src: (round(whole * share), most) for src, share, most, _ in plan}
+    # the total: as large as the source that runs out first allows
+    sizes = hist.groupBy("src").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("size"))
+    reach = goals.join(sizes, "src", "left").agg(F.min(F.coalesce("size", F.lit(0)) * F.col("max_repeats") / F.col("target_share")).alias("r")).first()["r"]
+    whole = int(min(reach or 0.0, total) if total is not None else reach or 0.0)
+    budgets = goals.select("src", F.rint(F.lit(float(whole)) * F.col("target_share")).cast("bigint").alias("budget"), F.col("max_repeats").alias("most"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        src = pdf["src"].iloc[0]
-        budget, most = budgets[src]
         pdf = pdf.sort_values("n_tokens")
-        passes, extra = fit_budget(pdf["n_tokens"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), budget, most, seed)
-        return pd.DataFrame({"src": src, "n_tokens": pdf["n_tokens"].to_numpy(), "base": passes, "extra": extra})
+        goal = pdf.iloc[0]
+        passes, extra = fit_budget(pdf["n_tokens"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(goal["budget"]), int(goal["most"]), seed, window)
+        return pd.DataFrame({"src": goal["src"], "n_tokens": pdf["n_tokens"].to_numpy(), "base": passes, "extra": extra})
 
-    fitted = hist.groupBy("src").applyInPandas(fit, "src string, n_tokens int, base int, extra bigint").checkpoint()
+    fitted = hist.join(broadcast_checked(budgets), "src").groupBy("src").applyInPandas(fit, "src string, n_tokens int, base int, extra bigint").checkpoint()
     hashed = counted.withColumn("h", F.xxhash64(F.lit(seed), F.col(key).cast("string"))).withColumn("hb", F.pmod("h", F.lit(BUCKETS)))
     buckets = hashed.groupBy("src", "n_tokens", "hb").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("src", "n_tokens").orderBy("hb")) - F.col("n")
@@ -164,8 +169,7 @@ def shares(docs: DataFrame, targets: DataFrame, **names) -> DataFrame:
     per = per.withColumn("one", F.lit(1))
     all_tokens = per.groupBy("one").agg(F.sum("tokens").alias("all"))  # one row
     per = per.join(F.broadcast(all_tokens), "one").drop("one")
-    goals = targets.groupBy("source").agg(F.first("target_share").alias("target_share"), F.first("max_repeats").alias("max_repeats"))
-    return goals.join(per, "source", "left").select(
+    return stated(targets, "source").join(per, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("share"),
         F.coalesce("copies_max", F.lit(0)).alias("copies_max"),

@@ -76,3 +76,11 @@ def test_empty(spark):
     assert mixture(corpus(spark), targets.limit(0)).count() == 0
     missing = spark.createDataFrame([("big", 0.5, 2), ("ghost", 0.5, 2)], "source string, target_share double, max_repeats int")
     assert mixture(corpus(spark), missing).count() == 0
+
+
+def test_repeated_targets_and_whole_window(spark):
+    """A source stated twice keeps its smallest share; a window of the whole budget meets it to the token."""
+    targets = spark.createDataFrame([("mid", 0.5, 2), ("big", 0.5, 1), ("mid", 0.9, 9)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in shares(corpus(spark), targets, total=4000, window=10**9).collect()}
+    assert {s: r["target_share"] for s, r in got.items()} == {"mid": 0.5, "big": 0.5} and got["mid"]["max_repeats"] == 2
+    assert {r["tokens"] for r in got.values()} == {2000}
