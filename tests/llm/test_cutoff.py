@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from stackroom.llm.cutoff import cut_rates, features, length_limits, looks_intact, scored
+from stackroom.llm.cutoff import cut_rates, features, length_limits, limits_of, looks_intact, place, scored
 
 NOUN = "the old ship,each quiet river,that small garden,one narrow window,this silver clock,a hidden letter".split(",")
 VERB = "hides follows guards measures forgets remembers".split()
@@ -71,3 +71,22 @@ def test_intact_forms():
     assert all(looks_intact(t) for t in ("A b.", "A b.”", "A b.</p>", "A.\n— Ann, Rome", "A.\nKeywords: a; b", "one\ntwo", "A (x)", "A.\n* * *"))
     assert not any(looks_intact(t) for t in ("", " ", "A b", "A b…", "A b...", "A. And th"))
     assert "form=signed" in features("A b.\n— Ann Lee, Rome", False, 2)
+
+
+def test_limits_below_the_longest_text_and_in_bytes(spark):
+    """A few longer texts hide no limit, limits in bytes are found, and repeated texts make none."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(800):
+        t = intact(rng)
+        rows.append((t[:160], "a") if rng.random() < 0.97 else (t, "a"))
+        rows.append((t.replace("e", "é").encode()[:200].decode(errors="ignore"), "b"))
+        rows.append((t if rng.random() < 0.8 else rows[1][0], "c"))
+    df = spark.createDataFrame([*rows, *[("One text many times over.", "c")] * 100], "text string, source string")
+    got = {tuple(r) for r in limits_of(df, "text", "source").collect()}
+    assert ("a", "chars", 160) in got and ("b", "bytes", 200) in got and not [g for g in got if g[0] == "c"]
+
+
+def test_places():
+    assert [place("x" * n, [10], []) for n in (5, 7, 10, 11)] == [(False, 2), (False, 1), (True, 0), (False, 2)]
+    assert place("é" * 5, [], [10]) == (True, 0) and place("", [], []) == (False, 2)
