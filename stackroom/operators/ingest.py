@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackroom.functions.dates import publication_date
 from stackroom.functions.people import is_author, is_illustrator
 from stackroom.functions.text import author_list, base_slug, file_title, sanitize_description, slug, subject_list
+from stackroom.operators.joins import numbered
 
 
 def _people(persons: Column, keep) -> Column:
@@ -44,16 +45,25 @@ def catalogue_fields(epub: DataFrame) -> DataFrame:
 def with_unique_slugs(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Adds slug: the base slug, with --2, --3 ... for further documents of the same base in path order.
 
-    `taken` are slugs in use (column slug): numbering goes on after them. The window is partitioned by base slug; bases repeat
-    a few times (editions of one work), so no partition grows with the library.
+    `taken` are slugs in use (column slug): the numbers they leave free are given out, the smallest first, so no slug stands
+    twice. A base slug has no double hyphen, so what follows one is a number. Untitled works without authors share one base,
+    however many they are: groups are numbered by `numbered`, which splits large ones.
     """
-    base = rows.withColumn("base", base_slug(F.col("authors"), F.col("title"), F.col("language")))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("id"))
-    base = base.withColumn("n", n)
+    base = rows.withColumn("__base", base_slug(F.col("authors"), F.col("title"), F.col("language")))
+    base = numbered(base, "__base", ["id"], "__n")
     if taken is not None:
-        used = taken.select(F.regexp_replace("slug", r"--\d+$", "").alias("base")).groupBy("base").agg(F.count(F.lit(1)).alias("used"))
-        base = base.join(used, "base", "left").withColumn("n", F.col("n") + F.coalesce("used", F.lit(0))).drop("used")
-    return base.withColumn("slug", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("--", "base", F.col("n").cast("string")))).drop("base", "n")
+        used = taken.where(F.col("slug").rlike(r"^(?:(?!--).)*(?:--[1-9]\d{0,8})?$")).select(
+            F.substring_index("slug", "--", 1).alias("__base"),
+            F.coalesce(F.nullif(F.regexp_extract("slug", r"--(\d+)$", 1), F.lit("")).cast("int"), F.lit(1)).alias("t"),
+        ).distinct()
+        used = numbered(used.join(base.select("__base").distinct(), "__base", "left_semi"), "__base", ["t"], "r")
+        # t - r numbers below t are free, so the k-th document comes behind all used ones with t - r < k: its place among both is its number
+        slots = used.select("__base", (F.col("t") - F.col("r")).alias("at"), F.lit(1).alias("used"))
+        slots = slots.unionByName(base.select("__base", F.col("__n").alias("at"), F.lit(0).alias("used")))
+        placed = numbered(slots, "__base", ["at", "used"], "__f").where("used = 0").select("__base", F.col("at").alias("__n"), "__f")
+        base = base.join(placed, ["__base", "__n"]).withColumn("__n", F.col("__f")).drop("__f")
+    named = F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat_ws("--", "__base", F.col("__n").cast("string")))
+    return base.withColumn("slug", named).drop("__base", "__n")
 
 
 def new_records(epub: DataFrame, catalogue: DataFrame) -> DataFrame:

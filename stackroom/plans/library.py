@@ -721,6 +721,20 @@ def slug_disambiguate(spark, d):
     return ingest.with_unique_slugs(rows).select("file_id", F.col("slug").alias("new_slug"))
 
 
+@query(
+    "slug_incremental",
+    f"WITH b AS (SELECT file_id, id, format, {text.base_slug_sql('authors', 'title')} AS base FROM library_metadata), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM b), "
+    "t AS (SELECT base, list(n) AS used FROM n WHERE format = 'EPUB' GROUP BY base), p AS (SELECT file_id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM n WHERE format = 'PDF'), "
+    "f AS (SELECT file_id, p.base, list_filter(range(1, 1 + k + len(coalesce(used, []))), lambda x: NOT list_contains(coalesce(used, []), x))[k] AS f FROM p LEFT JOIN t ON p.base = t.base) "
+    "SELECT file_id, CASE WHEN f = 1 THEN base ELSE base || '--' || f::VARCHAR END AS new_slug FROM f",
+)
+def slug_incremental(spark, d):
+    """Slugs of the PDF files, loaded after the EPUB files, whose slugs leave gaps: the numbers that are free."""
+    rows = table(spark, d, "library_metadata").select("file_id", "id", "authors", "title", "format", F.lit("").alias("language"))
+    known = ingest.with_unique_slugs(rows).where("format = 'EPUB'")
+    return ingest.with_unique_slugs(rows.where("format = 'PDF'"), known.select("slug")).select("file_id", F.col("slug").alias("new_slug"))
+
+
 _SPLIT = "list_filter(list_transform(regexp_split_to_array({x}, '[{m}]'), lambda s: trim(s)), lambda s: s <> '')"
 
 

@@ -16,6 +16,7 @@ def build_session(app: str = "stackroom", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
@@ -27,16 +28,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point the checkpoint folder at the shared one the cluster names; a local one only where the setting is unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point the checkpoint folder at the shared one the cluster names, and return it.
+
+    A folder of this machine is made only where the setting is unset and the master is local; it goes with the process. On a
+    cluster without the setting this raises: executors could neither read it nor survive each other.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="stackroom-ckpt-")
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = _own_folder("stackroom-ckpt-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def _own_folder(prefix: str) -> str:
+    """A temporary folder that is removed when the process ends."""
+    import atexit
+    import shutil
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -59,12 +76,11 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_stackroom_shipped", False):
         return
-    import tempfile
     import zipfile
     from pathlib import Path
 
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="stackroom-")) / "stackroom.zip"
+    archive = Path(_own_folder("stackroom-")) / "stackroom.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path(root.name) / p.relative_to(root))

@@ -190,3 +190,44 @@ def test_author_resolution(spark):
     assert (ann["entity_id"], ann["birth_name"], ann["gender"], ann["date_of_birth"]["precision"], ann["pseudonyms"]) == ("Q2", "Ann Birth", 2, 11, ["Nom"])
     assert ann["date_of_birth"]["days"] == (dt.date(1901, 2, 3) - dt.date(1, 1, 1)).days and ann["date_of_death"]["days"] == 0
     assert ann["image"].endswith("A_b.jpg") and ann["description"] == {"en": "writer"}
+
+
+def test_slugs_take_free_numbers(spark, monkeypatch):
+    """Gaps are filled first, no slug stands twice, whether groups are numbered in one task or in ranges."""
+    from stackroom.operators import joins
+
+    new = [(f"n/{i}", "A", t) for i, t in enumerate(["b"] * 5 + ["c", "d", None, None])]
+    rows = spark.createDataFrame([(i, [a], t, "en", "x") for i, a, t in new], "id string, authors array<string>, title string, language string, f string")
+    taken = [("a-b--3",), ("a-b--3",), ("a-b--5",), ("a-d",), ("zz",), ("a-b--02",), (None,), ("a-c--x",)]
+    for limit in (joins.GROUP_ROWS, 3):
+        monkeypatch.setattr(joins.numbered, "__defaults__", (limit,))
+        got = ingest.with_unique_slugs(rows, spark.createDataFrame(taken, "slug string")).collect()
+        assert {r["id"]: r["slug"] for r in got} == dict(zip([r[0] for r in new], ["a-b", "a-b--2", "a-b--4", "a-b--6", "a-b--7", "a-c", "a-d--2", "a", "a--2"], strict=True))
+
+
+def test_numbers_of_large_groups(spark):
+    from stackroom.operators.joins import numbered
+
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 500) END AS k", "xxhash64(id) AS at", "id AS n0").repartition(5)
+    got = numbered(df, "k", ["at"], "n", group_rows=100)
+    want = df.selectExpr("k", "at", "n0", "row_number() OVER (PARTITION BY k ORDER BY at) AS n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_checkpoints_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from stackroom.session import ensure_checkpoint_dir
+
+    conf = SimpleNamespace(get=lambda k: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(ValueError, match="share"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
+
+
+def test_broadcasts_are_checked_by_rows_and_bytes(spark):
+    from stackroom.operators.joins import broadcast_checked
+
+    df = spark.range(100).selectExpr("id", "repeat('x', 100) AS t")
+    hinted = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
+    assert hinted(broadcast_checked(df)) and not hinted(broadcast_checked(df, max_rows=50)) and not hinted(broadcast_checked(df, max_bytes=5000))
