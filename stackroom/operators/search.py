@@ -1,8 +1,9 @@
 """Full-text search over the catalogue: keyword, slug and field query modes, filters, sorts, BM25.
 
-A search is a predicate, a score and an order over one scan. Scores need the collection's statistics (documents, average
-length, document frequency of the few query terms): one aggregate row, read first by a job of its own and put into the
-plan as literals. For repeated searches `build_postings` materialises an inverted index to read instead.
+A search is a predicate, a score and an order. Over a stored index (`stackroom.operators.index`) it reads the postings of
+its few terms and joins what it found with the catalogue's plain columns. Without an index, and for phrases, wildcards,
+fuzzy terms, regular expressions and ranges, it is one scan; the scores' statistics (documents, document frequency of the
+query's terms) are then one aggregate row, read first by a job of its own and put into the plan as literals.
 """
 
 from __future__ import annotations
@@ -155,56 +156,127 @@ def composed(keywords: str, analyzers: list[str]) -> Column:
 
 
 RANGES = {"Words": "words", "Pages": "pages", "Illustrations": "illustrations", "SeriesIndex": "series_index", "Publication.Date": "publication.days"}
+DATES = {"AddedOn": "added_on"}
 
 
-def query_string(text: str) -> Column:
+@dataclass
+class Clause:
+    """A part of a query string: its sign, what it matches, what its score counts with which boost, and, for plain terms,
+    the fields (a row for each that may hold them) and tokens an index can look up."""
+
+    sign: str
+    hit: Column
+    counts: list[tuple[Column, float]]
+    fields: list[str] = field(default_factory=list)
+    terms: list[str] = field(default_factory=list)
+    boost: float = 1.0
+
+
+def text_of(columns: list[str]) -> Column:
+    """The text of some of the catalogue's columns, one after the other."""
+    return F.concat_ws(" ", *[F.col(c) if c in ("series", "title", "description") else joined(F.col(c)) for c in columns])
+
+
+def clauses(text: str) -> list[Clause]:
     """The query-string language: field:term, "phrase", +must and -mustnot, wildcards * and ?, term~ or term~2 (fuzzy),
-    /regex/, ranges Field:>n and the like on numbers; ^boosts are read and have no effect on what matches. A bare term looks
-    in all text fields."""
-    must, may, never = [], [], []
-    for sign, name, quoted, regex, term in re.findall(r'([+-]?)(?:([\w.]+):)?(?:"([^"]*)"|/((?:[^/\\]|\\.)+)/|(\S+))', text):
-        term = re.sub(r"\^[\d.]+$", "", term)
+    /regex/, ranges Field:>n and the like on numbers and Field:>"2020-01-01" on times, ^boosts. A bare term looks in all text fields."""
+    out = []
+    for sign, name, quoted, quoted_boost, regex, regex_boost, term in re.findall(r'([+-]?)(?:([\w.]+):)?(?:"([^"]*)"(?:\^([\d.]+))?|/((?:[^/\\]|\\.)+)/(?:\^([\d.]+))?|(\S+))', text):
+        m = re.search(r"\^([\d.]+)$", term)
+        boost = float(quoted_boost or regex_boost or (m[1] if m else 1) or 1)
+        term = term[: m.start()] if m else term
         if name in RANGES and (m := re.fullmatch(r"(>=|<=|>|<)?(-?[\d.]+)", term)):
-            c, n = F.col(RANGES[name]), float(m[2])
-            hit = {">": c > n, ">=": c >= n, "<": c < n, "<=": c <= n}.get(m[1], c == n)
-            hit = F.coalesce(hit, F.lit(False))
+            out.append(Clause(sign, _compared(F.col(RANGES[name]), m[1], F.lit(float(m[2]))), []))
+        elif name in DATES and (m := re.fullmatch(r'(>=|<=|>|<)?"?(\d{4}-\d\d-\d\d[T\d:.Z]*)"?', term or quoted)):
+            out.append(Clause(sign, _compared(F.col(DATES[name]), m[1], F.lit(m[2]).cast("timestamp")), []))
         else:
-            cols = [FIELDS[name]] if name in FIELDS else [*FIELDS.values(), "description"]
-            texts = [F.col(c) if c in ("series", "title", "description") else joined(F.col(c)) for c in cols]
-            hit = reduce(or_, [F.coalesce(_one(c, quoted, regex, term), F.lit(False)) for c in texts])
-        (must if sign == "+" else never if sign == "-" else may).append(hit)
+            names = [name] if name in FIELDS else [*FIELDS, "Description"]
+            cols = [FIELDS.get(n, "description") for n in names]
+            hit = reduce(or_, [F.coalesce(_one(text_of([c]), quoted, regex, term), F.lit(False)) for c in cols])
+            plain = not quoted and not regex and not re.search(r"~\d?$|[*?]", term)
+            terms = query_terms(term) if plain else []
+            body = text_of(cols)
+            counts = [(term_count(body, w), boost) for w in terms] if plain else [(_often(body, quoted, regex, term), boost)]
+            out.append(Clause(sign, hit, counts, names if plain else [], terms, boost))
+    return out
+
+
+def _compared(c: Column, how: str | None, n: Column) -> Column:
+    return F.coalesce({">": c > n, ">=": c >= n, "<": c < n, "<=": c <= n}.get(how or "", c == n), F.lit(False))
+
+
+def combined(parts: list[tuple[str, Column]]) -> Column:
+    """Signed conditions in one: all of the + ones, none of the - ones, and one of the others if there is no + one."""
+    must, may, never = ([h for x, h in parts if x == k] for k in ("+", "", "-"))
     out = must + ([reduce(or_, may)] if may and not must else []) + [~x for x in never]
     return reduce(and_, out) if out else F.lit(True)
 
 
-def _one(c: Column, quoted: str, regex: str, term: str) -> Column:
-    if quoted:
-        q = query_terms_in_order(quoted)
-        return phrase(tokens(c), F.array(*[F.lit(t) for t in q]), len(q)) if q else F.lit(False)
+def query_string(text: str) -> Column:
+    """The predicate of a query string."""
+    return combined([(c.sign, c.hit) for c in clauses(text)])
+
+
+def _token_test(regex: str, term: str) -> Callable[[Column], Column] | None:
+    """What a token must meet for a regular expression, a fuzzy term or one with wildcards; None for a plain term."""
     if regex:
-        return F.exists(tokens(c), lambda t: t.rlike(f"^(?:{regex})$"))
+        return lambda t: t.rlike(f"^(?:{regex})$")
     if m := re.fullmatch(r"(.+?)~(\d?)", term):
         word, most = F.lit(" ".join(query_terms(m[1]))), int(m[2] or 1)
-        return F.exists(tokens(c), lambda t: F.levenshtein(t, word) <= most)
+        return lambda t: F.levenshtein(t, word) <= most
     if "*" in term or "?" in term:
         pattern = "^" + "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in term.lower()) + "$"
-        return F.exists(tokens(c), lambda t: t.rlike(pattern))
-    return all_terms(tokens(c), tokens(F.lit(term)))
+        return lambda t: t.rlike(pattern)
+    return None
 
 
-def predicate(keywords: str, analyzers: list[str] | Callable[[], list[str]]) -> Column:
-    """The keywords' predicate by mode: query string, slugs, composed, or everything. `analyzers` may be a function, called only where needed."""
+def _one(c: Column, quoted: str, regex: str, term: str) -> Column:
+    if quoted:
+        q = query_terms_in_order(quoted)
+        return phrase(tokens(c), F.array(*[F.lit(t) for t in q]), len(q)) if q else F.lit(False)
+    test = _token_test(regex, term)
+    return F.exists(tokens(c), test) if test else all_terms(tokens(c), tokens(F.lit(term)))
+
+
+def _often(c: Column, quoted: str, regex: str, term: str) -> Column:
+    """How often a phrase, or tokens that meet a test, stand in a text."""
+    t = tokens(c)
+    if quoted:
+        q = query_terms_in_order(quoted)
+        n = len(q)
+        places = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))
+        return F.size(F.filter(places, lambda i: F.slice(t, i, n) == F.array(*[F.lit(w) for w in q]))) if q else F.lit(0)
+    return F.size(F.filter(t, _token_test(regex, term)))
+
+
+def mode(keywords: str) -> str:
+    """How keywords are read: 'all' (none given), 'query' (query string), 'slugs' or 'composed'."""
     text = keywords.strip()
     if not text:
-        return F.lit(True)
+        return "all"
     if re.match(r'(?:Authors|Illustrators|Series|Title|Subjects):|"', text):
-        return query_string(text)
-    m = re.match(r"(AuthorsSlugs|IllustratorsSlugs|SeriesSlug):(.*)", unquote_plus(text))
-    if m:
-        keys = [x.strip() for x in m[2].split(",") if x.strip()]
-        column = F.col(SLUG_FIELDS[m[1]])
-        return column.isin(keys) if m[1] == "SeriesSlug" else F.arrays_overlap(column, F.array(*[F.lit(k) for k in keys]))
-    return composed(text, analyzers() if callable(analyzers) else analyzers)
+        return "query"
+    return "slugs" if re.match(r"(?:AuthorsSlugs|IllustratorsSlugs|SeriesSlug):", unquote_plus(text)) else "composed"
+
+
+def slug_keys(keywords: str) -> tuple[str, list[str]]:
+    """The field and the keys of a search by slugs."""
+    name, _, keys = unquote_plus(keywords.strip()).partition(":")
+    return name, [x.strip() for x in keys.split(",") if x.strip()]
+
+
+def predicate(keywords: str, analyzers: list[str] | Callable[[], list[str]]) -> Column:
+    """The keywords' predicate by mode. `analyzers` may be a function, called only where needed."""
+    how = mode(keywords)
+    if how == "all":
+        return F.lit(True)
+    if how == "query":
+        return query_string(keywords.strip())
+    if how == "slugs":
+        name, keys = slug_keys(keywords)
+        column = F.col(SLUG_FIELDS[name])
+        return column.isin(keys) if name == "SeriesSlug" else F.arrays_overlap(column, F.array(*[F.lit(k) for k in keys]))
+    return composed(keywords.strip(), analyzers() if callable(analyzers) else analyzers)
 
 
 # ---- BM25
@@ -306,28 +378,48 @@ def search_postings(postings: DataFrame, stats: DataFrame, key: str, name: str,
     return hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def ranked(df: DataFrame, s: SearchFields, words: str) -> DataFrame:
-    """The hits of the request's filters, scored by `words` over all text fields (BM25 without length normalisation) and sorted."""
-    terms = query_terms(words)
+ALL_TEXT = ["title", "series", "authors", "illustrators", "description"]
+
+
+def word_counts(words: str) -> list[tuple[Column, float]]:
+    """How often each word stands in all text fields."""
+    return [(term_count(text_of(ALL_TEXT), w), 1.0) for w in query_terms(words)]
+
+
+def weight(tf: Column, n: float, d: float, boost: float = 1.0) -> Column:
+    """BM25 without length normalisation of one term: `tf` times in this document, in `d` of `n` documents."""
+    return boost * F.log(F.lit(1 + (n - d + 0.5) / (d + 0.5))) * tf * (K1 + 1) / (tf + K1)
+
+
+def ranked(df: DataFrame, s: SearchFields, words: str | list[tuple[Column, float]]) -> DataFrame:
+    """The hits of the request's filters, scored by words over all text fields or by given counts with boosts, and sorted."""
+    counts = word_counts(words) if isinstance(words, str) else words
     hits = df.where(reduce(and_, filters(s), F.lit(True)))
-    if not terms:
+    if not counts:
         return hits.withColumn("score", F.lit(0.0)).orderBy(*sort_keys(s.sort))
-    text = F.concat_ws(" ", "title", "series", joined(F.col("authors")), joined(F.col("illustrators")), "description")
-    tf = [term_count(text, w) for w in terms]
-    stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum((c > 0).cast("bigint")).alias(f"d{i}") for i, c in enumerate(tf)]).first()
-    score = F.lit(0.0)
-    for i, c in enumerate(tf):
-        d = float(stats[f"d{i}"] or 0)
-        score = score + F.log(F.lit(1 + (stats["n"] - d + 0.5) / (d + 0.5))) * c * (K1 + 1) / (c + K1)
+    stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum((c > 0).cast("bigint")).alias(f"d{i}") for i, (c, _) in enumerate(counts)]).first()
+    score = reduce(lambda a, b: a + b, [weight(c, float(stats["n"]), float(stats[f"d{i}"] or 0), boost) for i, (c, boost) in enumerate(counts)])
     return hits.withColumn("score", F.round(score, 6)).orderBy(*sort_keys(s.sort))
 
 
 UNSCORED = ("pub-date-older-first", "pub-date-newer-first", "est-read-time-shorter-first", "est-read-time-longer-first", "number-asc", "number-desc")
 
 
-def search(df: DataFrame, s: SearchFields) -> DataFrame:
-    """The ordered hits of a request over a catalogue of `with_slugs`, with their score. Page them with `catalog.page`."""
+def search(df: DataFrame, s: SearchFields, index=None) -> DataFrame:
+    """The ordered hits of a request over a catalogue of `with_slugs`, with their score. Page them with `catalog.page`.
+
+    Keywords are scored by their words over all text fields, a query string by the terms of its clauses that may or must
+    match, each in its fields. With an `index` of that catalogue, searches by words read its postings and of the catalogue
+    only the columns the filters, the order and the caller need.
+    """
     s = s.normalised()
+    scored = s.sort not in UNSCORED
+    if index is not None and (found := index.hits(s.keywords, scored)) is not None:
+        hits = df.where(reduce(and_, filters(s), F.lit(True)))
+        return hits.join(found, "slug").orderBy(*sort_keys(s.sort))
     s.extra = [*s.extra, predicate(s.keywords, lambda: active_analyzers(df))]
-    slugs_or_fields = ":" in s.keywords or s.keywords.strip().startswith('"')
-    return ranked(df, s, "" if s.sort in UNSCORED or slugs_or_fields else s.keywords)
+    how = mode(s.keywords) if scored else ""
+    counts = word_counts(s.keywords) if how == "composed" else []
+    if how == "query":
+        counts = [x for c in clauses(s.keywords.strip()) if c.sign != "-" for x in c.counts]
+    return ranked(df, s, counts)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackroom.functions import dates, people, text
-from stackroom.operators import activity, catalog, ingest, related, search
+from stackroom.operators import activity, catalog, index, ingest, related, search
 from stackroom.plans.catalogue import query
 from stackroom.plans.sqltext import BUSY, CAT, JOINED, MARK, MARKER, READ, all_terms_sql, any_term_sql, bm25_sql, fold_sql, slug_sql, toks
-from stackroom.session import table
+from stackroom.session import ensure_checkpoint_dir, table
 
 WPM = 250.0
 NOW = "2024-12-31 00:00:00"
@@ -254,6 +256,103 @@ def search_request_page(spark, d):
     return catalog.page(hits, 1).select(*SHOW, "score")
 
 
+def _page_sql(catalogue: str, where: str, counts: list[tuple[str, float]]) -> str:
+    """A page by relevance: the weights of `counts` (SQL of how often a term stands, boost) over the rows of `where`."""
+    tf = ", ".join(f"{c} AS t{i}" for i, (c, _) in enumerate(counts))
+    df = ", ".join(f"sum(CASE WHEN t{i} > 0 THEN 1 ELSE 0 END) AS d{i}" for i in range(len(counts)))
+    score = " + ".join(f"{b} * ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2)" for i, (_, b) in enumerate(counts))
+    return (
+        f"WITH {CAT}, c AS (SELECT *, {tf}, coalesce({where}, false) AS hit FROM {catalogue}), st AS (SELECT count(*)::DOUBLE AS n, {df} FROM c) "
+        f"SELECT slug, title, round({score}, 6) AS score FROM c, st WHERE hit ORDER BY score DESC, {_SERIES}, slug LIMIT 10"
+    )
+
+
+def _count(column: str, w: str) -> str:
+    return f"len(list_filter({toks(column)}, lambda t: t = '{w}'))"
+
+
+def _unlabelled(c: DataFrame) -> DataFrame:
+    """A library without language labels: the default analyzer alone."""
+    return c.withColumn("language", F.lit(None).cast("string"))
+
+
+def _or(*legs: str) -> str:
+    return "(" + " OR ".join(f"coalesce({x}, false)" for x in legs) + ")"
+
+
+_WORDS_HIT = _or(
+    *[all_terms_sql(JOINED(c), _COMPOSED.split()) for c in ("authors", "illustrators")], *[all_terms_sql(c, _COMPOSED.split()) for c in ("title", "series", "description")],
+    f"({any_term_sql(JOINED('authors'), _COMPOSED.split())} AND {any_term_sql('title', _COMPOSED.split())})",
+)
+_WORDS_SQL = _page_sql("cat", _WORDS_HIT, [(_tf("last"), 1.0), (_tf("market"), 1.0)])
+_TITLES_SQL = _page_sql("cat", _or(all_terms_sql("title", ["last"]), all_terms_sql("title", ["market"])), [(_count("title", "last"), 1.0), (_count("title", "market"), 2.0)])
+_FIELDS_SQL = _page_sql(
+    "cat", f"NOT coalesce({all_terms_sql(JOINED('subjects'), ['poetry'])}, false) AND words > 40000", [(_count("title", "the"), 1.0)]
+)
+
+
+def _request(spark, d, keywords: str, index=None, c: DataFrame | None = None) -> DataFrame:
+    hits = search.search(cat(spark, d) if c is None else c, search.SearchFields(keywords=keywords), index)
+    return catalog.page(hits, 1).select(*SHOW, "score")
+
+
+@query("search_keywords_colon", _WORDS_SQL)
+def search_keywords_colon(spark, d):
+    """Plain keywords with a colon in them, through search()."""
+    return _request(spark, d, "last: market", c=_unlabelled(cat(spark, d)))
+
+
+@query("search_title_terms", _TITLES_SQL)
+def search_title_terms(spark, d):
+    """A query string with a boost, scored by its fields, through search()."""
+    return _request(spark, d, "Title:last Title:market^2")
+
+
+@query("search_title_subjects_words", _FIELDS_SQL)
+def search_title_subjects_words(spark, d):
+    """A query string with an optional term, a forbidden subject and a range, through search()."""
+    return _request(spark, d, "Title:the -Subjects:poetry +Words:>40000")
+
+
+@query(
+    "search_added_on",
+    f"SELECT file_id, title FROM library_metadata WHERE added_on >= TIMESTAMP '2020-01-01' AND added_on < TIMESTAMP '2023-01-01' AND {all_terms_sql('title', ['the'])}",
+)
+def search_added_on(spark, d):
+    return _titles(spark, d, search.query_string('+Title:the +AddedOn:>="2020-01-01" +AddedOn:<"2023-01-01"'))
+
+
+_indexes: dict[tuple[str, str], object] = {}
+
+
+def stored_index(spark: SparkSession, d: str):
+    """The stored index of a data directory's catalogue, built once a session in the shared folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        folder = f"{ensure_checkpoint_dir(spark)}/index-{uuid4().hex}"
+        _indexes[key] = index.build(cat(spark, d), folder)
+    return _indexes[key]
+
+
+@query("search_indexed_titles", _TITLES_SQL)
+def search_indexed_titles(spark, d):
+    """The same query string from the stored index."""
+    return _request(spark, d, "Title:last Title:market^2", stored_index(spark, d))
+
+
+@query("search_indexed_keywords", _WORDS_SQL)
+def search_indexed_keywords(spark, d):
+    """Plain keywords from a stored index."""
+    c = _unlabelled(cat(spark, d))
+    return _request(spark, d, _COMPOSED, index.build(c, f"{ensure_checkpoint_dir(spark)}/index-{uuid4().hex}"), c)
+
+
+@query("search_indexed_analyzers")
+def search_indexed_analyzers(spark, d):
+    """Keywords through all analyzers of the languages present, from the stored index (tested against the scan)."""
+    return _request(spark, d, "últimos mercados", stored_index(spark, d))
+
+
 # ---- browsing, facets, counts
 
 

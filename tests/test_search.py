@@ -148,3 +148,50 @@ def test_empty_catalogue(spark):
     df = library(spark, [])
     assert search.search(df, search.SearchFields(keywords="x")).count() == 0
     assert catalog.facet_languages(df).count() == 0 and tokens(F.lit("")) is not None
+
+
+def test_colons_in_keywords_are_scored(lib):
+    got = lambda k, **a: {r["id"]: r["score"] for r in search.search(lib, search.SearchFields(keywords=k, **a)).collect()}
+    assert got("way: station")["c"] == got("way station")["c"] > 0
+    assert got("Title:way")["c"] > 0 and got("Title:way^3")["c"] == pytest.approx(3 * got("Title:way")["c"], abs=1e-5)
+    assert got("Title:infinito Title:junco")["g"] > got("Title:infinito Title:junco")["a"] > 0
+    assert got('"way station"')["c"] > 0 and got("Title:infin*")["a"] > 0 and got("AuthorsSlugs:juan-perez") == {"a": 0.0}
+    assert got("Title:way", sort="number-asc") == {"c": 0.0}
+
+
+def test_added_on_ranges(spark):
+    df = spark.createDataFrame([(1, "2020-05-01 10:00:00"), (2, "2021-01-01 00:00:00"), (3, None)], "id int, at string").selectExpr("id", "CAST(at AS timestamp) AS added_on")
+    ids = lambda q: sorted(r["id"] for r in df.where(search.query_string(q)).collect())
+    assert ids('+AddedOn:>"2020-12-31"') == [2] and ids('+AddedOn:<="2020-05-01T10:00:00"') == [1] and ids('+AddedOn:>="2020-01-01" -AddedOn:>"2020-06-01"') == [1]
+
+
+@pytest.fixture(scope="module")
+def indexed(lib, tmp_path_factory):
+    from stackroom.operators import index
+
+    return index.build(lib, str(tmp_path_factory.mktemp("index")))
+
+
+@pytest.mark.parametrize(
+    "words",
+    ["perez", "way: station", "fratello", "infinito junco", "irene junco", "ultimos", "the of", "&", "zzz", "Title:infinito", "Title:infinito -Authors:Irene", "+Title:way^2 +Authors:simak Title:x",
+     "AuthorsSlugs:juan-perez,pat-reid", "SeriesSlug:none", "Title:infin*", '"way station"', "-Title:way", "Title:infinito junco", ""],
+)
+@pytest.mark.parametrize("sort", ["relevance", "pub-date-newer-first"])
+def test_index_equals_scan(lib, indexed, words, sort):
+    rows = lambda i: [(r["id"], r["score"]) for r in search.search(lib, search.SearchFields(keywords=words, sort=sort), i).collect()]
+    assert rows(indexed) == rows(None)
+
+
+def test_index_reads_the_terms_rows_only(lib, indexed):
+    plan = search.search(lib, search.SearchFields(keywords="infinito junco"), indexed).select("slug", "score")._jdf.queryExecution().executedPlan().toString()
+    assert "In(token, " in plan or "EqualTo(token" in plan
+    assert "PartitionFilters: [" in plan
+
+
+def test_index_of_nothing(spark, tmp_path):
+    from stackroom.operators import index
+
+    df = library(spark, [])
+    i = index.build(df, str(tmp_path / "i"))
+    assert i.documents == 0 and search.search(df, search.SearchFields(keywords="x"), i).count() == 0
