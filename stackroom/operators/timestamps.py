@@ -1,15 +1,21 @@
 """Mixed timestamp notations, precisions and zones in one normal form (problem 7).
 
-`read_stamp` turns a stamp into a struct of numbers by an ordered list of patterns, all built-in expressions. Only
-slash dates have two readings (day first, month first); which one a source means is settled by expectation-maximisation
-over a mixture of the two notations per source:
-
-* a value adds likelihood under each reading that is a valid date;
-* the weight of the notation in a source starts at its prior (the source's declared order, `prior_weight` values strong)
-  and is re-estimated `rounds` times from the counts of values valid one way, the other way and both ways;
-* each value takes the reading of larger posterior; a posterior within `margin` of one half is marked 'ambiguous'.
-
-The counts are pre-aggregated per source (three numbers each), so a source holding a third of all rows costs no more
+`read_stamp` turns a stamp into a struct of numbers by a list of patterns, all built-in expressions. Notations that say
+themselves what is what have one reading; the others have several, and which one a source means is settled by
+expectation-maximisation over a mixture of notations per source:
+
+* numeric dates may put the day first, the month first or, with years of two digits, the year first; a value adds likelihood
+  under each reading that is a valid date;
+* the weights of a source's notations start at their prior and are re-estimated `rounds` times from the counts of values by
+  the set of readings that are valid. An order the source declares is a prior of `prior_weight` values only, so enough
+  values that contradict it overrule it;
+* each value takes the reading of largest posterior; one that is no larger than one half plus `margin` is marked 'ambiguous'.
+
+Zone names that stand for several offsets take the one that the source's own zone has at that time; where it has none of
+them the usual one is taken, marked 'ambiguous'. So are years of two digits, which leave the century open: up to `PIVOT` they
+are read as 20.., beyond as 19...
+
+The counts are pre-aggregated per source (seven numbers each), so a source holding a third of all rows costs no more
 than any other, and the iteration is an `aggregate` over those numbers inside the plan: no driver loop, no collect.
 
 Defined results: NULL, blank, wordy and impossible stamps are 'invalid' with a NULL norm; a source without a zone is read in
@@ -44,9 +50,13 @@ MONTHS = {
 ZONES = {
     "Z": 0, "UTC": 0, "GMT": 0, "UT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120,
     "EET": 120, "EEST": 180, "MSK": 180, "IST": 330, "JST": 540, "KST": 540, "AEST": 600, "AEDT": 660,
-    "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "COT": -300,
+    "AST": -240, "ADT": -180, "GST": 240, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "COT": -300,
 }
 
+# Zone names in use for several offsets, in minutes, the usual one first.
+SHARED_ZONES = {"IST": [330, 120, 60], "CST": [-360, 480], "BST": [60, 360], "AST": [-240, 180], "ADT": [-180, 240], "GST": [240, -120], "PST": [-480, 480]}
+PIVOT = 30
+
 ZONE = r"(Z|[+-]\d\d:?'?\d\d'?|[+-]\d\d'?|[A-Z]{2,5})"
 CLOCK = rf"(\d{{1,2}}):(\d\d)(?::(\d\d)(?:[.,]\d+)?)?\s*((?i:[ap]\.?m\.?))?\s*{ZONE}?"
 WORD = r"(\p{L}+)\.?"
@@ -66,6 +76,7 @@ PATTERNS: list[tuple[str, tuple[int, ...]]] = [
     ),
     (rf"^(?:\p{{L}}+\.?,\s*)?{WORD}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:,?\s+{CLOCK})?$", (3, 1, 2, 4, 5, 6, 7, 8)),
 ]
+SHORT = rf"^(\d{{1,2}})([/.-])(\d{{1,2}})\2(\d\d)(?:,?[T\s]+{CLOCK})?$"
 SLASH = rf"^(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}})(?:,?[T\s]+{CLOCK})?$"
 MONTH_YEAR = rf"^{WORD}[\s-]+(?:de\s+)?(\d{{4}})$"
 YEAR = r"^(?:(?i:anno|cop\.|copyright|circa|ca\.|c\.|c|p|©|℗|\(c\)))?\s*[\[(]?\s*(\d{4})\s*[\])]?\.?$"
@@ -97,18 +108,25 @@ def _offset_minutes(z: Column) -> Column:
     )
 
 
-def _parts(y, m, d, h=None, mi=None, s=None, half=None, zone=None, m2=None, d2=None) -> Column:
+def _shared_offsets(z: Column) -> Column:
+    return F.try_element_at(F.create_map(*[x for k, v in SHARED_ZONES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), z)
+
+
+def _parts(y, m, d, h=None, mi=None, s=None, half=None, zone=None, m2=None, d2=None, y3=None, m3=None, d3=None) -> Column:
     null = F.lit(None).cast("int")
     hour = h if h is not None else null
     if half is not None:
         pm = F.lower(half).startswith("p")
         hour = F.when(half == "", hour).when(hour == 12, F.when(pm, 12).otherwise(0)).otherwise(hour + F.when(pm, 12).otherwise(0))
-    cols = {"y": y, "m": m, "d": d, "h": hour, "mi": mi, "s": s, "off": _offset_minutes(zone) if zone is not None else None, "m2": m2, "d2": d2}
-    return F.struct(*[(null if c is None else c).cast("int").alias(k) for k, c in cols.items()])
+    cols = {"y": y, "m": m, "d": d, "h": hour, "mi": mi, "s": s, "off": _offset_minutes(zone) if zone is not None else None,
+            "m2": m2, "d2": d2, "y3": y3, "m3": m3, "d3": d3}
+    shared = F.lit(None).cast("array<int>") if zone is None else _shared_offsets(zone)
+    return F.struct(*[(null if c is None else c).cast("int").alias(k) for k, c in cols.items()], shared.alias("offs"), F.lit(y3 is not None).alias("short"))
 
 
 def read_stamp(stamp: Column) -> Column:
-    """The numbers a stamp states: y m d h mi s off, and m2 d2, the other reading of a slash date; NULL if it states no date."""
+    """The numbers a stamp states: y m d h mi s off; m2 d2 and y3 m3 d3, the readings with the month and the year first where
+    they are possible; offs, the offsets of a shared zone name; short, a year of two digits. NULL if it states no date."""
     s = F.regexp_replace(stamp, r"^[\s ]+|[\s ]+$", "")
     out: Column | None = None
 
@@ -125,6 +143,11 @@ def read_stamp(stamp: Column) -> Column:
              else F.when(month.isNotNull(), _parts(_int(g[0]), month, day, hour, minute, sec, g[6], g[7])))
     g = [F.regexp_extract(s, SLASH, i) for i in range(9)]
     also(s.rlike(SLASH), _parts(_int(g[3]), _int(g[2]), _int(g[1]), _int(g[4]), _int(g[5]), _int(g[6]), g[7], g[8], _int(g[1]), _int(g[2])))
+    g = [F.regexp_extract(s, SHORT, i) for i in range(10)]
+    other = lambda c: F.when(g[2] != ".", c)  # noqa: E731  dots put the day first
+    year = lambda c: c + F.when(c <= PIVOT, 2000).otherwise(1900)
+    also(s.rlike(SHORT), _parts(year(_int(g[4])), _int(g[3]), _int(g[1]), _int(g[5]), _int(g[6]), _int(g[7]), g[8], g[9], other(_int(g[1])), other(_int(g[3])),
+                                other(year(_int(g[1]))), other(_int(g[3])), other(_int(g[4]))))
     month = _month(F.regexp_extract(s, MONTH_YEAR, 1))
     also(s.rlike(MONTH_YEAR) & month.isNotNull(), _parts(_int(F.regexp_extract(s, MONTH_YEAR, 2)), month, None))
     also(s.rlike(YEAR), _parts(_int(F.regexp_extract(s, YEAR, 1)), None, None))
@@ -155,59 +178,88 @@ def _valid(y: Column, m: Column, d: Column) -> Column:
     return (y > 0) & F.when(month == 0, F.lit(True)).when(day == 0, month.between(1, 12)).otherwise(exact)
 
 
-def _norm(p: Column, m: Column, d: Column, tz: Column) -> Column:
-    y = p["y"]
-    month, day = F.coalesce(m, F.lit(0)), F.coalesce(d, F.lit(0))
-    local = F.try_make_timestamp(y, month, day, p["h"], p["mi"], F.coalesce(p["s"], F.lit(0)).cast("decimal(16,6)"))
-    clocked = (p["h"] < 24) & (p["mi"] < 60) & (F.coalesce(p["s"], F.lit(0)) < 60)
-    utc = (
-        F.when(p["off"].isNull(), F.to_utc_timestamp(local, F.coalesce(tz, F.lit("UTC"))))
-        .when(p["off"] > -9999, F.timestamp_seconds(F.unix_seconds(local) - p["off"] * 60))
-    )
+def _with_norm(df: DataFrame) -> DataFrame:
+    """Adds norm, and open: whether a zone name could have meant another offset. `df` has p, r (the date taken) and time_zone.
+
+    One step a projection: what a later step names several times is then computed once.
+    """
+    p, y, m, d = F.col("p"), F.col("r.y"), F.coalesce("r.m", F.lit(0)), F.coalesce("r.d", F.lit(0))
+    seconds = F.coalesce(p["s"], F.lit(0))
+    clocked = (p["h"] < 24) & (p["mi"] < 60) & (seconds < 60)
+    df = df.withColumn("__local", F.when(clocked, F.try_make_timestamp(y, m, d, p["h"], p["mi"], seconds.cast("decimal(16,6)"))))
+    df = df.withColumn("__own", F.to_utc_timestamp("__local", F.coalesce("time_zone", F.lit("UTC"))))
+    # the source's own offset at that time, if the zone name may stand for it
+    meant = ((F.unix_seconds("__local") - F.unix_seconds("__own")) / 60).cast("int")
+    df = df.withColumn("__known", F.coalesce(F.array_contains(p["offs"], meant), F.lit(False)))
+    utc = F.when(p["off"].isNull() | F.col("__known"), F.col("__own")).when(p["off"] > -9999, F.timestamp_seconds(F.unix_seconds("__local") - p["off"] * 60))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
     year = F.lpad(y.cast("string"), 4, "0")
-    return (
+    norm = (
         F.when(~_valid(y, m, d), F.lit(None).cast("string"))
-        .when(month == 0, year)
-        .when(day == 0, F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0")))
-        .when(p["h"].isNull(), F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")))
-        .when(clocked, F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(m == 0, year)
+        .when(d == 0, F.concat_ws("-", year, two(m)))
+        .when(p["h"].isNull(), F.concat_ws("-", year, two(m), two(d)))
+        .otherwise(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     )
+    return df.withColumns({"norm": norm, "open": p["offs"].isNotNull() & p["h"].isNotNull() & ~F.col("__known")})
+
+
+# the sets of readings that are valid: d = day first, m = month first, y = year first
+SETS = ["d", "m", "y", "dm", "dy", "my", "dmy"]
+DECLARED = 0.9
 
 
-def notation_weights(counts: DataFrame, source: str, prior: str, rounds: int = 40, prior_weight: float = 1000.0) -> DataFrame:
-    """EM: the weight of the day-first notation in each source.
+def mixture_weights(counts: DataFrame, source: str, prior: str, rounds: int = 40, prior_weight: float = 10.0) -> DataFrame:
+    """EM: (source, w_d, w_m, w_y), the weights of the notations in each source.
 
-    `counts` has per source n_day (valid day first only), n_month (month first only), n_both, and `prior` (the declared
-    share of day-first, NULL = unknown: the weight starts at one half with a single pseudo-value each way).
+    `counts` has per source the values n_d, n_m ... n_dmy by the set of their valid readings, and `prior` (1 = day first
+    declared, 0 = month first, NULL = unknown: one pseudo-value each way). The year first has one pseudo-value where any value
+    can be read so.
     """
-    strong = F.when(F.col(prior).isNull(), F.lit(2.0)).otherwise(F.lit(prior_weight))
-    a, b = strong * F.coalesce(F.col(prior), F.lit(0.5)), strong * (1 - F.coalesce(F.col(prior), F.lit(0.5)))
-    total = F.col("n_day") + F.col("n_month") + F.col("n_both") + a + b
-    step = lambda w, _: (F.col("n_day") + a + F.col("n_both") * w) / total
-    weight = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.coalesce(F.col(prior), F.lit(0.5)).cast("double"), step)
-    return counts.select(source, weight.alias("w_day"))
+    n = {k: F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("double") for k in SETS}
+    share = F.when(F.col(prior) >= 0.5, DECLARED).otherwise(1 - DECLARED)
+    own = {
+        "d": F.when(F.col(prior).isNull(), F.lit(1.0)).otherwise(prior_weight * share),
+        "m": F.when(F.col(prior).isNull(), F.lit(1.0)).otherwise(prior_weight * (1 - share)),
+        "y": F.when(sum((n[k] for k in SETS if "y" in k), F.lit(0.0)) > 0, 1.0).otherwise(0.0),
+    }
+    total = sum([*n.values(), *own.values()], F.lit(0.0))
+
+    def step(w: Column, _: Column) -> Column:
+        """What each notation gets of every set, by the weights so far."""
+        within = {k: sum((w[x] for x in k), F.lit(0.0)) for k in SETS}
+        part = lambda x: sum((F.when(within[k] > 0, n[k] * w[x] / within[k]).otherwise(0.0) for k in SETS if x in k), own[x])
+        return F.struct(*[(part(x) / total).alias(x) for x in "dmy"])
+
+    first = sum(own.values(), F.lit(0.0))
+    start = F.struct(*[(own[x] / first).alias(x) for x in "dmy"])
+    got = counts.select(source, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("w"))
+    return got.select(source, *[F.col(f"w.{x}").alias(f"w_{x}") for x in "dmy"])
+
+
+def notation_weights(counts: DataFrame, source: str, prior: str, rounds: int = 40, prior_weight: float = 10.0) -> DataFrame:
+    """(source, w_day): the weight of the day first, from the counts n_day, n_month and n_both of dates with full years."""
+    named = {"n_d": F.col("n_day"), "n_m": F.col("n_month"), "n_dm": F.col("n_both")}
+    sets = counts.withColumns({f"n_{k}": named.get(f"n_{k}", F.lit(0)) for k in SETS})
+    return mixture_weights(sets, source, prior, rounds, prior_weight).select(source, F.col("w_d").alias("w_day"))
 
 
 def normalise_stamps(
-    df: DataFrame, key: str, stamp: str, source: str, sources: DataFrame | None = None, margin: float = 0.05
+    df: DataFrame, key: str, stamp: str, source: str, sources: DataFrame | None = None, margin: float = 0.05, prior_weight: float = 10.0
 ) -> DataFrame:
-    """(key, stamp, norm, status, p_day) for every row of `df`.
+    """(key, stamp, norm, status, p_day, p) for every row of `df`.
 
-    `sources` holds (source, time_zone, day_first), one row per source; it is broadcast after its size was checked.
-    status: 'ok', 'ambiguous' (two valid readings, posterior near one half) or 'invalid'.
+    `sources` holds (source, time_zone, day_first); of a source named twice the smallest zone and order count. It is
+    broadcast after its size was checked. status: 'ok', 'ambiguous' or 'invalid'; p_day is the posterior of the day first, p
+    that of the reading taken (NULL for notations of one reading).
     """
     rows = df.select(F.col(key).alias("__k"), F.col(stamp).alias("__s"), F.col(source).alias("__src"), read_stamp(F.col(stamp)).alias("p"))
-    day, month = _valid(F.col("p.y"), F.col("p.m"), F.col("p.d")), _valid(F.col("p.y"), F.col("p.m2"), F.col("p.d2"))
-    slash = F.col("p.d2").isNotNull()
-    counts = (
-        rows.where(slash)
-        .groupBy("__src")
-        .agg(
-            F.sum((day & ~month).cast("bigint")).alias("n_day"),
-            F.sum((month & ~day).cast("bigint")).alias("n_month"),
-            F.sum((month & day).cast("bigint")).alias("n_both"),
-        )
-    )
+    p = F.col("p")
+    several = p["d2"].isNotNull()
+    dates = {"d": (p["y"], p["m"], p["d"]), "m": (p["y"], p["m2"], p["d2"]), "y": (p["y3"], p["m3"], p["d3"])}
+    valid = {x: F.coalesce(dates[x][2].isNotNull() & _valid(*dates[x]), F.lit(False)) for x in "dmy"}
+    rows = rows.withColumn("set", F.when(several, F.concat(*[F.when(valid[x], x).otherwise("") for x in "dmy"])))
+    counts = rows.where("set IS NOT NULL").groupBy("__src").agg(*[F.sum((F.col("set") == k).cast("bigint")).alias(f"n_{k}") for k in SETS])
     if sources is None:
         known = counts.select("__src", F.lit(None).cast("string").alias("time_zone"), F.lit(None).cast("double").alias("prior"))
     else:
@@ -215,21 +267,24 @@ def normalise_stamps(
             F.min("time_zone").alias("time_zone"), F.min(F.col("day_first").cast("int")).cast("double").alias("prior")
         )
     # one row per source: a table of sources, its size is checked before it is broadcast
-    weights = notation_weights(counts.join(broadcast_checked(known), "__src", "left"), "__src", "prior")
+    weights = mixture_weights(counts.join(broadcast_checked(known), "__src", "left"), "__src", "prior", prior_weight=prior_weight)
     ensure_checkpoint_dir(df.sparkSession)
-    per_source = known.join(weights, "__src", "full").checkpoint()  # one row per source, else its counts are made again below
+    # one row per source, else its counts are made again below
+    per_source = known.join(weights, "__src", "full").select("__src", "time_zone", *[F.coalesce(f"w_{x}", F.lit(0.0)).alias(f"w_{x}") for x in "dmy"]).checkpoint()
     out = rows.join(broadcast_checked(per_source), "__src", "left")
-    w = F.coalesce(F.col("w_day"), F.col("prior"), F.lit(0.5))
-    p_day = F.when(~slash, F.lit(None).cast("double")).when(day & month, w).when(day, F.lit(1.0)).when(month, F.lit(0.0))
-    out = out.withColumn("p_day", p_day)
-    take_month = slash & (F.col("p_day") < 0.5)
-    norm = F.when(take_month, _norm(F.col("p"), F.col("p.m2"), F.col("p.d2"), F.col("time_zone"))).otherwise(
-        _norm(F.col("p"), F.col("p.m"), F.col("p.d"), F.col("time_zone"))
-    )
-    out = out.withColumn("norm", norm)
-    unclear = (F.abs(F.col("p_day") - 0.5) <= margin) & (F.col("p.m") != F.col("p.d"))
-    status = F.when(F.col("norm").isNull(), "invalid").when(F.coalesce(unclear, F.lit(False)), "ambiguous").otherwise("ok")
-    return out.select(F.col("__k").alias(key), F.col("__s").alias("stamp"), "norm", status.alias("status"), "p_day")
+    out = out.withColumns({f"s_{x}": F.when(F.contains("set", F.lit(x)), F.col(f"w_{x}")).otherwise(0.0) for x in "dmy"})
+    out = out.withColumn("total", F.col("s_d") + F.col("s_m") + F.col("s_y"))
+    out = out.withColumn("best", F.greatest("s_d", "s_m", "s_y"))
+    taken = F.when((F.col("total") == 0) | (F.col("s_d") == F.col("best")), "d").when(F.col("s_m") == F.col("best"), "m").otherwise("y")
+    out = out.withColumn("taken", taken)
+    as_date = lambda x: F.struct(*[c.alias(n) for n, c in zip("ymd", dates[x], strict=True)])
+    out = out.withColumn("r", F.when(F.col("taken") == "m", as_date("m")).when(F.col("taken") == "y", as_date("y")).otherwise(as_date("d")))
+    out = _with_norm(out)
+    sure = F.col("total") > 0
+    best, p_day = F.when(sure, F.col("best") / F.col("total")), F.when(sure, F.col("s_d") / F.col("total"))
+    unclear = F.coalesce((best <= 0.5 + margin) & (p["m"] != p["d"]), F.lit(False)) | F.coalesce(p["short"] | F.col("open"), F.lit(False))
+    status = F.when(F.col("norm").isNull(), "invalid").when(unclear, "ambiguous").otherwise("ok")
+    return out.select(F.col("__k").alias(key), F.col("__s").alias("stamp"), "norm", status.alias("status"), p_day.alias("p_day"), best.alias("p"))
 
 
 def epub_publication_stamps(epub: DataFrame) -> DataFrame:

@@ -46,6 +46,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("norm").isNotNull() & (F.col("norm") != F.col("stamp"))).select("info_id", "norm")
 
 
+@query("p7_status")
+def p7_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sure the reading of each record's publication stamp is: ok, ambiguous or invalid, with the posterior where readings compete."""
+    out = normalise_stamps(
+        epub_publication_stamps(table(spark, sf_dir, "epub_info")), "info_id", "stamp", "shelf", table(spark, sf_dir, "shelves")
+    )
+    return out.select("info_id", "norm", "status", F.round("p", 6).alias("p"))
+
+
 def load() -> None:
     """Registers the queries of the other plan modules."""
     from stackroom.plans import library  # noqa: F401

@@ -76,3 +76,29 @@ def test_random_local_times_against_zoneinfo(spark):
 @pytest.mark.parametrize("sources", [True, False])
 def test_empty_table(spark, sources):
     assert norm(spark, [], sources) == []
+
+
+def test_values_overrule_a_wrong_declaration(spark):
+    """A shelf declared day first whose values are valid month first only is read month first."""
+    got = norm(spark, [(f"0{1 + i % 9}/{13 + i % 16}/2001", "berlin") for i in range(300)] + [("03/04/2001", "berlin")] * 3)
+    assert {r["norm"] for r in got[300:]} == {"2001-03-04"} and got[300]["p"] > 0.9 and got[300]["status"] == "ok"
+    few = norm(spark, [("03/14/2001", "berlin"), ("03/04/2001", "berlin")])
+    assert few[1]["norm"] == "2001-04-03"
+
+
+def test_years_of_two_digits(spark):
+    """The values of the source decide the order; the century stays open."""
+    rows = [(f"{y:02d}-{m:02d}-{d:02d}", "plain") for y, m, d in ((99, 12, 31), (98, 1, 13), (45, 2, 20), (5, 6, 7))]
+    rows += [("28/02/99", "utc"), ("30/01/04", "utc"), ("17/03/85", "utc"), ("01/02/03", "utc"), ("24.12.95", "york"), ("13/13/13", "utc"), ("28/02/99 10:30 +01:00", "utc")]
+    rows += [("31/12/70", "utc")] * 20
+    got = norm(spark, rows)
+    assert [r["norm"] for r in got[:11]] == ["1999-12-31", "1998-01-13", "1945-02-20", "2005-06-07", "1999-02-28", "2004-01-30", "1985-03-17", "2003-02-01", "1995-12-24", None, "1999-02-28T09:30:00Z"]
+    assert {r["status"] for r in got if r["norm"]} == {"ambiguous"}
+
+
+def test_shared_zone_names(spark):
+    """A zone name that stands for several offsets is read as the source's own where that is one of them."""
+    df = spark.createDataFrame([(1, "2020-01-10 12:00:00 IST", "a"), (2, "2020-01-10 12:00:00 IST", "b"), (3, "2020-01-10 12:00:00 CST", "c"), (4, "2020-01-10 12:00:00 CET", "a"), (5, "2020-01-10 12:00:00 IST", "c")], "info_id bigint, stamp string, shelf string")
+    src = spark.createDataFrame([("a", "Asia/Kolkata", True), ("b", "Europe/Berlin", True), ("c", "Asia/Shanghai", True)], "shelf string, time_zone string, day_first boolean")
+    got = {r["info_id"]: (r["norm"][11:16], r["status"]) for r in normalise_stamps(df, "info_id", "stamp", "shelf", src).collect()}
+    assert got == {1: ("06:30", "ok"), 2: ("11:00", "ok"), 3: ("04:00", "ok"), 4: ("11:00", "ok"), 5: ("06:30", "ambiguous")}
