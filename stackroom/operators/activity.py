@@ -7,6 +7,8 @@ same every time.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,11 +114,20 @@ def completed_stats(readings: DataFrame, documents: DataFrame, user: int, wpm: f
 
 
 def recipients_by_language(users: DataFrame, supported: list[str]) -> DataFrame:
-    """(language, emails) of the users with an address, English where theirs isn't supported; the user table is small."""
+    """(language, emails) of the users with an address, English where theirs isn't supported.
+
+    One row per language is the result's form, for the few users one message goes to; `recipients` has one row a user.
+    """
     lang = F.when(F.col("language").isin(supported), F.col("language")).otherwise("en")
     return users.where(F.col("email").isNotNull()).groupBy(lang.alias("language")).agg(F.array_sort(F.collect_set("email")).alias("emails"))
 
 
+def recipients(users: DataFrame, supported: list[str]) -> DataFrame:
+    """(language, email): the addresses with the language to write in, one row each, whatever their number."""
+    lang = F.when(F.col("language").isin(supported), F.col("language")).otherwise("en")
+    return users.where(F.col("email").isNotNull()).select(lang.alias("language"), "email").distinct()
+
+
 def filter_users(users: DataFrame, text: str) -> DataFrame:
     """Users whose name, e-mail or username holds the text, whatever its case; % and _ in it are wildcards."""
     hit = F.lit(False)
@@ -149,16 +160,27 @@ def distinct_keeping_order(items: Column, fold_case: bool) -> Column:
     return F.filter(items, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
 
-def user_problems(users: DataFrame) -> DataFrame:
-    """(id, problems): the violated rules of each user row."""
+ADDRESS = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+
+
+def user_problems(users: DataFrame, actions: list[str] | None = None, password_least: int = 0) -> DataFrame:
+    """(id, problems): the violated rules of each user row. Rules on columns the table lacks don't apply."""
     rules = {
         "name": F.length(F.coalesce("name", F.lit(""))).between(1, 50),
         "username_length": F.length(F.coalesce("username", F.lit(""))).between(1, 20),
         "username_letters": F.coalesce("username", F.lit("")).rlike(r"^[A-z0-9_\-.]+$"),
         "words_per_minute": F.coalesce("words_per_minute", F.lit(0.0)).between(1, 999),
         "email": F.coalesce("email", F.lit("")).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$") & (F.length(F.coalesce("email", F.lit(""))) <= 100),
-        "role": F.col("role").isNotNull() & (F.col("role") >= 1),
+        "role": F.col("role").isNotNull() & F.col("role").between(1, 2),
     }
+    text = lambda c: F.coalesce(c, F.lit(""))
+    if "send_to_email" in users.columns:
+        send = text("send_to_email")
+        rules["send_to_email"] = (send == "") | (send.rlike(ADDRESS) & (F.length(send) <= 100))
+    if "default_action" in users.columns and actions is not None:
+        rules["default_action"] = text("default_action").isin(actions)
+    if "password" in users.columns:
+        rules["password"] = F.length(text("password")).between(password_least, 50)
     found = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]))
     return users.select("id", found.alias("problems"))
 
@@ -167,6 +189,11 @@ def valid_invitations(invitations: DataFrame, now: str) -> DataFrame:
     return invitations.where(F.col("valid_until") > F.lit(now).cast("timestamp"))
 
 
+def expired_invitations(invitations: DataFrame, now: str) -> DataFrame:
+    """The invitations to delete: those no longer valid, or without a date."""
+    return invitations.where(~F.coalesce(F.col("valid_until") > F.lit(now).cast("timestamp"), F.lit(False)))
+
+
 def registered_invitees(invitees: DataFrame, users: DataFrame) -> DataFrame:
     """The invited addresses (column email) that belong to a user already, whatever their case."""
     have = users.where(F.col("email").isNotNull()).select(F.lower("email").alias("__e"))
@@ -212,9 +239,15 @@ def touch(readings: DataFrame, opened: DataFrame) -> DataFrame:
     return readings.unionByName(fresh.select(*[empty[c].alias(c) for c in readings.columns]))
 
 
+def _utc(stamp: str) -> datetime:
+    """An ISO date or time; without a zone it is in UTC. ValueError if it is none."""
+    at = datetime.fromisoformat(stamp)
+    return at if at.tzinfo else at.replace(tzinfo=UTC)
+
+
 def set_completed(readings: DataFrame, user: int, slug: str, on: str | None, now: str) -> DataFrame:
-    """Sets or clears a completion date without touching updated_at; a date in the future is refused."""
-    if on is not None and on > now:
+    """Sets or clears a completion date without touching updated_at; a date in the future, or that is none, is refused."""
+    if on is not None and _utc(on) > _utc(now):
         raise ValueError("a completion date can't lie in the future")
     here = (F.col("user_id") == user) & (F.col("slug") == slug)
     return readings.withColumn("completed_on", F.when(here, F.lit(on).cast("timestamp")).otherwise(F.col("completed_on")))
@@ -240,6 +273,12 @@ def without(df: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     return df.join(gone.select(*on).distinct(), on, "left_anti")
 
 
+def find_user(users: DataFrame, by: str, value: str) -> DataFrame:
+    """The users of an id, uuid, e-mail or username; the last two whatever their case."""
+    c = F.col(by)
+    return users.where(c == value) if by in ("id", "uuid") else users.where(F.lower(c) == value.lower())
+
+
 def delete_documents(documents: DataFrame, readings: DataFrame, highlights: DataFrame, slugs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return without(documents, slugs, ["slug"]), without(readings, slugs, ["slug"]), without(highlights, slugs, ["slug"])
 

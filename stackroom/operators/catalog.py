@@ -59,6 +59,12 @@ def facet_languages(df: DataFrame) -> DataFrame:
     return df.select(code.alias("language")).where((F.col("language") != "") & F.col("language").isNotNull()).distinct()
 
 
+def languages_present(df: DataFrame) -> DataFrame:
+    """(language): the two-letter codes the labels begin with, sorted; labels of one letter and the default analyzer's name are none."""
+    label = F.col("language")
+    return df.where((F.length(label) >= 2) & (label != "default_analyzer")).select(F.substring(label, 1, 2).alias("language")).distinct().orderBy("language")
+
+
 def facet_subjects(df: DataFrame, limit: int = FACET_LIMIT) -> DataFrame:
     """(subject_slug, names, documents) of the `limit` most used subjects: their display names and how many documents have them.
 

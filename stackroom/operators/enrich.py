@@ -7,7 +7,9 @@ MAP, links MAP). A live source can feed the same tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackroom.functions.dates import precision_date
@@ -20,8 +22,11 @@ RANKS = ["preferred", "normal", "deprecated"]
 IMAGE_TYPES = r"(?i)\.(png|jpe?g|tiff?)$"
 
 
+CLAIMS = "array<struct<rank:string,value:string,precision:int>>"
+
+
 def _claims(p: str) -> Column:
-    return F.coalesce(F.try_element_at("claims", F.lit(p)), F.array().cast("array<struct<rank:string,value:string,precision:int>>"))
+    return F.coalesce(F.try_element_at("claims", F.lit(p)), F.array().cast(CLAIMS))
 
 
 def _first(p: str) -> Column:
@@ -38,6 +43,38 @@ def valid_ids(ids: Column) -> Column:
     return F.forall(ids, lambda i: (i == "") | i.rlike(r"^[Qq]\d+$"))
 
 
+class EntitySource(Protocol):
+    """Where entity records come from: anything that answers these two with the tables described above."""
+
+    def search(self, names: DataFrame) -> DataFrame:
+        """(name, ids) for a table of names."""
+
+    def entities(self, ids: DataFrame) -> DataFrame:
+        """(id, claims, descriptions, links) for a table of ids."""
+
+
+class JsonFolders:
+    """A source of answers stored as JSON: `search` and `entities` below one folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def search(self, names: DataFrame) -> DataFrame:
+        found = self.spark.read.schema("name string, ids array<string>").json(f"{self.folder}/search")
+        return found.join(names.select("name"), "name", "left_semi")
+
+    def entities(self, ids: DataFrame) -> DataFrame:
+        known = self.spark.read.schema(f"id string, claims map<string,{CLAIMS}>, descriptions map<string,string>, links map<string,string>")
+        return known.json(f"{self.folder}/entities").join(ids.select("id"), "id", "left_semi")
+
+
+def authors_from(source: EntitySource, names: DataFrame, image_base: str) -> DataFrame:
+    """The author entries a source knows for (slug, name)."""
+    found = source.search(names.select("name").distinct())
+    ids = found.select(F.explode("ids").alias("id")).distinct()
+    return resolve_authors(names, found, source.entities(ids), image_base)
+
+
 def resolve_authors(names: DataFrame, search: DataFrame, entities: DataFrame, image_base: str) -> DataFrame:
     """(slug, name, entity_id, instance_of, ...) for each name with a match.
 

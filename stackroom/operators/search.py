@@ -103,6 +103,16 @@ def sort_keys(name: str) -> list[Column]:
     }.get(name, [F.col("score").desc(), *(c.asc() for c in series)]) + [F.col("slug").asc()]
 
 
+def series_sort_keys(name: str) -> list[Column]:
+    """The orders of a series' page: by number unless named otherwise; dates that are equal go by number."""
+    days, words = F.coalesce(F.col("publication.days"), F.lit(0)), F.coalesce(F.col("words"), F.lit(0.0))
+    number = F.coalesce(F.col("series_index"), F.lit(0.0))
+    return {
+        "pub-date-older-first": [days.asc(), number.asc()], "pub-date-newer-first": [days.desc(), number.asc()],
+        "number-desc": [number.desc()], "est-read-time-shorter-first": [words.asc()], "est-read-time-longer-first": [words.desc()],
+    }.get(name, [number.asc()]) + [F.col("slug").asc()]
+
+
 # ---- predicates on analyzed text
 
 

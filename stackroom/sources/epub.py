@@ -60,11 +60,23 @@ class Epub:
     def __init__(self, data: bytes):
         self.zip = zipfile.ZipFile(BytesIO(data))
         names = self.zip.namelist()
-        self.opf = next(n for n in names if n.lower().endswith(".opf"))
+        self.opf = self._package(names)
         self.base = posixpath.dirname(self.opf)
         self.root = ElementTree.fromstring(self.zip.read(self.opf))
         self.items = [{k: e.get(k) or "" for k in ("id", "href", "media-type", "properties")} for e in self._all("item")]
 
+    def _package(self, names: list[str]) -> str:
+        """The package document the container file names; without a usable one the first in the archive."""
+        if "META-INF/container.xml" in names:
+            try:
+                root = ElementTree.fromstring(self.zip.read("META-INF/container.xml"))
+            except ElementTree.ParseError:
+                root = None
+            paths = [e.get("full-path") or "" for e in root.iter() if e.tag.rsplit("}", 1)[-1] == "rootfile"] if root is not None else []
+            if found := [p for p in paths if p in names]:
+                return found[0]
+        return next(n for n in names if n.lower().endswith(".opf"))
+
     def _all(self, name: str):
         return [e for e in self.root.iter() if e.tag.rsplit("}", 1)[-1] == name]
 

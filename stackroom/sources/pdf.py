@@ -18,7 +18,8 @@ class Pdf:
     def __init__(self, data: bytes):
         if not data.lstrip()[:5] == b"%PDF-":
             raise ValueError("not a PDF file")
-        if b"/Encrypt" in data:
+        # in a trailer or a cross-reference stream, not in a page's text
+        if re.search(rb"/Encrypt\s*(?:\d+\s+\d+\s+R\b|<<)", _STREAM.sub(b"", data)):
             raise ValueError("an encrypted PDF file")
         self.objects: dict[int, bytes] = {int(n): body for n, _, body in _OBJECT.findall(data)}
         self.data = data
