@@ -71,17 +71,21 @@ def new_records(epub: DataFrame, catalogue: DataFrame) -> DataFrame:
     return epub.join(catalogue.select(F.col("id").alias("path")), "path", "left_anti")
 
 
-def build_catalogue(epub: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
-    """The catalogue rows of records (only new ones, if a catalogue is given), with slugs."""
-    fresh = epub if catalogue is None else new_records(epub, catalogue)
-    rows = with_unique_slugs(catalogue_fields(fresh), None if catalogue is None else catalogue.select("slug"))
+def with_slug_columns(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Catalogue rows with their own slug and those of authors, illustrators, subjects and series."""
     none = F.array().cast("array<string>")
     each = lambda c: F.transform(F.coalesce(F.col(c), none), slug)
-    return rows.withColumns(
+    return with_unique_slugs(rows, taken).withColumns(
         {"authors_slugs": each("authors"), "illustrators_slugs": each("illustrators"), "subjects_slugs": each("subjects"), "series_slug": slug(F.col("series"))}
     )
 
 
+def build_catalogue(epub: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """The catalogue rows of records (only new ones, if a catalogue is given), with slugs."""
+    fresh = epub if catalogue is None else new_records(epub, catalogue)
+    return with_slug_columns(catalogue_fields(fresh), None if catalogue is None else catalogue.select("slug"))
+
+
 def author_rows(catalogue: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(slug, name) of authors and illustrators that aren't known yet; the smallest spelling names a slug."""
     one = catalogue.select(F.explode(F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("authors", "illustrators")])).alias("name"))

@@ -29,11 +29,19 @@ RECORD = (
 )
 
 
+def relative(files: DataFrame, folder: str) -> DataFrame:
+    """The readable ones of some files, with `path` relative to the folder."""
+    return files.where(F.lower("path").rlike(READABLE)).withColumn("path", F.regexp_replace("path", "^.*?" + re.escape(folder.rstrip("/")) + "/", ""))
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modificationTime, content) of the readable files under a folder; `path` is relative to it."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    raw = raw.where(F.lower("path").rlike(READABLE))
-    return raw.withColumn("path", F.regexp_replace("path", "^.*?" + re.escape(folder.rstrip("/")) + "/", ""))
+    return relative(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), folder)
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the readable files, without reading them."""
+    return scan(spark, folder).select("path", "length")
 
 
 def pending(files: DataFrame, catalogue: DataFrame | None) -> DataFrame:

@@ -231,3 +231,97 @@ def test_broadcasts_are_checked_by_rows_and_bytes(spark):
     df = spark.range(100).selectExpr("id", "repeat('x', 100) AS t")
     hinted = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
     assert hinted(broadcast_checked(df)) and not hinted(broadcast_checked(df, max_rows=50)) and not hinted(broadcast_checked(df, max_bytes=5000))
+
+
+def epub_file(title, author="Ann Lee", container=None):
+    buf = io.BytesIO()
+    opf = f'<package xmlns:dc="x"><metadata><dc:title>{title}</dc:title><dc:creator>{author}</dc:creator><dc:language>en</dc:language></metadata><manifest/></package>'
+    with zipfile.ZipFile(buf, "w") as z:
+        if container:
+            z.writestr("META-INF/container.xml", f'<container><rootfiles><rootfile full-path="{container}"/></rootfiles></container>')
+            z.writestr("A/first.opf", opf.replace(title, "The wrong one"))
+            z.writestr(container, opf)
+        else:
+            z.writestr("OEBPS/content.opf", opf)
+        z.writestr("OEBPS/p.xhtml", "<p>one two</p>")
+    return buf.getvalue()
+
+
+def test_container_names_the_package():
+    assert Epub(epub_file("Right", container="Z/last.opf")).information()["title"] == ["Right"]
+    assert Epub(epub_file("Plain")).information()["title"] == ["Plain"]
+
+
+def test_encryption_is_read_from_the_trailer():
+    body = b"%%PDF-1.4\n1 0 obj << /Type /Catalog >> endobj\n2 0 obj << /Length 9 >> stream\n/Encrypt 5 0 R\nendstream endobj\ntrailer << /Root 1 0 R %s >>"
+    assert Pdf(body % b"").objects
+    with pytest.raises(ValueError, match="encrypted"):
+        Pdf(body % b"/Encrypt 5 0 R")
+
+
+def test_upload_delete_and_watch(spark, tmp_path):
+    folder, store = tmp_path / "books", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    store.open()
+    assert store.upload_file(str(folder), "a.epub", epub_file("One"), "2024-01-01 00:00:00") == "ann-lee-one"
+    assert store.upload_file(str(folder), "b.epub", epub_file("One"), "2024-01-01 00:00:00") == "ann-lee-one--2"
+    for name, data, why in (("c.epub", b"no zip", "BadZipFile"), ("c.txt", b"x", "no file"), ("a.epub", b"x", "already")):
+        with pytest.raises(ValueError, match=why):
+            store.upload_file(str(folder), name, data, "2024-01-01 00:00:00")
+    assert sorted(p.name for p in folder.iterdir() if not p.name.startswith(".")) == ["a.epub", "b.epub"] and store.read("authors").count() == 1
+    assert store.delete(spark.createDataFrame([("ann-lee-one",), ("none",)], "slug string"), str(folder)) == 1
+    assert not (folder / "a.epub").exists() and [r["slug"] for r in store.read("documents").collect()] == ["ann-lee-one--2"]
+    (folder / "d.epub").write_bytes(epub_file("One"))
+    (folder / "e.epub").write_bytes(b"broken")
+    for _ in range(2):
+        stream.watch_library(spark, store, str(folder), str(tmp_path / "ckpt"))
+    assert sorted(r["slug"] for r in store.read("documents").collect()) == ["ann-lee-one", "ann-lee-one--2"]
+    assert spark.read.parquet(str(tmp_path / "store" / "quarantine")).count() == 1
+    (folder / "b.epub").unlink()
+    stream.watch_library(spark, store, str(folder), str(tmp_path / "ckpt"))
+    assert [r["id"] for r in store.read("documents").collect()] == ["d.epub"]
+
+
+def test_a_failed_replacement_leaves_the_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.append("users", spark.createDataFrame([(1, "A")], "id bigint, name string"))
+    bad = store.read("users").withColumn("name", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        store.replace("users", bad)
+    assert [r["name"] for r in store.read("users").collect()] == ["A"]
+    for n in "BCD":
+        store.replace("users", store.read("users").withColumn("name", F.lit(n)))
+    assert [r["name"] for r in store.read("users").collect()] == ["D"] and not (tmp_path / "users" / "v2").exists()
+
+
+def test_endless_watch_stops_when_told(spark, tmp_path):
+    import time
+
+    folder, store = tmp_path / "books", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    (folder / "a.epub").write_bytes(epub_file("One"))
+    queries = stream.watch_library(spark, store, str(folder), str(tmp_path / "ckpt"), every="1 seconds")
+    end = time.time() + 60
+    while time.time() < end and store.read("documents").count() < 1:
+        time.sleep(0.5)
+    assert store.read("documents").count() == 1 and all(q.isActive for q in queries)
+    (folder / "a.epub").unlink()
+    while time.time() < end and store.read("documents").count():
+        time.sleep(0.5)
+    for q in queries:
+        q.stop()
+    assert store.read("documents").count() == 0
+
+
+def test_sessions_and_sliding_windows(spark):
+    df = spark.createDataFrame([("a", f"2024-01-01 00:{m:02d}:00") for m in (0, 3, 20)] + [("b", "2024-01-01 00:04:00")], "k string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    assert sorted((r["k"], r["n"]) for r in stream.session_counts(df, "at", "5 minutes", "k").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    assert stream.windowed_counts(df, "at", "10 minutes", "k", slide="5 minutes").agg(F.sum("n")).first()[0] == 8
+
+
+def test_entities_from_a_folder_of_answers(spark, tmp_path):
+    for kind, rows in (("search", [{"name": "Ann", "ids": ["Q1"]}]), ("entities", [{"id": "Q1", "claims": {"P31": [{"rank": "normal", "value": "Q5", "precision": 0}]}, "descriptions": {"en": "x"}, "links": {}}])):
+        (tmp_path / kind).mkdir()
+        (tmp_path / kind / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    got = enrich.authors_from(enrich.JsonFolders(spark, str(tmp_path)), spark.createDataFrame([("ann", "Ann"), ("bo", "Bo")], "slug string, name string"), "https://img.example").collect()
+    assert [(r["slug"], r["entity_id"], r["instance_of"]) for r in got] == [("ann", "Q1", 1)]
