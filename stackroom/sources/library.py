@@ -36,7 +36,7 @@ def relative(files: DataFrame, folder: str) -> DataFrame:
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modificationTime, content) of the readable files under a folder; `path` is relative to it."""
-    return relative(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), folder)
+    return relative(spark.read.format("binaryFile").options(recursiveFileLookup="true", ignoreMissingFiles="true").load(folder), folder)
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:

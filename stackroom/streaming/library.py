@@ -30,7 +30,7 @@ def watch_files(spark: SparkSession, folder: str, merge: Callable[[DataFrame, in
     from pyspark.sql import types as T
 
     schema = T.StructType.fromDDL("path string, modificationTime timestamp, length bigint, content binary")
-    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
+    stream = spark.readStream.format("binaryFile").schema(schema).options(recursiveFileLookup="true", ignoreMissingFiles="true").load(folder)
     return _started(stream, merge, checkpoint, every)
 
 
