@@ -57,7 +57,7 @@ def p7_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Registers the queries of the other plan modules."""
-    from stackroom.plans import library  # noqa: F401
+    from stackroom.plans import library, records  # noqa: F401
 
 
 load()

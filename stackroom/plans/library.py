@@ -432,11 +432,12 @@ def latest_added(spark, d):
 # ---- related documents
 
 
-def _related_sql(kind: str, dated: bool) -> str:
+def _related_sql(kind: str, dated: bool, where: str | None = None) -> str:
     pick = "publication.days > 0" if dated else "coalesce(publication.days, 0) = 0"
-    where = f"len(subjects_slugs) > 0 AND len(authors_slugs) > 0 AND {pick}"
+    given, where = where, f"len(subjects_slugs) > 0 AND len(authors_slugs) > 0 AND {pick}"
     if kind == "authors_slugs":
         where = "list_contains(authors_slugs, (SELECT a FROM cat, unnest(authors_slugs) u(a) GROUP BY a ORDER BY count(*) DESC, a LIMIT 1))"
+    where = given or where
     head = f"""WITH {CAT}, ref AS (SELECT * FROM cat WHERE {where} ORDER BY slug LIMIT 1),
  n AS (SELECT count(*)::DOUBLE AS n FROM cat), k AS (SELECT DISTINCT unnest({kind}) AS k FROM ref),
  df AS (SELECT k, (SELECT count(*) FROM cat WHERE list_contains({kind}, k))::DOUBLE AS d FROM k),
