@@ -1,6 +1,8 @@
 """Several values packed in one field (problem 6): quoted spans become indexed placeholders, the rest is split.
 
-Everything is built-in Spark SQL (regex, higher-order functions, posexplode): no Python worker, no shuffle.
+Everything is built-in Spark SQL (regex, higher-order functions, posexplode): no Python worker, no shuffle. Only where more than
+`MAX_LABELS` listed labels hold a delimiter they are no longer one pattern: the labels that stand in a record are then found by
+a join, and each record is split by a pattern of its own labels. The values are the same.
 
 How one element is taken apart:
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +44,9 @@ def _unescape(c: Column) -> Column:
     return F.regexp_replace(c, f"{ESC}([{START}{END}{ESC}])", "$1")
 
 
-def _hide(c: Column, span_pattern: str) -> tuple[Column, Column]:
+def _hide(c: Column, span_pattern: Column) -> tuple[Column, Column]:
     """The text with span i as START i END, and the array of spans."""
-    spans = F.regexp_extract_all(c, F.lit(span_pattern), F.lit(0))
+    spans = F.regexp_extract_all(c, span_pattern, F.lit(0))
     pieces = F.split(c, span_pattern, -1)
     hidden = F.concat_ws(
         "",
@@ -78,7 +81,7 @@ def _restore(piece: Column, spans: Column) -> Column:
     )
 
 
-def _values(c: Column, span_pattern: str, delimiters: str) -> Column:
+def _values(c: Column, span_pattern: Column, delimiters: str) -> Column:
     c = _escape(c)
     c = F.regexp_replace(c, r'(?s)^\s*\[(\s*".*"\s*)\]\s*$', "$1")
     hidden, spans = _hide(c, span_pattern)
@@ -86,13 +89,48 @@ def _values(c: Column, span_pattern: str, delimiters: str) -> Column:
     return F.filter(values, lambda v: v != "")
 
 
-def split_subjects(c: Column, labels: list[str]) -> Column:
-    """The subjects in one element. `labels` (a bounded list) stay whole in any case, as do quoted values."""
+DELIMITERS = r"[;,|/•·\n\t]"
+MAX_LABELS = 5000
+_META = r"([\\.\[\]{}()*+\-?^$|/&#~])"
+
+
+def split_subjects(c: Column, labels: list[str] | Column) -> Column:
+    """The subjects in one element. `labels` stay whole in any case, as do quoted values: a list of them, or a column with an
+    array of those that may stand in the row."""
     edge_l, edge_r = r'(?<![^;,|/•·\n\t\[\s])', r'(?=\s*(?:$|[;,|/•·\n\t\]]))'
-    holding = sorted((x for x in labels if x and re.search(r"[;,|/•·\n\t]", x)), key=len, reverse=True)
-    listed = "|".join(re.sub(r"([\\.\[\]{}()*+\-?^$|/&#~])", r"\\\1", x) for x in holding)
-    span = f"{edge_l}(?:{QUOTED}" + (f"|(?iu:{listed})" if listed else "") + f"){edge_r}"
-    return _values(c, span, r"[;,|/•·\n\t]")
+    if isinstance(labels, Column):
+        longest_first = F.array_sort(labels, lambda a, b: F.length(b) - F.length(a))
+        listed = F.array_join(F.transform(longest_first, lambda x: F.regexp_replace(x, _META, r"\\$1")), "|")
+        span = F.concat(F.lit(f"{edge_l}(?:{QUOTED}"), F.when(F.size(labels) > 0, F.concat(F.lit("|(?iu:"), listed, F.lit(")"))).otherwise(""), F.lit(f"){edge_r}"))
+    else:
+        holding = sorted((x for x in labels if x and re.search(DELIMITERS, x)), key=len, reverse=True)
+        pattern = "|".join(re.sub(_META, r"\\\1", x) for x in holding)
+        span = F.lit(f"{edge_l}(?:{QUOTED}" + (f"|(?iu:{pattern})" if pattern else "") + f"){edge_r}")
+    return _values(c, span, DELIMITERS)
+
+
+def labels_in(rows: DataFrame, key: str, elements: str, labels: DataFrame) -> DataFrame:
+    """(key, labels): the labels (column `label`) with a delimiter that may stand in the elements of each row, by a join.
+
+    What a label may be in a text is cut out between the places where a span may start and end, at most as long as the longest
+    label; distinct elements only are looked at.
+    """
+    listed = labels.where(F.col("label").rlike(DELIMITERS)).select("label", F.lower("label").alias("form")).distinct()
+    longest = listed.agg(F.max(F.length("label"))).first()[0] or 0
+
+    @F.pandas_udf("array<string>")
+    def stretches(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            starts = [0, *(m.end() for m in re.finditer(r"[;,|/•·\[\s]", t))]
+            ends = [*(m.start() for m in re.finditer(r"\s*(?:[;,|/•·\n\t\]]|$)", t)), len(t)]
+            out.append(sorted({t[a:b].lower() for a in starts for b in ends if a < b <= a + longest and re.search(DELIMITERS, t[a:b])}))
+        return pd.Series(out, dtype=object)
+
+    each = rows.select(key, F.explode(elements).alias("e")).where(F.col("e").rlike(DELIMITERS))
+    found = each.select("e").distinct().select("e", F.explode(stretches("e")).alias("form")).join(listed, "form")
+    found = found.groupBy("e").agg(F.collect_set("label").alias("ls"))
+    return each.join(found, "e").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("ls"))).alias("labels"))
 
 
 def split_names(c: Column) -> Column:
@@ -107,7 +145,7 @@ def split_names(c: Column) -> Column:
     joiners = "|".join(NAME_JOINERS)
     c = _escape(c)
     c = F.regexp_replace(c, r'(?s)^\s*\[(\s*".*"\s*)\]\s*$', "$1")
-    hidden, spans = _hide(c, span)
+    hidden, spans = _hide(c, F.lit(span))
     strong = F.split(hidden, rf"\s*[;|\n\t]\s*|\s*,?\s*&\s*|\s+/\s+|\s*,?\s+(?:{joiners})\s+", -1)
 
     def commas(chunk: Column) -> Column:
@@ -161,13 +199,22 @@ def packed_values(
     )
 
 
-def packed_epub_values(epub: DataFrame, subject_labels: list[str]) -> DataFrame:
-    """Problem 6 over package records: `subject` elements and the creators' `full_name`."""
+def packed_epub_values(epub: DataFrame, labels: list[str] | DataFrame) -> DataFrame:
+    """Problem 6 over package records: `subject` elements and the creators' `full_name`. `labels`, a list or a table of any
+    length (column label), stay whole."""
+    rows = epub.select("info_id", "subject", F.col("creator.full_name").alias("creator"))
+    known: list[str] | Column = labels
+    if isinstance(labels, DataFrame):
+        whole = labels.where(F.col("label").rlike(DELIMITERS)).select("label").distinct()
+        known = [r[0] for r in whole.limit(MAX_LABELS + 1).collect()]
+        if len(known) > MAX_LABELS:
+            rows = rows.join(labels_in(rows, "info_id", "subject", whole), "info_id", "left")
+            known = F.coalesce("labels", F.array().cast("array<string>"))
     return packed_values(
-        epub.select("info_id", "subject", F.col("creator.full_name").alias("creator")),
+        rows,
         "info_id",
         {
-            "subject": (F.col("subject"), lambda c: split_subjects(c, subject_labels)),
+            "subject": (F.col("subject"), lambda c: split_subjects(c, known)),
             "creator": (F.col("creator"), split_names),
         },
     )

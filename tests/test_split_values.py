@@ -96,3 +96,19 @@ def test_plan_has_no_shuffle_or_python(spark):
     df = spark.createDataFrame([], SCHEMA)
     plan = packed_epub_values(df, LABELS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_long_label_lists_are_joined(spark, monkeypatch):
+    """More labels than one pattern takes give the same values."""
+    import stackroom.operators.split_values as m
+
+    rng = random.Random(4)
+    words = ["Fables", "animal", "Maps", "charts (old)", "Poetry", "roads", "Salt"]
+    labels = sorted({f"{rng.choice(words)}{rng.choice([', ', '; ', ' / ', ','])}{rng.choice(words)}" for _ in range(20)}) + ["Fables, animal, roads", "Poetry", None]
+    join = lambda: rng.choice(["; ", ", ", " | ", "/", "\n"]).join(rng.choice([*words, *labels[:-1], '"a; b"', " see " + labels[0]]) for _ in range(rng.randint(1, 5)))
+    rows = [(i // 2, [rng.choice([str.upper, str])(join()) for _ in range(rng.randint(0, 3))] + [None], [("Lee, Ann & Roy, Bob", "aut")], "x", 7, "y") for i in range(80)]
+    df, table = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(x,) for x in labels], "label string")
+    whole = sorted(map(tuple, packed_epub_values(df, table).collect()))
+    assert whole == sorted(map(tuple, packed_epub_values(df, [x for x in labels if x]).collect()))
+    monkeypatch.setattr(m, "MAX_LABELS", 3)
+    assert sorted(map(tuple, packed_epub_values(df, table).collect())) == whole and len(whole) > 150
