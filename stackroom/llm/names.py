@@ -3,8 +3,8 @@
 Distinct names are parsed into a metric key ('given surname', or an organisation's folded words), then linked:
 
 1. Typos, by metric-space partitioning: every key is at home with its nearest pivot under the bag metric, which never exceeds
-   the edit metric, and replicated to each pivot before that one whose distance is at most 2r larger (triangle inequality: of
-   two keys within r edits one stands in the other's home cell); an exact radius join under the true edit metric runs inside
+   the edit metric, and replicated to pivots whose distance is at most 2r larger, of each two cells one way (triangle
+   inequality: of two keys within r edits one stands in the other's home cell); an exact radius join under the true edit metric runs inside
    each cell. Keys of `LETTERS[0]` letters or more are linked within one edit, keys of `LETTERS[1]` or more within two
    (one in each of two words); shorter ones must be equal. Connected components are taken (min-label rounds with pointer jumping until no label moves,
    cut with checkpoint()).
@@ -204,19 +204,23 @@ class Pivots:
         return out
 
     def cells(self, words: list[str], radius: int) -> list[list[int]]:
-        """For each word its nearest pivot, and every pivot before that one at most 2 * radius farther away."""
-        out = []
+        """For each word every pivot at most 2 * radius farther away than the nearest, of each two cells one way only, and the
+        nearest one, its home, at the end."""
+        out, places = [], np.arange(len(self.bags))
         for k in range(0, len(words), 256):
             bags = self._bags(words[k : k + 256])
             shared = np.minimum(bags[:, None, :-1], self.bags[None, :, :-1]).sum(axis=2)
             d = np.maximum(bags.sum(axis=1)[:, None], self.sizes[None, :]) - shared
             near = d <= d.min(axis=1, keepdims=True) + 2 * radius
-            out += [[*np.nonzero(row[:home])[0].tolist(), home] for row, home in zip(near, d.argmin(axis=1).tolist(), strict=True)]
+            home = d.argmin(axis=1)[:, None]
+            # words go from the later cell to the earlier one or, where their sum is odd, the other way: cells stay even in size
+            near &= (places != home) & ((places < home) == ((places + home) % 2 == 0))
+            out += [[*np.nonzero(row)[0].tolist(), int(h)] for row, h in zip(near, home[:, 0], strict=True)]
         return out
 
 
 def placed_words(words: DataFrame, radius: int) -> DataFrame:
-    """(word, cell): each string of the one column `word` in its cells."""
+    """(word, cell, home): each string of the one column `word` in its cells, the last of which is its home."""
     spark = words.sparkSession
     want = int(min(MAX_PIVOTS, max(8, words.count() // 500)))
     chosen = [r["word"] for r in words.orderBy(F.xxhash64("word"), "word").limit(want).collect()]
@@ -228,7 +232,8 @@ def placed_words(words: DataFrame, radius: int) -> DataFrame:
 
     cores = max(2, spark.sparkContext.defaultParallelism)
     # few small rows, much work each: the partition counts are fixed, else adaptive execution merges them into one task
-    return words.repartition(2 * cores, "word").select("word", F.explode(cells("word")).alias("cell"))
+    placed = words.repartition(2 * cores, "word").select("word", cells("word").alias("cells"))
+    return placed.select("word", F.element_at("cells", -1).alias("last"), F.explode("cells").alias("cell")).select("word", "cell", (F.col("cell") == F.col("last")).alias("home"))
 
 
 def radius_pairs(words: DataFrame, radius: int = 1) -> DataFrame:
@@ -245,13 +250,14 @@ def radius_pairs(words: DataFrame, radius: int = 1) -> DataFrame:
     def parts_of(w: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([[0] if k <= 1 else sorted({crc32(v.encode()) % k for v in neighbours(x, radius)}) for x, k in zip(w, parts, strict=True)], dtype=object)
 
-    rows = placed.join(sizes, "cell").select("word", "cell", "parts", F.explode(parts_of("word", "parts")).alias("part"))
+    rows = placed.join(sizes, "cell").select("word", "cell", "home", "parts", F.explode(parts_of("word", "parts")).alias("part"))
 
     def join_cell(pdf: pd.DataFrame) -> pd.DataFrame:
         k, part = (int(pdf[c].iloc[0]) for c in ("parts", "part"))
         near: dict[str, list[str]] = defaultdict(list)
         out = []
-        for w in pdf["word"]:
+        # of a pair one is at home here: replicas are looked up among the words at home, not among each other
+        for w, home in [*((w, True) for w in pdf["word"][pdf["home"]]), *((w, False) for w in pdf["word"][~pdf["home"]])]:
             around = neighbours(w, radius)
             if k > 1:  # the others' pairs come up in their own parts
                 around = {v for v in around if crc32(v.encode()) % k == part}
@@ -261,8 +267,9 @@ def radius_pairs(words: DataFrame, radius: int = 1) -> DataFrame:
                     if x not in seen and (d := edit_distance(w, x)) <= radius:
                         out.append((min(w, x), max(w, x), d))
                     seen.add(x)
-            for v in around:
-                near[v].append(w)
+            if home:
+                for v in around:
+                    near[v].append(w)
         return pd.DataFrame(out, columns=["a", "b", "d"])
 
     rows = rows.repartition(4 * cores, "cell", "part")
