@@ -1,6 +1,6 @@
 """Mixed timestamp notations, precisions and zones in one normal form (problem 7).
 
-`read_stamp` turns a stamp into a struct of numbers by a list of patterns, all built-in expressions. Notations that say
+`stamp_parts` takes a stamp apart by a list of patterns, all built-in expressions. Notations that say
 themselves what is what have one reading; the others have several, and which one a source means is settled by
 expectation-maximisation over a mixture of notations per source:
 
@@ -79,6 +79,7 @@ PATTERNS: list[tuple[str, tuple[int, ...]]] = [
 SHORT = rf"^(\d{{1,2}})([/.-])(\d{{1,2}})\2(\d\d)(?:,?[T\s]+{CLOCK})?$"
 SLASH = rf"^(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}})(?:,?[T\s]+{CLOCK})?$"
 MONTH_YEAR = rf"^{WORD}[\s-]+(?:de\s+)?(\d{{4}})$"
+NAMED_MONTH_YEAR = MONTH_YEAR.replace(WORD, rf"(?iu:{'|'.join(n for names in MONTHS.values() for n in names.split())})\.?")
 YEAR = r"^(?:(?i:anno|cop\.|copyright|circa|ca\.|c\.|c|p|©|℗|\(c\)))?\s*[\[(]?\s*(\d{4})\s*[\])]?\.?$"
 ROMAN = r"^(?:(?i:anno)\s+)?(M{1,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3}))\.?$"
 EPOCH = r"^(\d{9,10}|\d{12,13})$"
@@ -112,45 +113,49 @@ def _shared_offsets(z: Column) -> Column:
     return F.try_element_at(F.create_map(*[x for k, v in SHARED_ZONES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), z)
 
 
-def _parts(y, m, d, h=None, mi=None, s=None, half=None, zone=None, m2=None, d2=None, y3=None, m3=None, d3=None) -> Column:
-    null = F.lit(None).cast("int")
-    hour = h if h is not None else null
-    if half is not None:
-        pm = F.lower(half).startswith("p")
-        hour = F.when(half == "", hour).when(hour == 12, F.when(pm, 12).otherwise(0)).otherwise(hour + F.when(pm, 12).otherwise(0))
-    cols = {"y": y, "m": m, "d": d, "h": hour, "mi": mi, "s": s, "off": _offset_minutes(zone) if zone is not None else None,
-            "m2": m2, "d2": d2, "y3": y3, "m3": m3, "d3": d3}
-    shared = F.lit(None).cast("array<int>") if zone is None else _shared_offsets(zone)
-    return F.struct(*[(null if c is None else c).cast("int").alias(k) for k, c in cols.items()], shared.alias("offs"), F.lit(y3 is not None).alias("short"))
+NUMBERS = ["y", "m", "d", "h", "mi", "s", "m2", "d2", "y3", "m3", "d3"]
 
 
-def read_stamp(stamp: Column) -> Column:
-    """The numbers a stamp states: y m d h mi s off; m2 d2 and y3 m3 d3, the readings with the month and the year first where
-    they are possible; offs, the offsets of a shared zone name; short, a year of two digits. NULL if it states no date."""
-    s = F.regexp_replace(stamp, r"^[\s ]+|[\s ]+$", "")
+def _parts(**found: Column) -> Column:
+    """What a pattern finds, as it stands: numbers, and the words for the month, am or pm, and the zone."""
+    number = [F.coalesce(found[k].cast("int"), F.lit(None).cast("int")).alias(k) if k in found else F.lit(None).cast("int").alias(k) for k in NUMBERS]
+    return F.struct(*number, *[(found[k] if k in found else F.lit("")).alias(k) for k in ("word", "half", "zone")], F.lit("y3" in found).alias("short"))
+
+
+def _read(p: Column) -> Column:
+    """The parts with the words read: the month, the hour of the day, the offset and the offsets of a shared zone name."""
+    month, pm = F.when(p["word"] == "", p["m"]).otherwise(_month(p["word"])), F.lower(p["half"]).startswith("p")
+    hour = F.when(p["half"] == "", p["h"]).when(p["h"] == 12, F.when(pm, 12).otherwise(0)).otherwise(p["h"] + F.when(pm, 12).otherwise(0))
+    given = {k: p[k] for k in NUMBERS} | {"m": month, "h": hour, "off": _offset_minutes(p["zone"])}
+    out = F.struct(*[c.cast("int").alias(k) for k, c in given.items()], _shared_offsets(p["zone"]).alias("offs"), p["short"].alias("short"))
+    return F.when((p["word"] == "") | month.isNotNull(), out)
+
+
+def stamp_parts(stamp: Column) -> Column:
+    """The parts of a stamp by the first pattern it meets; m2 d2 and y3 m3 d3 are the readings with the month and the year
+    first where they are possible; short, a year of two digits. NULL if it meets none."""
+    s = F.regexp_replace(stamp, r"^[\s ]+|[\s ]+$", "")
     out: Column | None = None
 
-    def also(test: Column, value: Column) -> None:
+    def also(pattern: str, *places: int, test: Column | None = None, **more: Column) -> None:
+        """`places` are the groups of year, month, day, hour, minute, second, am/pm and zone; 0 = absent."""
         nonlocal out
+        names = ["y", "word" if pattern.count(WORD) else "m", "d", "h", "mi", "s", "half", "zone"]
+        group = {k: F.regexp_extract(s, pattern, i) for k, i in zip(names, places, strict=False) if i}
+        value = _parts(**{k: c if k in ("word", "half", "zone") else _int(c) for k, c in group.items()}, **more)
+        test = s.rlike(pattern) if test is None else test
         out = F.when(test, value) if out is None else out.when(test, value)
 
     for pattern, at in PATTERNS:
-        g = [F.regexp_extract(s, pattern, i) if i else None for i in at]
-        worded = WORD in pattern
-        month = None if g[1] is None else _month(g[1]) if worded else _int(g[1])
-        day, hour, minute, sec = (None if x is None else _int(x) for x in (g[2], *g[3:6]))
-        also(s.rlike(pattern), _parts(_int(g[0]), month if month is not None else None, day, hour, minute, sec, g[6], g[7]) if not worded
-             else F.when(month.isNotNull(), _parts(_int(g[0]), month, day, hour, minute, sec, g[6], g[7])))
-    g = [F.regexp_extract(s, SLASH, i) for i in range(9)]
-    also(s.rlike(SLASH), _parts(_int(g[3]), _int(g[2]), _int(g[1]), _int(g[4]), _int(g[5]), _int(g[6]), g[7], g[8], _int(g[1]), _int(g[2])))
-    g = [F.regexp_extract(s, SHORT, i) for i in range(10)]
-    other = lambda c: F.when(g[2] != ".", c)  # noqa: E731  dots put the day first
+        also(pattern, *at)
+    g = lambda i: _int(F.regexp_extract(s, SLASH, i))
+    also(SLASH, 3, 2, 1, 4, 5, 6, 7, 8, m2=g(1), d2=g(2))
+    g2 = lambda i: _int(F.regexp_extract(s, SHORT, i))
+    other = lambda c: F.when(F.regexp_extract(s, SHORT, 2) != ".", c)  # noqa: E731  dots put the day first
     year = lambda c: c + F.when(c <= PIVOT, 2000).otherwise(1900)
-    also(s.rlike(SHORT), _parts(year(_int(g[4])), _int(g[3]), _int(g[1]), _int(g[5]), _int(g[6]), _int(g[7]), g[8], g[9], other(_int(g[1])), other(_int(g[3])),
-                                other(year(_int(g[1]))), other(_int(g[3])), other(_int(g[4]))))
-    month = _month(F.regexp_extract(s, MONTH_YEAR, 1))
-    also(s.rlike(MONTH_YEAR) & month.isNotNull(), _parts(_int(F.regexp_extract(s, MONTH_YEAR, 2)), month, None))
-    also(s.rlike(YEAR), _parts(_int(F.regexp_extract(s, YEAR, 1)), None, None))
+    also(SHORT, 0, 3, 1, 5, 6, 7, 8, 9, y=year(g2(4)), m2=other(g2(1)), d2=other(g2(3)), y3=other(year(g2(1))), m3=other(g2(3)), d3=other(g2(4)))
+    also(MONTH_YEAR, 2, 1, test=s.rlike(NAMED_MONTH_YEAR))
+    also(YEAR, 1)
     digit = lambda ch: _lookup({"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}, ch)
     letters = F.filter(F.split(F.regexp_extract(s, ROMAN, 1), ""), lambda x: x != "")
     roman = F.aggregate(
@@ -161,16 +166,24 @@ def read_stamp(stamp: Column) -> Column:
         ),
         lambda a: a["sum"],
     )
-    also(s.rlike(ROMAN), _parts(roman, None, None))
+    also(ROMAN, y=roman)
     n = F.regexp_extract(s, EPOCH, 1)
     t = F.timestamp_seconds(F.when(F.length(n) >= 12, F.substring(n, F.lit(1), F.length(n) - 3)).otherwise(n).cast("bigint"))
-    also(
-        s.rlike(EPOCH),
-        _parts(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), F.second(t).cast("int"), zone=F.lit("Z")),
-    )
+    also(EPOCH, y=F.year(t), m=F.month(t), d=F.dayofmonth(t), h=F.hour(t), mi=F.minute(t), s=F.second(t).cast("int"), zone=F.lit("Z"))
     return out
 
 
+def _held(df: DataFrame, *names: str, **made: Column) -> DataFrame:
+    """Columns that are there (`names`) or made here, each computed once a row.
+
+    They pass through a generator of one row, so that the optimiser neither repeats them in each place that names them nor
+    moves filters on them below.
+    """
+    one = F.struct(*[F.col(n) for n in names if n not in made], *[c.alias(n) for n, c in made.items()])
+    kept = [c for c in df.columns if c not in names and c not in made]
+    return df.select(*kept, F.inline(F.array(one)))
+
+
 def _valid(y: Column, m: Column, d: Column) -> Column:
     """A calendar date; a month or day of zero is not stated."""
     month, day = F.coalesce(m, F.lit(0)), F.coalesce(d, F.lit(0))
@@ -216,24 +229,26 @@ def mixture_weights(counts: DataFrame, source: str, prior: str, rounds: int = 40
     declared, 0 = month first, NULL = unknown: one pseudo-value each way). The year first has one pseudo-value where any value
     can be read so.
     """
-    n = {k: F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("double") for k in SETS}
     share = F.when(F.col(prior) >= 0.5, DECLARED).otherwise(1 - DECLARED)
-    own = {
-        "d": F.when(F.col(prior).isNull(), F.lit(1.0)).otherwise(prior_weight * share),
-        "m": F.when(F.col(prior).isNull(), F.lit(1.0)).otherwise(prior_weight * (1 - share)),
-        "y": F.when(sum((n[k] for k in SETS if "y" in k), F.lit(0.0)) > 0, 1.0).otherwise(0.0),
-    }
-    total = sum([*n.values(), *own.values()], F.lit(0.0))
+    declared = F.col(prior).isNotNull()
+    c = counts.select(source, prior, *[F.coalesce(f"n_{k}", F.lit(0)).cast("double").alias(f"n_{k}") for k in SETS])
+    c = c.withColumns(
+        {
+            "a_d": F.when(declared, prior_weight * share).otherwise(1.0), "a_m": F.when(declared, prior_weight * (1 - share)).otherwise(1.0),
+            "a_y": F.when(sum((F.col(f"n_{k}") for k in SETS if "y" in k), F.lit(0.0)) > 0, 1.0).otherwise(0.0),
+        }
+    )
+    own = F.col("a_d") + F.col("a_m") + F.col("a_y")
+    c = c.withColumns({"own": own, "total": own + sum((F.col(f"n_{k}") for k in SETS), F.lit(0.0))})
 
     def step(w: Column, _: Column) -> Column:
         """What each notation gets of every set, by the weights so far."""
-        within = {k: sum((w[x] for x in k), F.lit(0.0)) for k in SETS}
-        part = lambda x: sum((F.when(within[k] > 0, n[k] * w[x] / within[k]).otherwise(0.0) for k in SETS if x in k), own[x])
-        return F.struct(*[(part(x) / total).alias(x) for x in "dmy"])
+        within = {k: sum((w[x] for x in k[1:]), w[k[0]]) for k in SETS}
+        part = lambda x: sum((F.col(f"n_{k}") * w[x] / F.greatest(within[k], F.lit(1e-300)) for k in SETS if x in k), F.col(f"a_{x}"))
+        return F.struct(*[(part(x) / F.col("total")).alias(x) for x in "dmy"])
 
-    first = sum(own.values(), F.lit(0.0))
-    start = F.struct(*[(own[x] / first).alias(x) for x in "dmy"])
-    got = counts.select(source, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("w"))
+    start = F.struct(*[(F.col(f"a_{x}") / F.col("own")).alias(x) for x in "dmy"])
+    got = c.select(source, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("w"))
     return got.select(source, *[F.col(f"w.{x}").alias(f"w_{x}") for x in "dmy"])
 
 
@@ -253,13 +268,14 @@ def normalise_stamps(
     broadcast after its size was checked. status: 'ok', 'ambiguous' or 'invalid'; p_day is the posterior of the day first, p
     that of the reading taken (NULL for notations of one reading).
     """
-    rows = df.select(F.col(key).alias("__k"), F.col(stamp).alias("__s"), F.col(source).alias("__src"), read_stamp(F.col(stamp)).alias("p"))
+    rows = df.select(F.col(key).alias("__k"), F.col(stamp).alias("__s"), F.col(source).alias("__src"), stamp_parts(F.col(stamp)).alias("q"))
+    rows = _held(_held(rows, "q"), "q", p=_read(F.col("q"))).drop("q")
     p = F.col("p")
     several = p["d2"].isNotNull()
     dates = {"d": (p["y"], p["m"], p["d"]), "m": (p["y"], p["m2"], p["d2"]), "y": (p["y3"], p["m3"], p["d3"])}
     valid = {x: F.coalesce(dates[x][2].isNotNull() & _valid(*dates[x]), F.lit(False)) for x in "dmy"}
-    rows = rows.withColumn("set", F.when(several, F.concat(*[F.when(valid[x], x).otherwise("") for x in "dmy"])))
-    counts = rows.where("set IS NOT NULL").groupBy("__src").agg(*[F.sum((F.col("set") == k).cast("bigint")).alias(f"n_{k}") for k in SETS])
+    rows = _held(rows, set=F.when(several, F.concat(*[F.when(valid[x], x).otherwise("") for x in "dmy"])))
+    counts = rows.groupBy("__src").agg(*[F.sum((F.col("set") == k).cast("bigint")).alias(f"n_{k}") for k in SETS])
     if sources is None:
         known = counts.select("__src", F.lit(None).cast("string").alias("time_zone"), F.lit(None).cast("double").alias("prior"))
     else:
@@ -279,7 +295,7 @@ def normalise_stamps(
     out = out.withColumn("taken", taken)
     as_date = lambda x: F.struct(*[c.alias(n) for n, c in zip("ymd", dates[x], strict=True)])
     out = out.withColumn("r", F.when(F.col("taken") == "m", as_date("m")).when(F.col("taken") == "y", as_date("y")).otherwise(as_date("d")))
-    out = _with_norm(out)
+    out = _held(_with_norm(out), "norm", "open")
     sure = F.col("total") > 0
     best, p_day = F.when(sure, F.col("best") / F.col("total")), F.when(sure, F.col("s_d") / F.col("total"))
     unclear = F.coalesce((best <= 0.5 + margin) & (p["m"] != p["d"]), F.lit(False)) | F.coalesce(p["short"] | F.col("open"), F.lit(False))
