@@ -217,6 +217,13 @@ def moved(places: list[int], spans: list[tuple[int, int, str, bool]]) -> list[in
     return out + places[at:]
 
 
+# What a text must have for any sequence of a kind to stand in it; most texts are spared the automaton.
+_PAIR = re.compile(r"[^\x00-\x7f]{2}")
+_LEAD = re.compile(r"[\u00e3-\u00ed\u00ef][^\x00-\x7f]{2}[\u00e3-\u00ed\u00ef]")
+_EAST = re.compile(r"[\u2e80-\uffff]")
+_MIXED = re.compile(r"[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z]")
+
+
 class Garbled:
     """The automata and what they replace."""
 
@@ -242,7 +249,7 @@ class Garbled:
         found: list[tuple[int, int, str, bool]] = []
         taken = bytearray(len(text))
         first = []
-        for end, (n, c) in self.characters.iter(text):
+        for end, (n, c) in self.characters.iter(text) if _PAIR.search(text) else ():
             a, b = end - n + 1, end + 1
             if n == 2 and text[end] in _CLOSERS and a and text[a - 1].isupper():
                 continue  # an upper-case word before a closing mark
@@ -254,10 +261,10 @@ class Garbled:
                     continue
             first.append((a, b, c, True))
         # two marks behind one letter may be right text: an ideograph counts beside another
-        rows = [(end - n + 1, end + 1, c, True) for end, (n, c) in self.ideographs.iter(text)]
+        rows = [(end - n + 1, end + 1, c, True) for end, (n, c) in (self.ideographs.iter(text) if _LEAD.search(text) else ())]
         starts, ends = {r[0] for r in rows}, {r[1] for r in rows}
         first += [r for r in rows if r[0] in ends or r[1] in starts]
-        for end, (n, c) in self.wide.iter(text):
+        for end, (n, c) in self.wide.iter(text) if _EAST.search(text) else ():
             a, b = end - n + 1, end + 1
             sides = [text[a - 1 : a], text[b : b + 1]]
             # a character of East Asia inside a word of Latin letters
@@ -277,7 +284,7 @@ class Garbled:
                     continue
                 strong = n >= 4 or not text[a:b].isalpha() or (_script(text[a:b]) is None)
                 found.append((a, b, w, strong))
-        for end, (n, c) in self.mixed.iter(text):
+        for end, (n, c) in self.mixed.iter(text) if _MIXED.search(text) else ():
             if not any(taken[end - n + 1 : end + 1]):
                 found.append((end - n + 1, end + 1, c, True))
         found.sort(key=lambda s: (s[0], -s[1]))

@@ -138,3 +138,11 @@ def test_any_number_of_rounds(g):
     for _ in range(5):
         bad = misread(bad.encode(), "cp1252")
     assert g.check(bad) == (True, text)
+
+
+def test_quick_tests_spare_no_pattern():
+    import stackroom.llm.mojibake as m
+
+    assert all(m._PAIR.search(g) for g in character_patterns())
+    assert all(m._MIXED.search(g) for g in m.mixed_patterns()) and all(m._EAST.search(g) for g in m.wide_patterns())
+    assert all(m._LEAD.search(g + g) and len(g) == 3 for g in m.ideograph_patterns())
