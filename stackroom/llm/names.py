@@ -219,6 +219,14 @@ class Pivots:
         return out
 
 
+def _by_part(word: str, radius: int, parts: int) -> list[dict]:
+    """The hashes of a word's neighbours, by the part they fall in: a part gets its own ones only."""
+    out: dict[int, list[int]] = defaultdict(list)
+    for h in {crc32(v.encode()) for v in neighbours(word, radius)}:
+        out[h % parts].append(h)
+    return [{"part": k, "near": v} for k, v in out.items()]
+
+
 def placed_words(words: DataFrame, radius: int) -> DataFrame:
     """(word, cell, home): each string of the one column `word` in its cells, the last of which is its home."""
     spark = words.sparkSession
@@ -246,21 +254,19 @@ def radius_pairs(words: DataFrame, radius: int = 1) -> DataFrame:
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("word")).alias("letters"))
     sizes = F.broadcast(sizes.select("cell", F.when(split, F.ceil(F.col("n") * each / CELL_ROWS)).otherwise(1).cast("int").alias("parts")))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<struct<part:int,near:array<bigint>>>")
     def parts_of(w: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([[0] if k <= 1 else sorted({crc32(v.encode()) % k for v in neighbours(x, radius)}) for x, k in zip(w, parts, strict=True)], dtype=object)
+        return pd.Series([[{"part": 0, "near": None}] if k <= 1 else _by_part(x, radius, k) for x, k in zip(w, parts, strict=True)], dtype=object)
 
-    rows = placed.join(sizes, "cell").select("word", "cell", "home", "parts", F.explode(parts_of("word", "parts")).alias("part"))
+    rows = placed.join(sizes, "cell").select("word", "cell", "home", F.explode(parts_of("word", "parts")).alias("p")).select("word", "cell", "home", "p.*")
 
     def join_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, part = (int(pdf[c].iloc[0]) for c in ("parts", "part"))
-        near: dict[str, list[str]] = defaultdict(list)
+        near: dict[str | int, list[str]] = defaultdict(list)
         out = []
         # of a pair one is at home here: replicas are looked up among the words at home, not among each other
-        for w, home in [*((w, True) for w in pdf["word"][pdf["home"]]), *((w, False) for w in pdf["word"][~pdf["home"]])]:
-            around = neighbours(w, radius)
-            if k > 1:  # the others' pairs come up in their own parts
-                around = {v for v in around if crc32(v.encode()) % k == part}
+        pdf = pdf.sort_values("home", ascending=False, kind="stable")
+        for w, home, given in zip(pdf["word"], pdf["home"], pdf["near"], strict=True):
+            around = neighbours(w, radius) if given is None else given.tolist()
             seen: set[str] = set()
             for v in around:
                 for x in near[v] if v in near else ():
