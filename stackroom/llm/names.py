@@ -40,6 +40,7 @@ from stackroom.llm.edit import edit_distance
 from stackroom.session import ensure_checkpoint_dir
 
 LETTERS = (5, 16)
+LONG = 64
 CELL_ROWS = 20_000
 MAX_PIVOTS = 128
 
@@ -175,11 +176,24 @@ def parse(name: str, given_names: frozenset[str]) -> tuple[str, str, str, bool,
 
 
 def neighbours(word: str, radius: int = 1) -> set[str]:
-    """The word and all words up to `radius` deletions shorter: two words within `radius` edits share one of them."""
-    out = last = {word}
-    for _ in range(radius):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out = out | last
+    """Keys of which two words within `radius` edits share one.
+
+    Words up to `LONG` letters: the word and all words up to `radius` deletions shorter. Longer ones, which have too many of
+    these: `radius` edits leave one of 2 * radius + 1 pieces of a word as it is, at most `radius` places away in the other; so
+    the pieces a word of each near length would have, at each near place, are the keys.
+    """
+    n, out = len(word), set()
+    if n <= LONG + radius:
+        out = last = {word}
+        for _ in range(radius):
+            last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+            out = out | last
+    if n > LONG:
+        k, near = 2 * radius + 1, range(-radius, radius + 1)
+        for size in (n + x for x in near):
+            for i in range(k):
+                a, b = i * size // k, (i + 1) * size // k
+                out |= {f"{size}:{i}:{word[a + x : b + x]}" for x in near if a + x >= 0 and b + x <= n}
     return out
 
 

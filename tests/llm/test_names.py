@@ -140,3 +140,26 @@ def test_entities_and_nicknames_given(spark):
     apart = [("Ann Poe", "Ann Poe", 2), ("Poe, Ann", "Ann Poe", 2), ("Quincey Lekribden", "Quincey Lekribden", 1), ("Zaz Lekribden", "Zaz Lekribden", 1)]
     assert got() == apart
     assert got(nicknames={"Quincey": "zaz"})[2:] == [("Quincey Lekribden", "Quincey Lekribden", 2), ("Zaz Lekribden", "Quincey Lekribden", 2)]
+
+
+@pytest.mark.parametrize("radius", [1, 2])
+def test_long_words_share_a_piece(monkeypatch, radius):
+    monkeypatch.setattr(m, "LONG", 20)
+    rng = random.Random(radius)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(18, 34)))
+        b = list(a)
+        for _ in range(radius):
+            i, how = rng.randrange(len(b) - 1), rng.randrange(4)
+            b[i : i + 2] = [[b[i + 1], b[i]], [b[i]], [b[i], "x", b[i + 1]], ["y", b[i + 1]]][how]
+        b = "".join(b)
+        if edit_distance(a, b) <= radius:
+            assert m.neighbours(a, radius) & m.neighbours(b, radius)
+
+
+def test_very_long_names(spark):
+    """Names of thousands of letters have few keys and are still linked."""
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghijklmnop") for _ in range(2000)).capitalize()
+    assert len(m.neighbours(long, 2)) < 200
+    assert pairs(spark, [f"Ann {long}", f"Ann {long[:900]}x{long[900:]}", "Bob Katfiskat"]) == linked([[f"Ann {long}", f"Ann {long[:900]}x{long[900:]}"]])
