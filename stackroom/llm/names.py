@@ -2,10 +2,11 @@
 
 Distinct names are parsed into a metric key ('given surname', or an organisation's folded words), then linked:
 
-1. Typos, by metric-space partitioning: every key is at home with its nearest pivot under the bag metric, which never exceeds
-   the edit metric, and replicated to pivots whose distance is at most 2r larger, of each two cells one way (triangle
-   inequality: of two keys within r edits one stands in the other's home cell); an exact radius join under the true edit metric runs inside
-   each cell. Keys of `LETTERS[0]` letters or more are linked within one edit, keys of `LETTERS[1]` or more within two
+1. Typos, by metric-space partitioning of the distinct words of all keys: every word is at home with its nearest pivot under the
+   bag metric, which never exceeds the edit metric, and replicated to pivots whose distance is at most 2r larger, of each two
+   cells one way (triangle inequality: of two words within r edits one stands in the other's home cell); an exact radius join
+   under the true edit metric runs inside each cell, with r = 1. Keys are near only if their words are, and are joined by equal
+   strings of near words, then compared. Keys of `LETTERS[0]` letters or more are linked within one edit, keys of `LETTERS[1]` or more within two
    (one in each of two words); shorter ones must be equal. Connected components are taken (min-label rounds with pointer jumping until no label moves,
    cut with checkpoint()).
 2. Nicknames and abbreviations ('Paddy', 'Phil.') link to the one component of that surname they can stand for.
@@ -233,6 +234,22 @@ class Pivots:
         return out
 
 
+def near_distance(a: str, b: str, radius: int) -> int:
+    """`edit_distance` where it is at most `radius`, else some number above: what both begin and end with costs nothing."""
+    if abs(len(a) - len(b)) > radius:
+        return radius + 1
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    k, n = 0, n - i
+    while k < n and a[-1 - k] == b[-1 - k]:
+        k += 1
+    a, b = a[i : len(a) - k], b[i : len(b) - k]
+    if radius == 1 and max(len(a), len(b)) > 1:
+        return 1 if len(a) == 2 and a == b[::-1] else 2
+    return edit_distance(a, b)
+
+
 def _by_part(word: str, radius: int, parts: int) -> list[dict]:
     """The hashes of a word's neighbours, by the part they fall in: a part gets its own ones only."""
     out: dict[int, list[int]] = defaultdict(list)
@@ -284,7 +301,7 @@ def radius_pairs(words: DataFrame, radius: int = 1) -> DataFrame:
             seen: set[str] = set()
             for v in around:
                 for x in near[v] if v in near else ():
-                    if x not in seen and (d := edit_distance(w, x)) <= radius:
+                    if x not in seen and (d := near_distance(w, x, radius)) <= radius:
                         out.append((min(w, x), max(w, x), d))
                     seen.add(x)
             if home:
@@ -292,23 +309,100 @@ def radius_pairs(words: DataFrame, radius: int = 1) -> DataFrame:
                     near[v].append(w)
         return pd.DataFrame(out, columns=["a", "b", "d"])
 
-    rows = rows.repartition(4 * cores, "cell", "part")
+    rows = rows.repartition(max(4 * cores, placed.count() // CELL_ROWS), "cell", "part")
     return rows.groupBy("cell", "part").applyInPandas(join_cell, "a string, b string, d int").distinct()
 
 
+def _meeting(node: str, above: list[list[str]], parts: list[list[str]], changing: bool, letters: int) -> dict[str, int]:
+    """The strings at which a node meets those near it, with the words replaced: two nodes meet where these are two at most.
+
+    Of two nodes of as many words each word is near its counterpart, and both reach the string of the higher words. A node with
+    a blank more than another is reached by it, one word in two parts. Edits that move a blank leave the same letters after it
+    and at most one more letter are left out; they change two words, or three of those where only two may change.
+    """
+    words = node.split(" ")
+    out = {node: 0}
+    long = len(node) - node.rfind(":") > letters
+    for i, more in enumerate(above):
+        for w in more:
+            out.setdefault(" ".join([*words[:i], w, *words[i + 1 :]]), 1)
+    for i, more in enumerate(parts):
+        for w in more:
+            out.setdefault(" ".join([*words[:i], w, *words[i + 1 :]]), 2)
+    for i, more in enumerate(above if long else ()):
+        for j in range(i + 1, len(words)):
+            for w in more:
+                for v in above[j]:
+                    out.setdefault(" ".join([*words[:i], w, *words[i + 1 : j], v, *words[j + 1 :]]), 2)
+    if not long or changing:
+        at = -1
+        for w in words[:-1]:
+            at += len(w) + 1
+            bare = node[:at] + node[at + 1 :]
+            out[f"\t{bare}"] = 1
+            if long:
+                out |= {f"\t{bare[:k]}{bare[k + 1 :]}": 1 for k in range(node.find(":") + 1, len(bare))}
+    return out
+
+
+def near_words(used: DataFrame) -> DataFrame:
+    """(word, above, parts): of each string of (word, n) the words within one edit that are in use more often, or as often and later
+    in order, and 'a b' for any two words that it is with or without a letter between them; words that have neither, but are
+    above others, have empty lists; all others are left out."""
+    pairs = radius_pairs(used.select("word")).select("a", "b")
+    pairs = pairs.join(used.select(F.col("word").alias("a"), F.col("n").alias("n_a")), "a").join(used.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b")
+    rises = F.col("n_a") <= F.col("n_b")
+    pairs = pairs.select(F.when(rises, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(rises, F.col("b")).otherwise(F.col("a")).alias("high"))
+    above = pairs.select(F.explode(F.array(F.struct(F.col("low").alias("word"), F.col("high").alias("other")), F.struct(F.col("high").alias("word"), F.lit(None).cast("string").alias("other")))).alias("p"))
+    above = above.select("p.word", F.col("p.other").alias("above"), F.lit(None).cast("string").alias("parts"))
+    # a first part and what may follow it
+    cuts = used.where("length(word) > 1").select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k"))
+    cuts = cuts.select("word", F.expr("substring(word, 1, k)").alias("first"), F.expr("array(substring(word, k + 1), substring(word, k + 2))").alias("rest"))
+    cuts = cuts.join(used.select(F.col("word").alias("first")), "first").select("word", "first", F.explode("rest").alias("rest")).where("rest <> ''")
+    parts = cuts.join(used.select(F.col("word").alias("rest")), "rest").select("word", F.lit(None).cast("string").alias("above"), F.concat_ws(" ", "first", "rest").alias("parts"))
+    return above.unionByName(parts).groupBy("word").agg(F.collect_set("above").alias("above"), F.collect_set("parts").alias("parts"))
+
+
 def typo_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): the pairs of nodes 'kind:key' that are near enough for their length."""
-    key = F.length(F.substring_index("word", ":", -1))
-    words = nodes.withColumnRenamed("node", "word")
+    """(a, b): the pairs of nodes 'kind:key' that are near enough for their length.
 
-    @F.pandas_udf("boolean")
-    def in_two_words(a: pd.Series, b: pd.Series) -> pd.Series:
-        pairs = [(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)]
-        return pd.Series([len(x) == len(y) and all(edit_distance(v, w) <= 1 for v, w in zip(x, y, strict=True)) for x, y in pairs], dtype=bool)
+    Nodes that are near have words that are near, so the radius join runs over the distinct words, which are shorter and fewer
+    and need one edit only; nodes are then joined by equal strings made of these words (`_meeting`) and compared.
+    """
+    nodes = nodes.where(F.length(F.substring_index("node", ":", -1)) >= LETTERS[0])
+    words = nodes.select("node", F.posexplode(F.split("node", " ")).alias("pos", "word"))
+    used = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    letters = LETTERS[1]
+    around = words.join(near_words(used), "word").groupBy("node").agg(F.collect_list(F.struct("pos", "above", "parts")).alias("around"))
+
+    @F.pandas_udf("array<struct<s:string,r:int>>")
+    def meeting(n: pd.Series, around: pd.Series) -> pd.Series:
+        out = []
+        for node, found in zip(n, around, strict=True):
+            above: list[list[str]] = [[] for _ in range(node.count(" ") + 1)]
+            parts: list[list[str]] = [[] for _ in above]
+            for x in found if found is not None else ():
+                above[x["pos"]], parts[x["pos"]] = list(x["above"]), list(x["parts"])
+            out.append([{"s": s, "r": r} for s, r in _meeting(node, above, parts, found is not None and len(found) > 2, letters).items()])
+        return pd.Series(out, dtype=object)
 
-    one = radius_pairs(words.where(key >= LETTERS[0]), 1).select("a", "b")
-    two = radius_pairs(words.where(key >= LETTERS[1]), 2).where("d = 2")
-    return one.unionByName(two.where(in_two_words("a", "b")).select("a", "b"))
+    @F.pandas_udf("boolean")
+    def near_enough(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_near_enough(x, y, letters) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    met = nodes.join(around, "node", "left").select("node", F.explode(meeting("node", "around")).alias("m")).select("node", F.xxhash64("m.s").alias("h"), F.col("m.r").alias("r"))
+    other = met.select(F.col("node").alias("b"), "h", F.col("r").alias("s"))
+    pairs = met.withColumnRenamed("node", "a").join(other, "h").where("a < b AND r + s <= 2").select("a", "b").distinct()
+    return pairs.where(near_enough("a", "b"))
+
+
+def _near_enough(a: str, b: str, letters: int) -> bool:
+    """Whether two nodes are within one edit or, both of `letters` letters or more, within two, one in each of two words."""
+    d = near_distance(a, b, 2)
+    if d != 2 or min(len(x) - x.rfind(":") for x in (a, b)) <= letters:
+        return d < 2
+    x, y = a.split(" "), b.split(" ")
+    return len(x) == len(y) and all(near_distance(v, w, 1) <= 1 for v, w in zip(x, y, strict=True))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

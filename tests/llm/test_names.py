@@ -163,3 +163,41 @@ def test_very_long_names(spark):
     long = "".join(rng.choice("abcdefghijklmnop") for _ in range(2000)).capitalize()
     assert len(m.neighbours(long, 2)) < 200
     assert pairs(spark, [f"Ann {long}", f"Ann {long[:900]}x{long[900:]}", "Bob Katfiskat"]) == linked([[f"Ann {long}", f"Ann {long[:900]}x{long[900:]}"]])
+
+
+def test_typos_are_joined_by_words(spark, monkeypatch):
+    """The radius join runs over the distinct words of the keys, within one edit, not over the keys."""
+    joined, plain = [], m.radius_pairs
+    monkeypatch.setattr(m, "radius_pairs", lambda words, radius=1: joined.append((words.count(), radius)) or plain(words, radius))
+    rng = random.Random(8)
+    first, last = ([f"{kind}{''.join(rng.choice('abcdefghijklm') for _ in range(9))}" for _ in range(20)] for kind in ("person:", ""))
+    first.append(first[0][:-1] + "z")
+    last.append("z" + last[0][1:])
+    nodes = [f"{x} {y}" for x in first for y in last]
+    got = {tuple(r) for r in m.typo_pairs(spark.createDataFrame([(n,) for n in nodes], "node string")).collect()}
+    assert joined == [(42, 1)]
+    near = [{first[0], first[-1]}, {last[0], last[-1]}]
+    alike = lambda a, b: all(x == y or {x, y} in near for x, y in zip(a.split(), b.split(), strict=True))
+    assert got == {(a, b) for a in nodes for b in nodes if a < b and alike(a, b)}
+
+
+@pytest.mark.parametrize("letters", [(5, 16), (2, 6), (0, 3)])
+def test_typos_against_brute_force(spark, monkeypatch, letters):
+    """Also where edits put in, take out or move blanks, and where two edits change more than two words."""
+    monkeypatch.setattr(m, "LETTERS", letters)
+    rng = random.Random(9)
+    keys = {" ".join("".join(rng.choice("ab") for _ in range(rng.choice([1, 1, 2, 2, 3, 7]))) for _ in range(rng.choice([1, 2, 2, 3, 4, 5]))) for _ in range(420)}
+    keys |= {"a b cc", "ab c c", "xb ab y", "x ba by", "xa bc d", "x abc ed", "ab cd xef", "ab cdx ef", "annmarie lee", "ann marie lee", "ann arie lee"}
+    nodes = sorted(f"{kind}:{k}" for k in keys for kind in ("person", "org"))
+
+    def near(a, b):
+        x, y = (len(n.split(":")[1]) for n in (a, b))
+        if min(x, y) < letters[0] or a[:3] != b[:3] or (d := edit_distance(a, b)) > 2:
+            return False
+        if d < 2 or min(x, y) < letters[1]:
+            return d < 2
+        v, w = a.split(" "), b.split(" ")
+        return len(v) == len(w) and all(edit_distance(p, q) <= 1 for p, q in zip(v, w, strict=True))
+
+    got = {tuple(r) for r in m.typo_pairs(spark.createDataFrame([(n,) for n in nodes], "node string")).collect()}
+    assert got == {(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if near(a, b)}
