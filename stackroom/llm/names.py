@@ -16,8 +16,8 @@ Distinct names are parsed into a metric key ('given surname', or an organisation
 A form that could stand for two entities stays on its own: a shared surname alone doesn't make one person.
 
 Scale: names are made distinct with partial aggregation before anything else; pivots are a bounded sample; cells above
-`CELL_ROWS` are split by deletion-neighbourhood hash (every pair within r shares a neighbour, so no pair is lost) into parts of
-about as many rows; aliases are resolved by equi-joins on (surname, alias) against pre-aggregated label ranges, never by pairs
+`CELL_ROWS` are split by deletion-neighbourhood hash (every pair within r shares a neighbour, so no pair is lost; by its last
+`ENDS` letters unless too many words end alike) into parts of about as many rows; aliases are resolved by equi-joins on (surname, alias) against pre-aggregated label ranges, never by pairs
 within a surname. `named_entities` gives one row a name; only `variant_pairs` writes all pairs of an entity.
 
 Defined results: NULL and blank names are ignored; a name of one word is an entity of its own key; strings that differ
@@ -43,6 +43,7 @@ from stackroom.session import ensure_checkpoint_dir
 LETTERS = (5, 16)
 LONG = 64
 CELL_ROWS = 20_000
+ENDS = 3
 MAX_PIVOTS = 128
 
 # Short forms of given names in common use.
@@ -86,6 +87,9 @@ SMALL_WORDS = {"the", "of", "for", "and", "a", "an", "in", "at"}
 
 
 def fold(text: str) -> str:
+    if text.isascii():
+        text = text.lower()
+        return text if text.isalnum() else "".join(c for c in text if c.isalnum())
     text = unicodedata.normalize("NFKD", text).casefold()
     return "".join(c for c in unicodedata.normalize("NFKD", text) if c.isalnum())
 
@@ -93,7 +97,7 @@ def fold(text: str) -> str:
 
 def clean(name: str) -> str:
     text = unicodedata.normalize("NFKC", name).replace("_", " ")
-    text = "".join(" " if c.isspace() else c for c in text if unicodedata.category(c) != "Cf")
+    text = re.sub(r"\s", " ", text) if text.isascii() else "".join(" " if c.isspace() else c for c in text if unicodedata.category(c) != "Cf")
     return re.sub(r" +", " ", text).strip(" ;,\"'[]()")
 
 
@@ -250,12 +254,13 @@ def near_distance(a: str, b: str, radius: int) -> int:
     return edit_distance(a, b)
 
 
-def _by_part(word: str, radius: int, parts: int) -> list[dict]:
-    """The hashes of a word's neighbours, by the part they fall in: a part gets its own ones only."""
-    out: dict[int, list[int]] = defaultdict(list)
-    for h in {crc32(v.encode()) for v in neighbours(word, radius)}:
-        out[h % parts].append(h)
-    return [{"part": k, "near": v} for k, v in out.items()]
+def _by_part(word: str, radius: int, parts: int, ends: int) -> list[dict]:
+    """The hashes of a word's neighbours, by the part they fall in: a part gets its own ones only. Neighbours that agree in their
+    last `ends` letters (0: in all) fall in one part, so a word is in few of them."""
+    out: dict[int, set[int]] = defaultdict(set)
+    for v in neighbours(word, radius):
+        out[crc32(v[-ends:].encode()) % parts].add(crc32(v.encode()))
+    return [{"part": k, "near": list(v)} for k, v in out.items()]
 
 
 def placed_words(words: DataFrame, radius: int) -> DataFrame:
@@ -282,12 +287,17 @@ def radius_pairs(words: DataFrame, radius: int = 1) -> DataFrame:
     # a cell too large for one task is split by its words' neighbourhoods; there is one size a pivot
     split = F.col("n") > CELL_ROWS
     each = F.col("letters") + 1 if radius == 1 else F.pow("letters", F.lit(radius)) / 2 + F.col("letters") + 1
+    # by the last letters of the neighbours, of which a word has few, unless too many words of a cell share theirs
+    size = placed.count()
+    crowd = placed.groupBy("cell", F.expr(f"right(word, {ENDS})")).count().where(F.col("count") > CELL_ROWS)
+    ends = 0 if size > CELL_ROWS and crowd.limit(1).count() else ENDS
+    each = F.least(each, F.lit(float((ENDS + radius) ** radius))) if ends else each
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("word")).alias("letters"))
     sizes = F.broadcast(sizes.select("cell", F.when(split, F.ceil(F.col("n") * each / CELL_ROWS)).otherwise(1).cast("int").alias("parts")))
 
     @F.pandas_udf("array<struct<part:int,near:array<bigint>>>")
     def parts_of(w: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([[{"part": 0, "near": None}] if k <= 1 else _by_part(x, radius, k) for x, k in zip(w, parts, strict=True)], dtype=object)
+        return pd.Series([[{"part": 0, "near": None}] if k <= 1 else _by_part(x, radius, k, ends) for x, k in zip(w, parts, strict=True)], dtype=object)
 
     rows = placed.join(sizes, "cell").select("word", "cell", "home", F.explode(parts_of("word", "parts")).alias("p")).select("word", "cell", "home", "p.*")
 
@@ -309,7 +319,7 @@ def radius_pairs(words: DataFrame, radius: int = 1) -> DataFrame:
                     near[v].append(w)
         return pd.DataFrame(out, columns=["a", "b", "d"])
 
-    rows = rows.repartition(max(4 * cores, placed.count() // CELL_ROWS), "cell", "part")
+    rows = rows.repartition(max(4 * cores, size // CELL_ROWS), "cell", "part")
     return rows.groupBy("cell", "part").applyInPandas(join_cell, "a string, b string, d int").distinct()
 
 
